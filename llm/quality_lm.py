@@ -1,9 +1,10 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney character n-gram model (operator 2).
 
-The model counts the n-grams of all documents labelled good. Documents are scored in blocks: each block asks for its
+The model counts the n-grams of documents labelled good. Documents are scored in blocks: each block asks for its
 distinct n-grams, the requests are joined with the sharded counts of every order, and the answers come back to the block,
-where each document adds up its own. A language's limit is a quantile of the perplexities of its own good documents, from
-counts in fixed bins; a document above it is rejected. Languages without good documents take the limit of all good ones.
+where each document adds up its own. Half of the good documents (by a hash of the id) train the model and the other half,
+which it hasn't seen, sets the limits: a language's is a quantile of the perplexities of its own held-out documents, from
+counts in fixed bins. A document above it is rejected. Languages without such documents take the limit of all of them.
 
 Characters: digits count as one, blanks as a space, those beyond the basic plane as one. Each text is framed by ORDER - 1
 start marks and an end mark. Perplexities are smoothed by PRIOR characters of the mean cost, as short texts tell little.
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 from llm.common import Scratch, batch_of, by_ids, chunks, table, with_ids
 
 ORDER = 4
-QUANTILE, SLACK = 0.995, 0.02
+QUANTILE, SLACK = 0.995, 0.03
+#: Held-out documents from which a language's quantile stands as it is; with fewer, up to SPARE nats are added.
+ENOUGH, SPARE = 200, 0.25
 PRIOR = 100
 #: Bins of a nat: costs a character are counted in steps of 1 / BINS.
 BINS = 1000
@@ -206,18 +209,18 @@ def scored(docs: DataFrame, answers: DataFrame, order: int, limit: int) -> DataF
 def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, quantile: float = QUANTILE, slack: float = SLACK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """id_col, lang, n_grams, perplexity, limit (of the language) and kept for every row of docs.
 
-    labels has id_col and quality; all documents with quality 1 train the model and set the limits.
+    labels has id_col and quality; documents with quality 1 are good. All of them are used, for training or for the limits.
     """
     spark = docs.sparkSession
     work = Scratch(spark, "quality-lm")
     own = with_ids(docs, id_col, text_col, lang_col).select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
-    good = work.write(with_ids(labels, id_col, "quality").filter("quality = 1").select(F.col(id_col).cast("long").alias("id")).distinct(), "good")
-    counts = work.write(counted(by_ids(own, good, "id").select("text"), order), "counts")
+    good = work.write(with_ids(labels, id_col, "quality").filter("quality = 1").select(F.col(id_col).cast("long").alias("id")).distinct().withColumn("held", F.pmod(F.xxhash64("id"), F.lit(2)) == 1), "good")
+    counts = work.write(counted(by_ids(own, good.filter("not held").select("id"), "id").select("text"), order), "counts")
     asked = requests(own.select("text"), order, block_bytes)
     costs = probabilities(work.write(asked.select("gram").distinct(), "grams"), counts, order, work)
     rows = work.write(scored(own, asked.join(costs, "gram").select("block", "gram", "cost"), order, block_bytes), "scored")
     work.drop("counts", "grams", *[f"order-{k}" for k in range(1, order)], *[f"p-{k}" for k in range(1, order)])
-    trusted = rows.join(good, "id", "left_semi")
+    trusted = rows.join(good.filter("held"), "id", "left_semi")
     mean = trusted.groupBy("lang").agg(F.sum("cost").alias("cost"), F.sum("n_grams").alias("n"))
     mean = work.write(mean, "mean")
     every = mean.agg(F.sum("cost").alias("cost"), F.sum("n").alias("n")).first()
@@ -231,7 +234,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("bin"))
         reach = lambda acc, x: F.coalesce(acc["bin"], F.when(acc["seen"] + x["count"] >= F.ceil(F.lit(quantile) * F.col("n")), x["bin"]))
         bin_ = F.aggregate("h", start, lambda acc, x: F.struct((acc["seen"] + x["count"]).alias("seen"), reach(acc, x).alias("bin")), lambda acc: acc["bin"])
-        return h.select("lang", ((bin_ + 1) / BINS + slack).alias("limit"))
+        return h.select("lang", ((bin_ + 1) / BINS + slack + SPARE * F.greatest(F.lit(0.0), 1 - F.col("n") / ENOUGH)).alias("limit"))
 
     own_limits = work.write(limits(bins), "limits")
     whole = limits(bins.groupBy(F.lit("").alias("lang"), "bin").agg(F.sum("count").alias("count"))).first()
