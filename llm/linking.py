@@ -3,7 +3,9 @@
 1. In each map task, ids that share a token are linked to the first of them as candidates, and only that one is posted;
    where the posts of all tasks meet, they are linked to their first in turn. Every task streams its sorted rows.
 2. Each id's best candidate is verified, and the links' components are found. A group of copies is one component now.
-3. Every other pair that shares a token lies in two components: these pairs are formed token by token between members of
+3. Where a token still has members in several components, another of its ids leads, and the members of other components
+   are verified against it, one candidate each; so up to ROUNDS times, as long as this links many.
+4. Every other pair that shares a token lies in two components: these pairs are formed token by token between members of
    different components only, filtered, verified once each, and the components found again.
 
 So each pair that shares a token is verified or already connected, and no link between different texts is lost.
@@ -24,6 +26,9 @@ from llm.components import components
 PAIR, SHARED, POST = 0, 1, 2
 #: Postings that a map task holds before it combines and hands them on.
 HELD = 500_000
+#: Rounds of step 3; any number gives the same components in the end.
+ROUNDS = 3
+LEADERS = 3
 ROWS = pa.schema([("kind", pa.int8()), ("token", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 ROWS_DDL = "kind tinyint, token long, id long, n int, pos int"
 
@@ -164,10 +169,14 @@ def verified(pairs: DataFrame, texts: DataFrame, sets: Sets, num: int, den: int,
     return pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def similar_components(found: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Sets, scratch: Scratch, num: int, den: int, key: Callable[[np.ndarray], int] | None = None, fits: Callable[[Column, Column, Column, Column], Column] | None = None) -> DataFrame:
+Row = Callable[[str], Column]
+
+
+def similar_components(found: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Sets, scratch: Scratch, num: int, den: int, key: Callable[[np.ndarray], int] | None = None, fits: Callable[[Row, Row], Column] | None = None, traits: DataFrame | None = None) -> DataFrame:
     """node, component of ids, least nodes left out. found: what combined() wrote; texts_of gives id, text of a table of ids.
 
-    fits(n, pos, n, pos) says whether two postings of one token can belong to similar sets.
+    fits(x, y) says of two postings of one token whether their sets can be similar, by n, pos and the columns of traits
+    (one row for each id).
     """
     best = found.filter(F.col("kind") == PAIR).groupBy(F.col("token").alias("a"), F.col("id").alias("b")).count()
     best = scratch.write(best.groupBy("b").agg(F.max(F.struct("count", "a")).alias("top")).select("top.a", "b"), "best")
@@ -177,21 +186,56 @@ def similar_components(found: DataFrame, texts_of: Callable[[DataFrame], DataFra
     first = components(edges, scratch, "first")
     scratch.drop("texts", "best", "edges")
 
-    shared = found.filter(F.col("kind") == SHARED).select("token", "id", "n", "pos").distinct()
-    shared = shared.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    shared = scratch.write(shared, "shared")
-    split = shared.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
-    shared = scratch.write(shared.join(scratch.write(split, "split"), "token", "left_semi"), "split-shared")
-    scratch.drop("shared")
-    sides = scratch.write(shared.select("token", "component").distinct(), "sides")
-    apart = sides.select("token", F.col("component").alias("c")).join(sides.select("token", F.col("component").alias("d")), "token").filter("c < d")
-    member = lambda c, p: shared.select("token", F.col("component").alias(c), F.col("id").alias(f"{p}"), F.col("n").alias(f"n_{p}"), F.col("pos").alias(f"pos_{p}"))
-    pairs = apart.join(member("c", "a"), ["token", "c"]).join(member("d", "b"), ["token", "d"])
-    pairs = pairs.filter((den * F.least("n_a", "n_b").cast("long") >= num * F.greatest("n_a", "n_b").cast("long")) & (F.lit(True) if fits is None else fits(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"))))
+    def apart(shared: DataFrame, linked: DataFrame, name: str) -> DataFrame:
+        """The postings of tokens with several components, each with its component."""
+        shared = shared.drop("component").join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        shared = scratch.write(shared, f"{name}-all")
+        split = shared.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
+        shared = scratch.write(shared.join(scratch.write(split, f"{name}-tokens"), "token", "left_semi"), name)
+        scratch.drop(f"{name}-all", f"{name}-tokens")
+        return shared
+
+    def join_up(linked: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+        return components(edges.union(linked.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch, name)
+
+    def fit(x: Row, y: Row) -> Column:
+        lengths = den * F.least(x("n"), y("n")).cast("long") >= num * F.greatest(x("n"), y("n")).cast("long")
+        return lengths if fits is None else lengths & fits(x, y)
+
+    shared = apart(found.filter(F.col("kind") == SHARED).select("token", "id", "n", "pos").distinct(), first, "apart-0")
+    if traits is not None:
+        shared = scratch.write(shared.join(traits, "id"), "apart-1")
+        scratch.drop("apart-0")
+    columns = [c for c in shared.columns if c != "token"]
+    of = lambda side: lambda c: F.col(f"{side}.{c}")
+    for i in range(1, ROUNDS + 1):
+        leads = [F.min(F.struct(F.xxhash64("id", F.lit(LEADERS * i + j)).alias("h"), *columns)).alias(f"lead{j}") for j in range(LEADERS)]
+        lead = shared.groupBy("token").agg(*leads).select("token", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"lead{j}.{c}") for c in columns]) for j in range(LEADERS)]))).alias("lead"))
+        lead = scratch.write(lead.select("token", "lead.*"), f"lead-{i}")
+        new = shared.alias("x").join(lead.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & fit(of("x"), of("y")))
+        new = new.groupBy(F.col("y.id").alias("a"), F.col("x.id").alias("b")).count().groupBy("b").agg(F.max(F.struct("count", "a")).alias("top")).select("top.a", "b")
+        new = scratch.write(new, f"new-{i}")
+        if not (many := new.count()):
+            break
+        texts = scratch.write(texts_of(scratch.write(ids(new), f"new-ids-{i}")), f"new-texts-{i}")
+        edges = scratch.write(verified(new, texts, sets, num, den, key), f"new-edges-{i}")
+        scratch.drop(f"new-texts-{i}", f"lead-{i}", f"new-{i}")
+        if not (good := edges.count()):
+            break
+        first = join_up(first, edges, f"round-{i}")
+        shared = apart(shared, first, f"apart-{i + 1}")
+        scratch.drop(f"apart-{i}")
+        if good < 0.05 * many:
+            break
+
+    # Members of a token's largest component meet only the others, not each other.
+    top = shared.groupBy("token", "component").count().groupBy("token").agg(F.max(F.struct("count", "component")).alias("top"))
+    top = scratch.write(top.select("token", F.col("top.component").alias("largest")), "top")
+    shared = scratch.write(shared.join(top, "token").withColumn("inner", F.col("component") == F.col("largest")).drop("largest"), "flagged")
+    once = (F.col("x.component") < F.col("y.component")) | (F.col("y.inner") & (F.col("x.component") != F.col("y.component")))
+    pairs = shared.filter("not inner").alias("x").join(shared.alias("y"), (F.col("x.token") == F.col("y.token")) & once & fit(of("x"), of("y"))).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
     pairs = scratch.write(pairs.select("a", "b").distinct(), "pairs")
     texts = scratch.write(texts_of(scratch.write(ids(pairs), "more-ids")), "more-texts")
     more = scratch.write(verified(pairs, texts, sets, num, den, key), "more-edges")
-    scratch.drop("more-texts", "pairs", "split-shared")
-    if more.isEmpty():
-        return first
-    return components(more.union(first.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch, "second")
+    scratch.drop("more-texts", "pairs", "top", "flagged")
+    return first if more.isEmpty() else join_up(first, more, "last")

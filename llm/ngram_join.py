@@ -1,8 +1,8 @@
 """N-gram Jaccard join with rare-first prefix filtering (operator 3).
 
 A document's set holds its distinct k-word shingles. In an order that puts rare shingles first, similar sets share one
-among the first few; only these prefixes are posted and joined, with length and positional filters, and a suffix filter
-before the exact count. The order comes from a sketch of fixed size of the shingles that repeat inside map tasks: any
+among the first few; only these prefixes are posted and joined, with length, positional and suffix filters, before the exact
+count. The order comes from a sketch of fixed size of the shingles that repeat inside map tasks: any
 order gives the same links, so the sketch only saves work. Copies with equal sets are one id from the start.
 
 Defined results: a null text or one without words has an empty set (n_shingles 0) and is linked with nothing; with fewer
@@ -27,6 +27,8 @@ from llm.wordhash import shingle_sets, word_hashes
 #: Counters of the sketch: 2 ** SKETCH_BITS, 4 bytes each in a broadcast.
 SKETCH_BITS = 20
 _SHIFT = np.uint64(64 - SKETCH_BITS)
+#: Each set's parities: 64 bits a column, each telling whether an odd number of its shingles fall there.
+PARITY = [f"h{i}" for i in range(8)]
 
 
 def signature(s: np.ndarray) -> int:
@@ -39,7 +41,7 @@ def sets_of(k: int):
 
 def profile(docs: DataFrame, k: int) -> DataFrame:
     """kind 0: a document's id, set size and set signature; kind 1: a counter of the sketch and what to add to it."""
-    schema = pa.schema([("kind", pa.int8()), ("id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64())])
+    schema = pa.schema([("kind", pa.int8()), ("id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), *[(c, pa.int64()) for c in PARITY]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -49,12 +51,12 @@ def profile(docs: DataFrame, k: int) -> DataFrame:
             bucket = (values[count > 1] >> _SHIFT).astype(np.int64)
             total = np.bincount(bucket, count[count > 1], minlength=1).astype(np.int64)
             at = np.flatnonzero(total)
-            yield batch_of(schema, np.ones(len(at), np.int8), at, total[at], np.zeros(len(at), np.int64))
+            yield batch_of(schema, np.ones(len(at), np.int8), at, total[at], *[np.zeros(len(at), np.int64)] * (1 + len(PARITY)))
 
         for batch in batches:
             for a, b, buf, off in chunks(batch.column(1)):
                 sets = sets_of(k)(buf, off)
-                yield batch_of(schema, np.zeros(b - a, np.int8), batch.column(0).slice(a, b - a), [len(s) for s in sets], [signature(s) for s in sets])
+                yield batch_of(schema, np.zeros(b - a, np.int8), batch.column(0).slice(a, b - a), [len(s) for s in sets], [signature(s) for s in sets], *parities(sets))
                 held += sets
                 size += sum(map(len, sets))
                 if size > 2_000_000:
@@ -63,7 +65,7 @@ def profile(docs: DataFrame, k: int) -> DataFrame:
         if size:
             yield from repeated()
 
-    return docs.mapInArrow(run, "kind tinyint, id long, n long, sig long")
+    return docs.mapInArrow(run, "kind tinyint, id long, n long, sig long, " + ", ".join(f"{c} long" for c in PARITY))
 
 
 def sketch_of(profiled: DataFrame) -> np.ndarray:
@@ -100,12 +102,26 @@ def postings(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray) ->
     return docs.mapInArrow(run, ROWS_DDL)
 
 
-def positional(num: int, den: int):
-    """Two sets that meet in a shingle share no more than the fewer before it, it, and the fewer behind it."""
+def parities(sets: list[np.ndarray]) -> list[np.ndarray]:
+    sizes = np.array([len(s) for s in sets], np.int64)
+    place = np.concatenate(sets) & np.uint64(64 * len(PARITY) - 1) if len(sets) else np.zeros(0, np.uint64)
+    odd = np.bincount(np.repeat(np.arange(len(sets)), sizes) * 64 * len(PARITY) + place.astype(np.int64), minlength=len(sets) * 64 * len(PARITY)) & 1
+    words = np.packbits(odd.astype(np.uint8).reshape(len(sets), -1), axis=1).view(">u8").astype(np.uint64).view(np.int64)
+    return [words[:, i] for i in range(len(PARITY))]
 
-    def fits(n: Column, pos: Column, m: Column, qos: Column) -> Column:
-        most = F.least(pos, qos) + 1 + F.least(n - pos - 1, m - qos - 1)
-        return (num + den) * most.cast("long") >= num * (n + m).cast("long")
+
+def fitting(num: int, den: int):
+    """Positional and suffix filter: what two sets that meet in a shingle can share at most reaches what they need.
+
+    Before the shingle and behind it they share no more than the shorter part has. And every bit in which their parities
+    differ stands for a shingle that only one of them has.
+    """
+
+    def fits(x, y) -> Column:
+        both = (x("n") + y("n")).cast("long")
+        most = F.least(x("pos"), y("pos")) + F.least(x("n") - x("pos"), y("n") - y("pos"))
+        apart = sum((F.bit_count(x(c).bitwiseXOR(y(c))) for c in PARITY[1:]), F.bit_count(x(PARITY[0]).bitwiseXOR(y(PARITY[0]))))
+        return ((num + den) * most.cast("long") >= num * both) & ((num + den) * (both - apart) >= 2 * num * both)
 
     return fits
 
@@ -117,13 +133,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     profiled = scratch.write(profile(own, k), "profile")
     found = combined(postings(own.select("text"), k, num, den, sketch_of(profiled)), scratch, num, den)
     rows = profiled.filter("kind = 0").select("id", "n", "sig")
+    traits = profiled.filter("kind = 0 and n > 0").groupBy(F.col("sig").alias("id")).agg(*[F.min(c).alias(c) for c in PARITY])
 
     def texts_of(ids: DataFrame) -> DataFrame:
         first = rows.filter("n > 0").join(ids.withColumnRenamed("id", "sig"), "sig", "left_semi").groupBy("sig").agg(F.min("id").alias("id"))
         first = scratch.write(first.select("id", "sig"), "firsts")
         return by_ids(own, first, "id", "inner").select(F.col("sig").alias("id"), "text")
 
-    linked = similar_components(found, texts_of, sets_of(k), scratch, num, den, signature, positional(num, den))
+    linked = similar_components(found, texts_of, sets_of(k), scratch, num, den, signature, fitting(num, den), traits)
     scratch.drop("combined")
     rows = rows.join(linked.select(F.col("node").alias("sig"), "component"), "sig", "left")
     rows = scratch.write(rows.select("id", "n", F.when(F.col("n") > 0, F.coalesce("component", "sig")).alias("c")), "rows")
