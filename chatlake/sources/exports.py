@@ -1,0 +1,52 @@
+"""Readers of chat exports and agent sessions, with declared schemas."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+ROLES = {"user": "owner", "assistant": "assistant", "system": "system", "tool": "system"}
+EXPORT = """array<struct<conversation_id:string,id:string,title:string,create_time:double,update_time:double,current_node:string,
+ mapping:map<string,struct<id:string,parent:string,children:array<string>,message:struct<id:string,author:struct<role:string>,
+ create_time:double,update_time:double,content:struct<content_type:string,parts:array<string>,text:string>>>>>>""".replace("\n", "")
+SESSION_LINE = "timestamp string, type string, sessionId string, uuid string, isSidechain boolean, isMeta boolean, isCompactSummary boolean, message struct<role:string,content:string>"
+
+
+def speaker(role: Column) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])[role], F.lit("unknown"))
+
+
+def chat_export(spark: SparkSession, path: str, namespace: str) -> DataFrame:
+    """One row for each node of each conversation of JSON export files; nodes without a message are structural (null event)."""
+    raw = spark.read.option("wholetext", True).text(path)
+    conv = raw.select(F.explode(F.from_json("value", EXPORT)).alias("c"))
+    first = F.array_min(F.map_keys("c.mapping"))
+    derived = F.concat(F.lit("conv-fb-"), F.substring(F.sha2(F.concat_ws("|", F.coalesce("c.title", F.lit("")), F.coalesce(F.col("c.create_time").cast("string"), F.lit("")), first), 256), 1, 16))
+    nodes = conv.select(F.coalesce("c.conversation_id", "c.id", derived).alias("conversation"), F.col("c.title").alias("title"), F.col("c.current_node").alias("current_node"), F.col("c.mapping").alias("mapping"), F.explode("c.mapping").alias("node", "n"))
+    siblings = F.element_at("mapping", F.col("n.parent"))["children"]
+    parts = F.filter("n.message.content.parts", lambda x: x.isNotNull() & (x != "") & ~x.startswith("{"))
+    text = F.nullif(F.coalesce(F.nullif(F.array_join(parts, "\n"), F.lit("")), F.col("n.message.content.text")), F.lit(""))
+    message = F.col("n.message.id")
+    return nodes.select(
+        "conversation", "title", "current_node", "node", F.col("n.parent").alias("parent"), (F.array_position(siblings, F.col("node")) - 1).alias("child_order"),
+        F.when(F.col("n.message").isNotNull(), F.concat_ws(":", F.lit("chatgpt"), F.lit(namespace), F.coalesce(message, F.col("node")))).alias("event_id"),
+        speaker(F.col("n.message.author.role")).alias("speaker"), F.timestamp_micros(F.round(F.col("n.message.create_time") * 1_000_000).cast("long")).alias("created_at"),
+        F.timestamp_micros(F.round(F.col("n.message.update_time") * 1_000_000).cast("long")).alias("updated_at"), text.alias("text"),
+    )
+
+
+def agent_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """Messages of JSON-lines session files (compressed ones too), in order of time, each with the one before as parent."""
+    rows = spark.read.schema(SESSION_LINE).json(path)
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    rows = rows.filter(F.col("type").isin("user", "assistant") & ~flag("isSidechain") & ~flag("isMeta") & ~flag("isCompactSummary"))
+    rows = rows.select(F.col("sessionId").alias("conversation"), F.col("uuid").alias("node"), speaker(F.col("message.role")).alias("speaker"), F.try_to_timestamp("timestamp").alias("created_at"), F.col("message.content").alias("text"))
+    return rows.withColumn("parent", F.lag("node").over(Window.partitionBy("conversation").orderBy(F.col("created_at").asc_nulls_last(), "node")))
+
+
+def notes(spark: SparkSession, path: str, limit_bytes: int = 1_000_000) -> DataFrame:
+    """Markdown notes: path, revision (digest of the bytes), title (first heading, else the file's name) and text."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(path).filter(F.col("length") <= limit_bytes)
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    rows = raw.select("path", F.sha2("content", 256).alias("revision"), text.alias("text")).filter("text is not null")
+    return rows.withColumn("title", F.coalesce(F.nullif(F.regexp_extract("text", r"(?m)^#\s+(.+?)\s*$", 1), F.lit("")), F.regexp_extract("path", r"([^/]+)\.md$", 1)))
