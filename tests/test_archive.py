@@ -2,6 +2,7 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -13,7 +14,7 @@ D = "/root/testdata/sf0.01"
 
 
 def rows(pdf):
-    plain = lambda v: None if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)) else int(v) if isinstance(v, float) and v == int(v) else v
+    plain = lambda v: None if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)) else int(v) if isinstance(v, (float, np.integer)) and v == int(v) else v
     return sorted(str(tuple(plain(v) for v in r)) for r in pdf[sorted(pdf.columns)].itertuples(index=False, name=None))
 
 
