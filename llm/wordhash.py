@@ -58,7 +58,8 @@ def span_hashes(data: np.ndarray, lens: np.ndarray) -> np.ndarray:
     pos = np.arange(len(data)) - np.repeat(begin, lens)
     v = _BYTE[data] * _STEP[pos & 0xFFFF]
     if lens.max() > 1 << 16:
-        v *= mix((pos >> 16).astype(np.uint64) + _U(7)) | _U(1)
+        far = np.flatnonzero(pos >> 16)  # words up to there hash alike, whatever is beside them
+        v[far] *= mix((pos[far] >> 16).astype(np.uint64) + _U(7)) | _U(1)
     return mix(np.add.reduceat(v, begin) + lens.astype(np.uint64))
 
 
