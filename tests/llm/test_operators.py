@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from llm import chat_format, decontaminate, line_dedup, mixing, ngram_join, pii, quality_lm, quality_rules, url_filter, warc_audit
+from llm import chat_format, components, decontaminate, line_dedup, mixing, ngram_join, pii, quality_lm, quality_rules, url_filter, warc_audit
+from llm.common import Scratch
 from llm.queries import QUERIES, SQL
 
 D = "/root/testdata/sf0.001"
@@ -80,6 +81,17 @@ def test_ngram_join(docs, k, num):
     assert got == {i: (len(s), root[i]) for i, s in sets.items()}
 
 
+def test_components_in_one_task_and_by_stars(spark):
+    r = random.Random(3)
+    pairs = [(i, i + 1) for i in range(0, 40)] + [(r.randint(-300, 300), r.randint(-300, 300)) for _ in range(150)] + [(7, 7), (500, 501), (501, 500)]
+    nodes = {n for p in pairs if p[0] != p[1] for n in p}
+    want = {n: c for n, c in union_find(pairs, nodes | {7}).items() if n != c}
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    for held in (0, 1_000):
+        assert {x.node: x.component for x in components.components(edges, Scratch(spark, "test-cc"), held=held).collect()} == want
+    assert components.components(edges.limit(0), Scratch(spark, "test-cc")).count() == 0
+
+
 def test_line_dedup(docs):
     norm = lambda s: " ".join(words(lower(s)))
     seen = [(i, n, norm(x)) for i, t in corpus() for n, x in enumerate((t or "").split("\n")) if len(norm(x)) >= 20]
