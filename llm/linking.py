@@ -27,7 +27,7 @@ PAIR, SHARED, POST = 0, 1, 2
 #: Postings that a map task holds before it combines and hands them on.
 HELD = 500_000
 #: Rounds of step 3; any number gives the same components in the end.
-ROUNDS = 3
+ROUNDS = 1
 LEADERS = 3
 ROWS = pa.schema([("kind", pa.int8()), ("token", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 ROWS_DDL = "kind tinyint, token long, id long, n int, pos int"
@@ -181,7 +181,7 @@ def similar_components(found: DataFrame, texts_of: Callable[[DataFrame], DataFra
     best = found.filter(F.col("kind") == PAIR).groupBy(F.col("token").alias("a"), F.col("id").alias("b")).count()
     best = scratch.write(best.groupBy("b").agg(F.max(F.struct("count", "a")).alias("top")).select("top.a", "b"), "best")
     ids = lambda df: df.select(F.col("a").alias("id")).union(df.select(F.col("b").alias("id"))).distinct()
-    texts = scratch.write(texts_of(scratch.write(ids(best), "ids")), "texts")
+    texts = scratch.write(texts_of(ids(best)), "texts")
     edges = scratch.write(verified(best, texts, sets, num, den, key), "edges")
     first = components(edges, scratch, "first")
     scratch.drop("texts", "best", "edges")
@@ -217,7 +217,7 @@ def similar_components(found: DataFrame, texts_of: Callable[[DataFrame], DataFra
         new = scratch.write(new, f"new-{i}")
         if not (many := new.count()):
             break
-        texts = scratch.write(texts_of(scratch.write(ids(new), f"new-ids-{i}")), f"new-texts-{i}")
+        texts = scratch.write(texts_of(ids(new)), f"new-texts-{i}")
         edges = scratch.write(verified(new, texts, sets, num, den, key), f"new-edges-{i}")
         scratch.drop(f"new-texts-{i}", f"lead-{i}", f"new-{i}")
         if not (good := edges.count()):
@@ -235,7 +235,7 @@ def similar_components(found: DataFrame, texts_of: Callable[[DataFrame], DataFra
     once = (F.col("x.component") < F.col("y.component")) | (F.col("y.inner") & (F.col("x.component") != F.col("y.component")))
     pairs = shared.filter("not inner").alias("x").join(shared.alias("y"), (F.col("x.token") == F.col("y.token")) & once & fit(of("x"), of("y"))).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
     pairs = scratch.write(pairs.select("a", "b").distinct(), "pairs")
-    texts = scratch.write(texts_of(scratch.write(ids(pairs), "more-ids")), "more-texts")
+    texts = scratch.write(texts_of(ids(pairs)), "more-texts")
     more = scratch.write(verified(pairs, texts, sets, num, den, key), "more-edges")
     scratch.drop("more-texts", "pairs", "top", "flagged")
     return first if more.isEmpty() else join_up(first, more, "last")
