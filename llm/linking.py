@@ -3,8 +3,8 @@
 1. In each map task, ids that share a token are linked to the first of them as candidates, and only that one is posted;
    where the posts of all tasks meet, they are linked to their first in turn. Every task streams its sorted rows.
 2. Each id's best candidate is verified, and the links' components are found. A group of copies is one component now.
-3. Where a token still has members in several components, another of its ids leads, and the members of other components
-   are verified against it, one candidate each; so up to ROUNDS times, as long as this links many.
+3. Where a token still has members in several components, LEADERS other ids of it lead, and the members of other components
+   are verified against them, as many candidates each; so up to ROUNDS times, as long as this links many.
 4. Every other pair that shares a token lies in two components: these pairs are formed token by token between members of
    different components only, filtered, verified once each, and the components found again.
 
@@ -210,11 +210,12 @@ def similar_components(found: DataFrame, texts_of: Callable[[DataFrame], DataFra
     of = lambda side: lambda c: F.col(f"{side}.{c}")
     for i in range(1, ROUNDS + 1):
         leads = [F.min(F.struct(F.xxhash64("id", F.lit(LEADERS * i + j)).alias("h"), *columns)).alias(f"lead{j}") for j in range(LEADERS)]
-        lead = shared.groupBy("token").agg(*leads).select("token", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"lead{j}.{c}") for c in columns]) for j in range(LEADERS)]))).alias("lead"))
-        lead = scratch.write(lead.select("token", "lead.*"), f"lead-{i}")
+        each = F.array(*[F.struct(*[F.col(f"lead{j}.{c}") for c in columns]) for j in range(LEADERS)])
+        lead = shared.groupBy("token").agg(*leads).select("token", F.posexplode(F.array_distinct(each)).alias("nth", "lead"))
+        lead = scratch.write(lead.select("token", "nth", "lead.*"), f"lead-{i}")
         new = shared.alias("x").join(lead.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & fit(of("x"), of("y")))
-        new = new.groupBy(F.col("y.id").alias("a"), F.col("x.id").alias("b")).count().groupBy("b").agg(F.max(F.struct("count", "a")).alias("top")).select("top.a", "b")
-        new = scratch.write(new, f"new-{i}")
+        new = new.groupBy(F.col("y.nth").alias("nth"), F.col("y.id").alias("a"), F.col("x.id").alias("b")).count().groupBy("b", "nth").agg(F.max(F.struct("count", "a")).alias("top"))
+        new = scratch.write(new.select("top.a", "b").distinct(), f"new-{i}")
         if not (many := new.count()):
             break
         texts = scratch.write(texts_of(ids(new)), f"new-texts-{i}")
