@@ -172,11 +172,11 @@ def verified(pairs: DataFrame, texts: DataFrame, sets: Sets, num: int, den: int,
 Row = Callable[[str], Column]
 
 
-def similar_components(found: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Sets, scratch: Scratch, num: int, den: int, key: Callable[[np.ndarray], int] | None = None, fits: Callable[[Row, Row], Column] | None = None, traits: DataFrame | None = None) -> DataFrame:
+def similar_components(found: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Sets, scratch: Scratch, num: int, den: int, key: Callable[[np.ndarray], int] | None = None, fits: Callable[[Row, Row], Column] | None = None, traits: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """node, component of ids, least nodes left out. found: what combined() wrote; texts_of gives id, text of a table of ids.
 
-    fits(x, y) says of two postings of one token whether their sets can be similar, by n, pos and the columns of traits
-    (one row for each id).
+    fits(x, y) says of two postings of one token whether their sets can be similar (null: perhaps), by n, pos and the columns
+    of what traits makes of a table of ids: at most one row for each.
     """
     best = found.filter(F.col("kind") == PAIR).groupBy(F.col("token").alias("a"), F.col("id").alias("b")).count()
     best = scratch.write(best.groupBy("b").agg(F.max(F.struct("count", "a")).alias("top")).select("top.a", "b"), "best")
@@ -200,11 +200,11 @@ def similar_components(found: DataFrame, texts_of: Callable[[DataFrame], DataFra
 
     def fit(x: Row, y: Row) -> Column:
         lengths = den * F.least(x("n"), y("n")).cast("long") >= num * F.greatest(x("n"), y("n")).cast("long")
-        return lengths if fits is None else lengths & fits(x, y)
+        return lengths if fits is None else lengths & F.coalesce(fits(x, y), F.lit(True))
 
     shared = apart(found.filter(F.col("kind") == SHARED).select("token", "id", "n", "pos").distinct(), first, "apart-0")
     if traits is not None:
-        shared = scratch.write(shared.join(traits, "id"), "apart-1")
+        shared = scratch.write(shared.join(traits(shared.select("id").distinct()), "id", "left"), "apart-1")
         scratch.drop("apart-0")
     columns = [c for c in shared.columns if c != "token"]
     of = lambda side: lambda c: F.col(f"{side}.{c}")
