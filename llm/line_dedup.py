@@ -3,9 +3,9 @@
 A line's normal form has A-Z lower-cased, each run of blanks as one space and none at its ends. Lines with equal normal
 forms are one id. Each id's set of K-character shingles gets a signature of BANDS * ROWS minima by one permutation (empty
 bins are filled from others by a fixed hash), whose bands are the tokens that similar lines share: at the limit of 0.8
-two lines share a band with a chance of about 0.99. Bits of their shingles rule out
-most pairs inside the joins; candidates left are verified by their exact Jaccard similarity, and one
-line of each component is kept, the first by document id and line number.
+two lines share a band with a chance of about 0.99. Lengths and parities of their shingles rule out most pairs inside the
+joins; candidates left are verified by their exact Jaccard similarity, and one line of each component is kept, the first
+by document id and line number.
 
 Defined results: lines with fewer than MIN_CHARS characters in normal form are never dropped; a null or empty text has one
 empty line; lines repeated inside a document are dropped like others; repeated rows with one id are the same lines, and
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.common import Scratch, batch_of, by_ids, chunks, table, with_ids
-from llm.linking import ROWS, ROWS_DDL, Combiner, Row, combined, similar_components
+from llm.linking import ROWS, ROWS_DDL, Combiner, Row, apart, combined, parities, similar_components
 from llm.wordhash import _ORDER, _STEP, mix
 
 K, MIN_CHARS = 8, 20
@@ -31,8 +31,8 @@ NUM, DEN = 80, 100
 BANDS, ROWS_A_BAND = 12, 5
 BINS = BANDS * ROWS_A_BAND
 LINE = 3
-#: Bits of a line's shingles, 64 a column, each telling whether any shingle falls there.
-BITS = [f"h{i}" for i in range(8)]
+#: Each line's parities: 64 bits a column, each telling whether an odd number of its shingles fall there.
+PARITY = [f"h{i}" for i in range(16)]
 _U = np.uint64
 _BLANK = np.zeros(33, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -149,9 +149,9 @@ def line_sets(buf: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     return [np.unique(h[a : e - K + 1]) for a, e in zip(lines.begin.tolist(), lines.end.tolist(), strict=True)]
 
 
-def line_bits(texts: DataFrame) -> DataFrame:
-    """For ids and texts of lines: id, many (shingles, repeated ones too) and BITS, one row for each id."""
-    schema = pa.schema([("id", pa.int64()), ("many", pa.int64()), *[(c, pa.int64()) for c in BITS]])
+def line_parities(texts: DataFrame) -> DataFrame:
+    """For ids and texts of lines: id, many (distinct shingles) and PARITY, one row for each id."""
+    schema = pa.schema([("id", pa.int64()), ("many", pa.int64()), *[(c, pa.int64()) for c in PARITY]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,20 +161,22 @@ def line_bits(texts: DataFrame) -> DataFrame:
                 which = which[lines.hashes(which).view(np.int64) == ids[which]]
                 many = lines.size[which] - K + 1
                 at = np.cumsum(many) - many
+                row = np.repeat(np.arange(len(which)), many)
                 h = lines.shingles()[np.arange(int(many.sum())) + np.repeat(lines.begin[which] - at, many)]
-                seen = np.zeros((len(which), 64 * len(BITS)), np.uint8)
-                seen[np.repeat(np.arange(len(which)), many), (h % _U(64 * len(BITS))).astype(np.int64)] = 1
-                words = np.packbits(seen, axis=1).view(">u8").astype(np.uint64).view(np.int64)
-                yield batch_of(schema, ids[which], many, *[words[:, i] for i in range(len(BITS))])
+                order = np.lexsort((h, row))
+                row, h = row[order], h[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+                row, h = row[new], h[new]
+                yield batch_of(schema, ids[which], np.bincount(row, minlength=len(which)), *parities(row, h, len(which), len(PARITY)))
 
-    return texts.mapInArrow(run, "id long, many long, " + ", ".join(f"{c} long" for c in BITS)).dropDuplicates(["id"])
+    return texts.mapInArrow(run, "id long, many long, " + ", ".join(f"{c} long" for c in PARITY)).dropDuplicates(["id"])
 
 
 def fits(x: Row, y: Row) -> Column:
-    """Every bit in which two lines differ stands for a shingle that only one of them has; similar lines have few of those."""
+    """Every bit in which two lines' parities differ stands for a shingle that only one has; similar lines have few of those."""
     both = x("many") + y("many")
-    apart = sum((F.bit_count(x(c).bitwiseXOR(y(c))) for c in BITS[1:]), F.bit_count(x(BITS[0]).bitwiseXOR(y(BITS[0]))))
-    return (NUM + DEN) * (both - apart) >= 2 * NUM * both
+    return (DEN * F.least(x("many"), y("many")) >= NUM * F.greatest(x("many"), y("many"))) & ((NUM + DEN) * (both - apart(x, y, PARITY)) >= 2 * NUM * both)
 
 
 def taken(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -205,7 +207,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         wanted = first.groupBy(F.col("at.doc").alias("id")).agg(F.collect_list(F.struct("line", F.col("at.number").alias("number"))).alias("entries"))
         return taken(own, work.write(wanted, "wanted"))
 
-    linked = similar_components(found, texts_of, line_sets, work, NUM, DEN, fits=fits, traits=lambda ids: line_bits(work.write(texts_of(ids), "apart-texts")))
+    linked = similar_components(found, texts_of, line_sets, work, NUM, DEN, fits=fits, traits=lambda ids: line_parities(work.write(texts_of(ids), "apart-texts")))
     seen = seen.join(linked.select(F.col("node").alias("line"), "component"), "line", "left").select("doc", "number", F.coalesce("component", "line").alias("c"))
     seen = work.write(seen, "seen")
     first = work.write(seen.groupBy("c").agg(F.min(F.struct("doc", "number")).alias("first")), "first-lines")

@@ -172,6 +172,19 @@ def verified(pairs: DataFrame, texts: DataFrame, sets: Sets, num: int, den: int,
 Row = Callable[[str], Column]
 
 
+def parities(row: np.ndarray, h: np.ndarray, n: int, columns: int) -> list[np.ndarray]:
+    """For each of n rows, 64 bits a column, each telling whether an odd number of the row's distinct hashes fall there."""
+    bits = 64 * columns
+    odd = (np.bincount(row * bits + (h & np.uint64(bits - 1)).astype(np.int64), minlength=n * bits) & 1).astype(np.uint8)
+    words = np.packbits(odd.reshape(n, bits), axis=1).view(">u8").astype(np.uint64).view(np.int64)
+    return [words[:, i] for i in range(columns)]
+
+
+def apart(x: Row, y: Row, columns: list[str]) -> Column:
+    """In how many bits the parities of two sets differ: at least as many elements are in only one of them."""
+    return sum((F.bit_count(x(c).bitwiseXOR(y(c))) for c in columns[1:]), F.bit_count(x(columns[0]).bitwiseXOR(y(columns[0]))))
+
+
 def similar_components(found: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Sets, scratch: Scratch, num: int, den: int, key: Callable[[np.ndarray], int] | None = None, fits: Callable[[Row, Row], Column] | None = None, traits: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """node, component of ids, least nodes left out. found: what combined() wrote; texts_of gives id, text of a table of ids.
 
@@ -186,7 +199,7 @@ def similar_components(found: DataFrame, texts_of: Callable[[DataFrame], DataFra
     first = components(edges, scratch, "first")
     scratch.drop("texts", "best", "edges")
 
-    def apart(shared: DataFrame, linked: DataFrame, name: str) -> DataFrame:
+    def parted(shared: DataFrame, linked: DataFrame, name: str) -> DataFrame:
         """The postings of tokens with several components, each with its component."""
         shared = shared.drop("component").join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         shared = scratch.write(shared, f"{name}-all")
@@ -202,7 +215,7 @@ def similar_components(found: DataFrame, texts_of: Callable[[DataFrame], DataFra
         lengths = den * F.least(x("n"), y("n")).cast("long") >= num * F.greatest(x("n"), y("n")).cast("long")
         return lengths if fits is None else lengths & F.coalesce(fits(x, y), F.lit(True))
 
-    shared = apart(found.filter(F.col("kind") == SHARED).select("token", "id", "n", "pos").distinct(), first, "apart-0")
+    shared = parted(found.filter(F.col("kind") == SHARED).select("token", "id", "n", "pos").distinct(), first, "apart-0")
     if traits is not None:
         shared = scratch.write(shared.join(traits(shared.select("id").distinct()), "id", "left"), "apart-1")
         scratch.drop("apart-0")
@@ -224,7 +237,7 @@ def similar_components(found: DataFrame, texts_of: Callable[[DataFrame], DataFra
         if not (good := edges.count()):
             break
         first = join_up(first, edges, f"round-{i}")
-        shared = apart(shared, first, f"apart-{i + 1}")
+        shared = parted(shared, first, f"apart-{i + 1}")
         scratch.drop(f"apart-{i}")
         if good < 0.05 * many:
             break

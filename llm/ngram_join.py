@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.common import Scratch, batch_of, by_ids, chunks, table, with_ids
-from llm.linking import ROWS_DDL, Combiner, combined, similar_components
+from llm.linking import ROWS_DDL, Combiner, apart, combined, parities, similar_components
 from llm.wordhash import shingle_sets, word_hashes
 
 #: Counters of the sketch: 2 ** SKETCH_BITS, 4 bytes each in a broadcast.
@@ -56,7 +56,7 @@ def profile(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for a, b, buf, off in chunks(batch.column(1)):
                 sets = sets_of(k)(buf, off)
-                yield batch_of(schema, np.zeros(b - a, np.int8), batch.column(0).slice(a, b - a), [len(s) for s in sets], [signature(s) for s in sets], *parities(sets))
+                yield batch_of(schema, np.zeros(b - a, np.int8), batch.column(0).slice(a, b - a), [len(s) for s in sets], [signature(s) for s in sets], *parities(np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets), len(sets), len(PARITY)))
                 held += sets
                 size += sum(map(len, sets))
                 if size > 2_000_000:
@@ -102,14 +102,6 @@ def postings(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray) ->
     return docs.mapInArrow(run, ROWS_DDL)
 
 
-def parities(sets: list[np.ndarray]) -> list[np.ndarray]:
-    sizes = np.array([len(s) for s in sets], np.int64)
-    place = np.concatenate(sets) & np.uint64(64 * len(PARITY) - 1) if len(sets) else np.zeros(0, np.uint64)
-    odd = np.bincount(np.repeat(np.arange(len(sets)), sizes) * 64 * len(PARITY) + place.astype(np.int64), minlength=len(sets) * 64 * len(PARITY)) & 1
-    words = np.packbits(odd.astype(np.uint8).reshape(len(sets), -1), axis=1).view(">u8").astype(np.uint64).view(np.int64)
-    return [words[:, i] for i in range(len(PARITY))]
-
-
 def fitting(num: int, den: int):
     """Positional and suffix filter: what two sets that meet in a shingle can share at most reaches what they need.
 
@@ -120,8 +112,7 @@ def fitting(num: int, den: int):
     def fits(x, y) -> Column:
         both = (x("n") + y("n")).cast("long")
         most = F.least(x("pos"), y("pos")) + F.least(x("n") - x("pos"), y("n") - y("pos"))
-        apart = sum((F.bit_count(x(c).bitwiseXOR(y(c))) for c in PARITY[1:]), F.bit_count(x(PARITY[0]).bitwiseXOR(y(PARITY[0]))))
-        return ((num + den) * most.cast("long") >= num * both) & ((num + den) * (both - apart) >= 2 * num * both)
+        return ((num + den) * most.cast("long") >= num * both) & ((num + den) * (both - apart(x, y, PARITY)) >= 2 * num * both)
 
     return fits
 
