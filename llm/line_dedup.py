@@ -201,23 +201,25 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = combined(line_rows(own), work, 0, 1)
     lines = found.filter(F.col("kind") == LINE)
     seen = lines.filter("pos >= 0").select(F.col("token").alias("doc"), F.col("pos").alias("number"), F.col("id").alias("line"))
+    places = work.write(seen.groupBy("line").agg(F.min(F.struct("doc", "number")).alias("at"), F.count("*").alias("copies")), "places")
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        first = seen.join(ids.withColumnRenamed("id", "line"), "line", "left_semi").groupBy("line").agg(F.min(F.struct("doc", "number")).alias("at"))
+        first = places.join(ids.withColumnRenamed("id", "line"), "line", "left_semi")
         wanted = first.groupBy(F.col("at.doc").alias("id")).agg(F.collect_list(F.struct("line", F.col("at.number").alias("number"))).alias("entries"))
         return taken(own, work.write(wanted, "wanted"))
 
     linked = similar_components(found, texts_of, line_sets, work, NUM, DEN, fits=fits, traits=lambda ids: line_parities(work.write(texts_of(ids), "apart-texts")))
-    seen = seen.join(linked.select(F.col("node").alias("line"), "component"), "line", "left").select("doc", "number", F.coalesce("component", "line").alias("c"))
-    seen = work.write(seen, "seen")
-    first = work.write(seen.groupBy("c").agg(F.min(F.struct("doc", "number")).alias("first")), "first-lines")
-    extra = seen.join(first, "c").filter(F.struct("doc", "number") != F.col("first"))
+    placed = places.join(linked.select(F.col("node").alias("line"), "component"), "line", "left").select("line", "at", "copies", F.coalesce("component", "line").alias("c"))
+    placed = work.write(placed, "placed")
+    first = placed.groupBy("c").agg(F.min("at").alias("first"))
+    again = work.write(placed.join(first, "c").filter("copies > 1 or at <> first").select("line", "first"), "again")
+    extra = seen.join(again, "line").filter(F.struct("doc", "number") != F.col("first"))
     extra = extra.groupBy(F.col("doc").alias("id")).agg(F.array_sort(F.collect_set("number")).alias("dropped"))
     count = lambda mark: F.max(F.when(F.col("pos") == mark, F.col("n"))).cast("long")
     base = lines.filter("pos < 0").groupBy("id").agg(count(-1).alias("n_lines"), count(-2).alias("n_worded"))
     out = base.join(extra, "id", "left")
     out = work.write(out.select(F.when(F.col("id") != last, F.col("id")).alias(id_col), "n_lines", "n_worded", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped")), "dropped")
-    work.drop("combined", "seen", "first-lines")
+    work.drop("combined", "places", "placed", "again")
     return out
 
 
