@@ -208,7 +208,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         wanted = first.groupBy(F.col("at.doc").alias("id")).agg(F.collect_list(F.struct("line", F.col("at.number").alias("number"))).alias("entries"))
         return taken(own, work.write(wanted, "wanted"))
 
-    linked = similar_components(found, texts_of, line_sets, work, NUM, DEN, fits=fits, traits=lambda ids: line_parities(work.write(texts_of(ids), "apart-texts")))
+    linked = similar_components(found, texts_of, line_sets, work, NUM, DEN, fits=fits, distance=lambda x, y: apart(x, y, PARITY), traits=lambda ids: line_parities(work.write(texts_of(ids), "apart-texts")))
     placed = places.join(linked.select(F.col("node").alias("line"), "component"), "line", "left").select("line", "at", "copies", F.coalesce("component", "line").alias("c"))
     placed = work.write(placed, "placed")
     first = placed.groupBy("c").agg(F.min("at").alias("first"))

@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from llm.common import CHUNK_BYTES, Scratch, batch_of, text_arrays
@@ -185,11 +185,12 @@ def apart(x: Row, y: Row, columns: list[str]) -> Column:
     return sum((F.bit_count(x(c).bitwiseXOR(y(c))) for c in columns[1:]), F.bit_count(x(columns[0]).bitwiseXOR(y(columns[0]))))
 
 
-def similar_components(found: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Sets, scratch: Scratch, num: int, den: int, key: Callable[[np.ndarray], int] | None = None, fits: Callable[[Row, Row], Column] | None = None, traits: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def similar_components(found: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Sets, scratch: Scratch, num: int, den: int, key: Callable[[np.ndarray], int] | None = None, fits: Callable[[Row, Row], Column] | None = None, distance: Callable[[Row, Row], Column] | None = None, traits: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """node, component of ids, least nodes left out. found: what combined() wrote; texts_of gives id, text of a table of ids.
 
     fits(x, y) says of two postings of one token whether their sets can be similar (null: perhaps), by n, pos and the columns
-    of what traits makes of a table of ids: at most one row for each.
+    of what traits makes of a table of ids: at most one row for each. distance(x, y), by the same columns, picks the nearest
+    of an id's leaders.
     """
     best = found.filter(F.col("kind") == PAIR).groupBy(F.col("token").alias("a"), F.col("id").alias("b")).count()
     best = scratch.write(best.groupBy("b").agg(F.max(F.struct("count", "a")).alias("top")).select("top.a", "b"), "best")
@@ -227,7 +228,8 @@ def similar_components(found: DataFrame, texts_of: Callable[[DataFrame], DataFra
         lead = shared.groupBy("token").agg(*leads).select("token", F.posexplode(F.array_distinct(each)).alias("nth", "lead"))
         lead = scratch.write(lead.select("token", "nth", "lead.*"), f"lead-{i}")
         new = shared.alias("x").join(lead.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & fit(of("x"), of("y")))
-        new = new.groupBy(F.col("y.nth").alias("nth"), F.col("y.id").alias("a"), F.col("x.id").alias("b")).count().groupBy("b", "nth").agg(F.max(F.struct("count", "a")).alias("top"))
+        far = F.lit(0) if distance is None else F.coalesce(distance(of("x"), of("y")), F.lit(2**31 - 1))
+        new = new.groupBy(F.col("x.id").alias("b"), F.col("y.nth").alias("nth")).agg(F.min(F.struct(far.alias("far"), F.col("y.id").alias("a"))).alias("top"))
         new = scratch.write(new.select("top.a", "b").distinct(), f"new-{i}")
         if not (many := new.count()):
             break
@@ -245,9 +247,11 @@ def similar_components(found: DataFrame, texts_of: Callable[[DataFrame], DataFra
     # Members of a token's largest component meet only the others, not each other.
     top = shared.groupBy("token", "component").count().groupBy("token").agg(F.max(F.struct("count", "component")).alias("top"))
     top = scratch.write(top.select("token", F.col("top.component").alias("largest")), "top")
+    # A pair whose ids both have the same token before this one meets there too; only the first of such a run forms it.
+    shared = shared.withColumn("before", F.lag("token").over(Window.partitionBy("id").orderBy("pos", "token")))
     shared = scratch.write(shared.join(top, "token").withColumn("inner", F.col("component") == F.col("largest")).drop("largest"), "flagged")
     once = (F.col("x.component") < F.col("y.component")) | (F.col("y.inner") & (F.col("x.component") != F.col("y.component")))
-    pairs = shared.filter("not inner").alias("x").join(shared.alias("y"), (F.col("x.token") == F.col("y.token")) & once & fit(of("x"), of("y"))).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    pairs = shared.filter("not inner").alias("x").join(shared.alias("y"), (F.col("x.token") == F.col("y.token")) & once & F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True)) & fit(of("x"), of("y"))).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
     pairs = scratch.write(pairs.select("a", "b").distinct(), "pairs")
     texts = scratch.write(texts_of(ids(pairs)), "more-texts")
     more = scratch.write(verified(pairs, texts, sets, num, den, key), "more-edges")

@@ -131,7 +131,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         first = scratch.write(first.select("id", "sig"), "firsts")
         return by_ids(own, first, "id", "inner").select(F.col("sig").alias("id"), "text")
 
-    linked = similar_components(found, texts_of, sets_of(k), scratch, num, den, signature, fitting(num, den), lambda _: traits)
+    linked = similar_components(found, texts_of, sets_of(k), scratch, num, den, signature, fitting(num, den), lambda x, y: apart(x, y, PARITY), lambda _: traits)
     scratch.drop("combined")
     rows = rows.join(linked.select(F.col("node").alias("sig"), "component"), "sig", "left")
     rows = scratch.write(rows.select("id", "n", F.when(F.col("n") > 0, F.coalesce("component", "sig")).alias("c")), "rows")
