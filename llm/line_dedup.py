@@ -7,7 +7,11 @@ two lines share a band with a chance of about 0.99. Lengths and parities of thei
 joins; candidates left are verified by their exact Jaccard similarity, and one line of each component is kept, the first
 by document id and line number.
 
-Defined results: lines with fewer than MIN_CHARS characters in normal form are never dropped; a null or empty text has one
+Lines of fewer than K characters are one shingle, so they are similar to their exact repeats only, which share their id
+already: they get no signature.
+
+Defined results: lines with fewer than min_chars characters in normal form are never dropped; op9_line_dedup and
+without_duplicate_lines exempt blank lines only (1), duplicate_lines by itself those under MIN_CHARS; a null or empty text has one
 empty line; lines repeated inside a document are dropped like others; repeated rows with one id are the same lines, and
 the rows keep or lose them together. Documents whose every line with a word is dropped have nothing of their own left.
 Rows without an id come behind all others. Other columns are ignored.
@@ -100,9 +104,12 @@ def signatures(lines: Lines, which: np.ndarray) -> np.ndarray:
     np.minimum.at(out, np.repeat(np.arange(len(which)) * BINS, many) + bin_, (h & _U(0xFFFFFFFE)).astype(np.uint32))
     raw = out.reshape(-1, BINS)
     filled, tries = raw.copy(), 0
-    while (holes := filled == _EMPTY).any():
+    row, hole = np.nonzero(raw == _EMPTY)
+    while len(row):
         source = (mix(np.arange(BINS, dtype=np.uint64) * _U(1 << 20) + _U(tries)) % _U(BINS)).astype(np.int64)
-        filled = np.where(holes, raw[:, source], filled)
+        found = raw[row, source[hole]]
+        filled[row, hole] = found
+        row, hole = row[found == _EMPTY], hole[found == _EMPTY]
         tries += 1
     return filled
 
@@ -113,8 +120,8 @@ def band_tokens(signature: np.ndarray) -> np.ndarray:
     return mix(total + np.arange(BANDS, dtype=np.uint64) * _ORDER[9])
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
-    """Postings of the lines' bands, and kind LINE rows: token the document's id, id the line's hash, pos its number.
+def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
+    """Postings of the bands of lines of min_chars, and kind LINE rows: token the document's id, id the line's hash, pos its number.
 
     Each document also has LINE rows with pos -1 and -2, whose n counts its lines and its lines with words.
     """
@@ -125,7 +132,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b, buf, off in chunks(batch.column(1)):
                 lines = Lines(buf, off)
-                which = np.flatnonzero(lines.size >= MIN_CHARS)
+                which = np.flatnonzero(lines.size >= min_chars)
                 h = lines.hashes(which)
                 own = ids[a:b]
                 made = lambda doc, h, n, pos: batch_of(ROWS, np.full(len(doc), LINE, np.int8), doc, h, n.astype(np.int32), pos.astype(np.int32))
@@ -133,6 +140,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
                 for mark, count in ((-1, lines.n_lines), (-2, lines.n_worded)):
                     yield made(own, own, count, np.full(b - a, mark))
                 _, one = np.unique(h, return_index=True)
+                one = one[lines.size[which[one]] >= K]
                 if len(one):
                     tokens = band_tokens(signatures(lines, which[one]))
                     flat = np.repeat(h[one], BANDS)
@@ -157,7 +165,7 @@ def line_parities(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for a, b, buf, off in chunks(batch.column(1)):
                 lines, ids = Lines(buf, off), batch.column(0).to_numpy()[a:b]
-                which = np.flatnonzero(lines.size >= MIN_CHARS)
+                which = np.flatnonzero(lines.size >= K)
                 which = which[lines.hashes(which).view(np.int64) == ids[which]]
                 many = lines.size[which] - K + 1
                 at = np.cumsum(many) - many
@@ -193,12 +201,15 @@ def taken(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return by_ids(docs, wanted, "id", "inner", 200_000).select("text", "entries").mapInArrow(run, "id long, text string")
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For every id: id_col, n_lines, n_worded (lines with words), dropped (sorted numbers of lines to drop, from 0)."""
+def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """For every id: id_col, n_lines, n_worded (lines with words), dropped (sorted numbers of lines to drop, from 0).
+
+    Lines of fewer than min_chars (at least 1) are left out of it.
+    """
     work = Scratch(docs.sparkSession, "line-dedup")
     last = 2**63 - 1
     own = with_ids(docs, id_col, text_col).select(F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("id"), F.col(text_col).alias("text"))
-    found = combined(line_rows(own), work, 0, 1)
+    found = combined(line_rows(own, min_chars), work, 0, 1)
     lines = found.filter(F.col("kind") == LINE)
     seen = lines.filter("pos >= 0").select(F.col("token").alias("doc"), F.col("pos").alias("number"), F.col("id").alias("line"))
     places = work.write(seen.groupBy("line").agg(F.min(F.struct("doc", "number")).alias("at"), F.count("*").alias("copies")), "places")
@@ -226,7 +237,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def without_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """The documents less their duplicate lines, with all their columns; those with nothing of their own left go."""
     work = Scratch(docs.sparkSession, "line-dedup-texts")
-    found = duplicate_lines(docs, id_col, text_col).filter(F.size("dropped") > 0).select(F.col(id_col).alias("dup_id"), "dropped")
+    found = duplicate_lines(docs, id_col, text_col, 1).filter(F.size("dropped") > 0).select(F.col(id_col).alias("dup_id"), "dropped")
     found = work.write(found, "found")
     out = docs.join(F.broadcast(found), docs[id_col] == F.col("dup_id"), "left") if found.count() <= 200_000 else docs.join(found, docs[id_col] == F.col("dup_id"), "left")
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("dropped", i)), "\n")
@@ -238,5 +249,5 @@ def without_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = duplicate_lines(table(spark, sf_dir, "documents"))
+    out = duplicate_lines(table(spark, sf_dir, "documents"), min_chars=1)
     return out.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"))

@@ -112,6 +112,17 @@ def test_line_dedup(docs):
     assert 73 not in kept or dict(corpus())[73] is None
 
 
+def test_line_dedup_of_short_lines(spark, tmp_path):
+    long = "a line of more than twenty characters"
+    texts = ["Les.\n" + long, "les.", "own\n \n les. ", "", "  ", "あの人は昨日来た。\nx", "あの人は昨日来た。", "--------\nlast words here 12", "----------\nlast words here 1", long + "\nLes.", "abcdefghi\nabcdefghj"]
+    rows = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.dropped for r in line_dedup.op9_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: "", 1: "0", 2: "2", 3: "", 4: "", 5: "", 6: "0", 7: "", 8: "0,1", 9: "0,1", 10: ""}
+    kept = {r.doc_id: r.text for r in line_dedup.without_duplicate_lines(rows).collect()}
+    assert kept == {0: texts[0], 2: "own\n ", 3: "", 4: "  ", 5: texts[5], 7: texts[7], 10: texts[10]}
+
+
 def test_decontamination_in_several_passes(spark):
     items = [(1, "alpha beta gamma"), (2, " ".join(f"t{i}" for i in range(20))), (3, None), (4, "!!!")]
     texts = [(1, "x Alpha, BETA-gamma y"), (2, "z " * 5 + " ".join(f"t{i}" for i in range(3, 18))), (3, None), (4, "alphabeta gamma"), (5, "alpha beta gamma " + "q " * 100), (5, "")]
