@@ -6,11 +6,14 @@ search_text. All operators are lazy DataFrame transformations; only what a calle
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from chatlake.functions.text import first_at, normal, occurrences
 
@@ -150,20 +153,30 @@ def gap_sessions(rows: DataFrame, key: str, time: str, seconds: int, tie: str) -
     return rows.withColumn("new", F.when(gap <= seconds * 1_000_000, 0).otherwise(1)).withColumn("session", F.sum("new").over(w)).drop("new")
 
 
-def selected_path(edges: DataFrame, leaves: DataFrame, depth: int = 64) -> DataFrame:
+def selected_path(edges: DataFrame, leaves: DataFrame) -> DataFrame:
     """Nodes from each conversation's leaf to its root, root depth 0. edges: conversation, node, parent; leaves: conversation, node.
 
-    The walk is a recursive query that ends at depth steps, so a cycle ends too; a conversation whose walk doesn't reach a
-    node without a parent has no path.
+    Each conversation is walked by itself, as far as it goes; a walk that comes to a node again, or to one that isn't there,
+    doesn't reach a node without a parent, and the conversation has no path. Of several parents of a node the least counts,
+    none before all others.
     """
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("path_edges")
-    leaves.createOrReplaceTempView("path_leaves")
-    walked = spark.sql(f"""
-        WITH RECURSIVE walk(conversation, node, parent, up) AS (
-          SELECT e.conversation, e.node, e.parent, 0 FROM path_edges e JOIN path_leaves l ON e.conversation = l.conversation AND e.node = l.node
-          UNION ALL
-          SELECT e.conversation, e.node, e.parent, w.up + 1 FROM walk w JOIN path_edges e ON e.conversation = w.conversation AND e.node = w.parent WHERE w.up < {depth})
-        SELECT * FROM walk""")
-    whole = walked.groupBy("conversation").agg(F.max(F.col("parent").isNull()).alias("whole"), F.max("up").alias("top")).filter("whole")
-    return walked.join(whole, "conversation").select("conversation", "node", (F.col("top") - F.col("up")).cast("long").alias("depth"))
+    kind = {f.name: f.dataType for f in edges.schema.fields}
+    parents = edges.groupBy("conversation", "node").agg(F.min(F.struct(F.col("parent").isNotNull(), F.col("parent").alias("parent"))).alias("least"))
+    trees = parents.groupBy("conversation").agg(F.collect_list(F.struct("node", F.col("least.parent").alias("parent"))).alias("tree"))
+    ends = leaves.select(F.col("conversation").alias("of"), F.col("node").alias("leaf"))
+    walked = trees.join(ends, F.col("conversation").eqNullSafe(F.col("of"))).select("conversation", "leaf", "tree")
+    out = StructType([StructField("conversation", kind["conversation"]), StructField("path", ArrayType(kind["node"]))])
+    schema = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = []
+            for at, tree in zip(batch.column(1), batch.column(2), strict=True):
+                up, node, path = {e["node"]: e["parent"] for e in tree.as_py()}, at.as_py(), []
+                while node is not None and node in up:
+                    path.append(node)
+                    node = up.pop(node)
+                paths.append(path[::-1] if path and node is None else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(schema.types[0]), pa.array(paths, schema.types[1])], schema=schema)
+
+    return walked.mapInArrow(run, out).select("conversation", F.posexplode("path").alias("depth", "node")).select("conversation", "node", F.col("depth").cast("long").alias("depth"))

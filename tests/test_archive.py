@@ -73,3 +73,12 @@ def test_export_and_inbox(spark, tmp_path):
         (box / f"{k}.json").write_text('{"id": 1, "v": "a"}\n{"id": 2, "v": "b"}\n')
         follow(spark, str(box), "id long, v string", str(tmp_path / "cp"), publish_new(str(tmp_path / "out"), ["id"])).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_selected_path_of_long_conversations(spark):
+    edges = [(c, i, i - 1 if i else None) for c, n in (("a", 65), ("b", 66), ("c", 1500)) for i in range(n)]
+    edges += [("branch", 0, None), ("branch", 1, 0), ("branch", 2, 0), ("cycle", 0, 1), ("cycle", 1, 0), ("dangling", 1, 7), ("own", 3, 3), ("noleaf", 0, None)]
+    leaves = [("a", 64), ("b", 65), ("c", 1499), ("branch", 2), ("cycle", 1), ("dangling", 1), ("own", 3), ("noleaf", 5)]
+    got = A.selected_path(spark.createDataFrame(edges, "conversation string, node long, parent long"), spark.createDataFrame(leaves, "conversation string, node long"))
+    want = [(c, i, i) for c, n in (("a", 65), ("b", 66), ("c", 1500)) for i in range(n)] + [("branch", 0, 0), ("branch", 2, 1)]
+    assert sorted((r.conversation, r.node, r.depth) for r in got.collect()) == sorted(want)
