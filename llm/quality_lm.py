@@ -4,7 +4,7 @@ The model counts the n-grams of documents labelled good. Documents are scored in
 distinct n-grams, the requests are joined with the sharded counts of every order, and the answers come back to the block,
 where each document adds up its own. Half of the good documents (by a hash of the id) train the model and the other half,
 which it hasn't seen, sets the limits: a language's is a quantile of the perplexities of its own held-out documents, from
-counts in fixed bins. A document above it is rejected. Languages without such documents take the limit of all of them.
+counts in fixed bins, and SLACK, however many these are. A document above it is rejected. Languages without such documents take the limit of all of them.
 
 Characters: digits count as one, blanks as a space, those beyond the basic plane as one. Each text is framed by ORDER - 1
 start marks and an end mark. Perplexities are smoothed by PRIOR characters of the mean cost, as short texts tell little.
@@ -29,8 +29,6 @@ from llm.common import Scratch, batch_of, by_ids, chunks, table, with_ids
 
 ORDER = 4
 QUANTILE, SLACK = 0.995, 0.03
-#: Held-out documents from which a language's quantile stands as it is; with fewer, up to SPARE nats are added.
-ENOUGH, SPARE = 200, 0.25
 PRIOR = 100
 #: Bins of a nat: costs a character are counted in steps of 1 / BINS.
 BINS = 1000
@@ -234,7 +232,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("bin"))
         reach = lambda acc, x: F.coalesce(acc["bin"], F.when(acc["seen"] + x["count"] >= F.ceil(F.lit(quantile) * F.col("n")), x["bin"]))
         bin_ = F.aggregate("h", start, lambda acc, x: F.struct((acc["seen"] + x["count"]).alias("seen"), reach(acc, x).alias("bin")), lambda acc: acc["bin"])
-        return h.select("lang", ((bin_ + 1) / BINS + slack + SPARE * F.greatest(F.lit(0.0), 1 - F.col("n") / ENOUGH)).alias("limit"))
+        return h.select("lang", ((bin_ + 1) / BINS + slack).alias("limit"))
 
     own_limits = work.write(limits(bins), "limits")
     whole = limits(bins.groupBy(F.lit("").alias("lang"), "bin").agg(F.sum("count").alias("count"))).first()

@@ -274,6 +274,16 @@ def test_kneser_ney_equals_dictionaries(spark, docs):
     assert all(r.kept for r in quality_lm.perplexities(docs, labels.limit(0), order=3).collect())
 
 
+def test_quality_limit_of_few_documents(spark, docs):
+    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")
+    held = {r.doc_id for r in labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1).collect()}
+    got = quality_lm.perplexities(docs, labels, order=3).collect()
+    for lang in ("en", "de", ""):
+        worst = max(r.perplexity for r in got if r.doc_id in held and r.lang == lang)
+        (limit,) = {r.limit for r in got if r.lang == lang}
+        assert worst <= limit <= worst * np.exp(quality_lm.SLACK + 1.1 / quality_lm.BINS)
+
+
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in ("op1_warc_fixity_audit", "op5_chat_formatting")])
 def test_empty_tables(spark, name, docs):
     none = docs.limit(0)
