@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 ROLES = {"user": "owner", "assistant": "assistant", "system": "system", "tool": "system"}
 EXPORT = """array<struct<conversation_id:string,id:string,title:string,create_time:double,update_time:double,current_node:string,
  mapping:map<string,struct<id:string,parent:string,children:array<string>,message:struct<id:string,author:struct<role:string>,
- create_time:double,update_time:double,content:struct<content_type:string,parts:array<string>,text:string>>>>>>""".replace("\n", "")
+ create_time:double,update_time:double,content:struct<content_type:string,parts:array<variant>,text:string>>>>>>""".replace("\n", "")
 SESSION_LINE = "timestamp string, type string, sessionId string, uuid string, isSidechain boolean, isMeta boolean, isCompactSummary boolean, message struct<role:string,content:string>"
 
 
@@ -24,7 +24,8 @@ def chat_export(spark: SparkSession, path: str, namespace: str) -> DataFrame:
     derived = F.concat(F.lit("conv-fb-"), F.substring(F.sha2(F.concat_ws("|", F.coalesce("c.title", F.lit("")), F.coalesce(F.col("c.create_time").cast("string"), F.lit("")), first), 256), 1, 16))
     nodes = conv.select(F.coalesce("c.conversation_id", "c.id", derived).alias("conversation"), F.col("c.title").alias("title"), F.col("c.current_node").alias("current_node"), F.col("c.mapping").alias("mapping"), F.explode("c.mapping").alias("node", "n"))
     siblings = F.element_at("mapping", F.col("n.parent"))["children"]
-    parts = F.filter("n.message.content.parts", lambda x: x.isNotNull() & (x != "") & ~x.startswith("{"))
+    plain = F.filter("n.message.content.parts", lambda x: ~F.schema_of_variant(x).startswith("OBJECT"))
+    parts = F.filter(F.transform(plain, lambda x: x.cast("string")), lambda x: x.isNotNull() & (x != ""))
     text = F.nullif(F.coalesce(F.nullif(F.array_join(parts, "\n"), F.lit("")), F.col("n.message.content.text")), F.lit(""))
     message = F.col("n.message.id")
     return nodes.select(
