@@ -1,7 +1,8 @@
 """Quality rules: divergence of a text's histograms from those of its language (operator 7).
 
 Two histograms of each document, of character classes and of common words, are compared by Jensen-Shannon distance with
-references of its language, which are the summed histograms of the documents labelled good. Each language's limits are
+references of its language, which are the summed histograms of the documents labelled good. A language's common words are
+learned too: the COMMON most frequent ones of its good documents; all others share one more bin. Each language's limits are
 quantiles of the distances of its own good documents, found by counting distances in fixed bins. Texts under MIN_CHARS
 or MIN_WORDS are too short to be judged by a histogram and pass; so do texts of a language without a reference.
 
@@ -12,17 +13,18 @@ ignored. One row results for each row.
 
 from __future__ import annotations
 
+import collections
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from llm.common import Scratch, batch_of, chunks, table, with_ids
-from llm.wordhash import BLANK, span_hashes, windows, word_bounds
+from llm.common import Scratch, batch_of, by_ids, chunks, table, with_ids
+from llm.wordhash import BLANK, BYTE, span_hashes, windows, word_bounds
 
 SPAN = 8
 MIN_WORDS = 50
@@ -40,24 +42,11 @@ _CLASS[[9, 10, 11, 12, 13, 32]] = 3
 _CLASS[[ord(c) for c in ".,;:!?'\"()-"]] = 4
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
-#: Common words, over which all languages share one histogram; the last bin takes every other word.
-COMMON = (
-    "the of and to in is that it was for on are with as be this have from or by not but what all were "
-    "der die und den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er "
-    "le la et les des en un du une que est pour qui dans par plus pas au sur ne se ce il sont avec "
-    "el los las y del se por con no su para lo como más o pero sus al una"
-).split()
-COMMON = sorted(set(COMMON))
+#: Common words of a language.
+COMMON = 100
 _STRIP = ".,;:!?'\"()"
 
 
-def _common_hashes() -> tuple[np.ndarray, np.ndarray]:
-    raw = [w.encode() for w in COMMON]
-    h = span_hashes(np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw]))
-    order = np.argsort(h)
-    return h[order], order
-
-
 def _edges() -> np.ndarray:
     out = np.zeros(256, bool)
     out[[ord(c) for c in _STRIP]] = True
@@ -69,25 +58,61 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def measure(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
-    """Base figures and histograms of each text."""
+def bare_words(buf: np.ndarray, starts: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which words are more than marks, and these words' hashes, without marks and with A-Z lower-cased."""
+    bare = inside & ~_EDGE[buf]
+    kept = np.add.reduceat(bare, starts) if len(starts) else np.zeros(0, np.int64)
+    size = kept[kept > 0]
+    to = np.cumsum(size)
+    return kept > 0, span_hashes(BYTE[_LOWER[buf[bare]]], to - size, to)
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """lang, word (a hash) and n, added up inside tasks; docs: lang and text."""
+    schema = pa.schema([("lang", pa.string()), ("word", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = np.array(batch.column(0).to_pylist(), object)
+            for lang in sorted(set(every)):
+                of, total = batch.column(1).filter(pa.array(every == lang)), collections.Counter()
+                for _, _, buf, off in chunks(of):
+                    starts, _, _, inside = word_bounds(buf, off, BLANK)
+                    h, n = np.unique(bare_words(buf, starts, inside)[1], return_counts=True)
+                    total.update(dict(zip(h.view(np.int64).tolist(), n.tolist(), strict=True)))
+                yield batch_of(schema, [lang] * len(total), list(total), list(total.values()))
+
+    return docs.mapInArrow(run, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def common_words(counts: DataFrame) -> dict[str, np.ndarray]:
+    """The sorted hashes of each language's common words: COMMON numbers a language."""
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "word"))
+    out: dict[str, list[int]] = {}
+    for r in counts.withColumn("rank", rank).filter(F.col("rank") <= COMMON).collect():
+        out.setdefault(r["lang"], []).append(r["word"])
+    return {lang: np.sort(np.array(words, np.int64).view(np.uint64)) for lang, words in out.items()}
+
+
+def measure(buf: np.ndarray, off: np.ndarray, langs: list[str], known: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Base figures and histograms of each text; known: common words of the languages."""
     n = len(off) - 1
     starts, ends, words, inside = word_bounds(buf, off, BLANK)
-    lens, n_words = ends - starts, np.diff(words)
+    n_words = np.diff(words)
     total = lambda flags: np.diff(np.concatenate(([0], np.cumsum(flags)))[off])
     lead = (buf & 0xC0) != 0x80
     row = np.repeat(np.arange(n), np.diff(off))
     classes = np.bincount(row[lead] * CLASSES + _CLASS[buf[lead]], minlength=n * CLASSES).reshape(n, CLASSES)
-    bare = inside & ~_EDGE[buf]
-    kept = np.add.reduceat(bare, starts) if len(starts) else np.zeros(0, np.int64)
-    common = np.zeros((n, len(COMMON) + 1), np.int64)
-    if (kept > 0).any():
-        h, (known, order) = span_hashes(_LOWER[buf[bare]], kept[kept > 0]), _common_hashes()
-        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        which = np.where(known[at] == h, order[at], len(COMMON))
-        doc = np.repeat(np.arange(n), n_words)[kept > 0]
-        common = np.bincount(doc * common.shape[1] + which, minlength=common.size).reshape(common.shape)
-    every = windows(span_hashes(buf[inside], lens), SPAN)
+    common = np.zeros((n, COMMON + 1), np.int64)
+    worded, h = bare_words(buf, starts, inside)
+    doc = np.repeat(np.arange(n), n_words)[worded]
+    names = np.array(langs, object)
+    for lang in set(langs) & known.keys():
+        some = (names == lang)[doc]
+        of, own = known[lang], h[some]
+        at = np.minimum(np.searchsorted(of, own), len(of) - 1)
+        np.add.at(common, (doc[some], np.where(of[at] == own, at, COMMON)), 1)
+    every = windows(span_hashes(BYTE[buf], starts, ends), SPAN)
     repeat, lines = np.zeros(n, np.int64), np.zeros(n, np.int64)
     raw = buf.tobytes()
     for d in range(n):
@@ -113,16 +138,17 @@ def measure(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
 _NUMBERS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+def measured(own: DataFrame, known: dict[str, np.ndarray]) -> DataFrame:
+    """own: id, lang and text."""
+    shared = own.sparkSession.sparkContext.broadcast(known)
     schema = pa.schema([("id", pa.int64()), ("lang", pa.string()), *[(c, pa.int64()) for c in _NUMBERS], ("classes", pa.list_(pa.int64())), ("common", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, buf, off in chunks(batch.column(2)):
-                m = measure(buf, off)
+                m = measure(buf, off, batch.column(1).slice(a, b - a).to_pylist(), shared.value)
                 yield batch_of(schema, batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *[m[c] for c in _NUMBERS], m["classes"].tolist(), m["common"].tolist())
 
-    own = with_ids(docs, id_col, lang_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col))
     return own.mapInArrow(run, f"id long, lang string, {', '.join(c + ' long' for c in _NUMBERS)}, classes array<long>, common array<long>")
 
 
@@ -152,11 +178,13 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     gathered over all good documents.
     """
     work = Scratch(docs.sparkSession, "quality-rules")
-    rows = work.write(measured(docs, id_col, text_col, lang_col), "measured")
-    good = with_ids(labels, id_col, "quality").filter("quality = 1").select(F.col(id_col).cast("long").alias("id")).distinct()
-    good = rows.join(good, "id", "left_semi")
-    sums = [F.sum(F.col("classes")[i]).alias(f"x{i}") for i in range(CLASSES)] + [F.sum(F.col("common")[i]).alias(f"y{i}") for i in range(len(COMMON) + 1)]
-    ref = work.write(good.groupBy("lang").agg(*sums).select("lang", F.array(*[f"x{i}" for i in range(CLASSES)]).alias("ref_classes"), F.array(*[f"y{i}" for i in range(len(COMMON) + 1)]).alias("ref_common")), "reference")
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")).alias("lang"), F.col(f"`{text_col}`").alias("text"))
+    good = work.write(with_ids(labels, id_col, "quality").filter("quality = 1").select(F.col(id_col).cast("long").alias("id")).distinct(), "good")
+    known = common_words(work.write(word_counts(by_ids(own, good, "id").select("lang", "text")), "words"))
+    rows = work.write(measured(own, known), "measured")
+    good = by_ids(rows, good, "id")
+    sums = [F.sum(F.col("classes")[i]).alias(f"x{i}") for i in range(CLASSES)] + [F.sum(F.col("common")[i]).alias(f"y{i}") for i in range(COMMON + 1)]
+    ref = work.write(good.groupBy("lang").agg(*sums).select("lang", F.array(*[f"x{i}" for i in range(CLASSES)]).alias("ref_classes"), F.array(*[f"y{i}" for i in range(COMMON + 1)]).alias("ref_common")), "reference")
     far = lambda df: df.join(ref, "lang", "left").withColumns({
         "class_distance": F.when(F.col("word_chars") >= MIN_CHARS, jensen_shannon("classes", "ref_classes")),
         "word_distance": F.when(F.col("n_words") >= MIN_WORDS, jensen_shannon("common", "ref_common")),

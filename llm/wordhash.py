@@ -19,10 +19,9 @@ NOT_WORD[0:0x30] = NOT_WORD[0x3A:0x61] = NOT_WORD[0x7B:0x80] = True
 
 _U = np.uint64
 _seeded = np.random.Generator(np.random.PCG64(20240901))
-_BYTE = _seeded.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_STEP = np.full(1 << 16, _U(0x9E3779B97F4A7C15), np.uint64)
-_STEP[0] = 1
-_STEP = np.cumprod(_STEP, dtype=np.uint64)
+BYTE = _seeded.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 _ORDER = _seeded.integers(1, 1 << 63, 64, dtype=np.uint64) * _U(2) + _U(1)
 
 
@@ -50,24 +49,32 @@ def word_bounds(data: np.ndarray, off: np.ndarray, blank: np.ndarray) -> tuple[n
     return starts, ends, np.searchsorted(starts, off), inside
 
 
-def span_hashes(data: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """Hashes of consecutive byte spans of the given lengths (none empty) that fill data."""
-    if not len(lens):
-        return np.zeros(0, np.uint64)
-    begin = np.concatenate(([0], np.cumsum(lens)[:-1]))
-    pos = np.arange(len(data)) - np.repeat(begin, lens)
-    v = _BYTE[data] * _STEP[pos & 0xFFFF]
-    if lens.max() > 1 << 16:
-        far = np.flatnonzero(pos >> 16)  # words up to there hash alike, whatever is beside them
-        v[far] *= mix((pos[far] >> 16).astype(np.uint64) + _U(7)) | _U(1)
-    return mix(np.add.reduceat(v, begin) + lens.astype(np.uint64))
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, _U(base), np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+#: Powers of the base and of its inverse, for chunks of the usual size.
+_UP, _DOWN = (_powers(x, 1 << 19) for x in (_BASE, _INVERSE))
+
+
+def span_hashes(code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the spans from starts to ends (none empty) of an array of random codes, wherever they lie in it.
+
+    Each is a polynomial of its codes: a difference of running sums, moved to the span's start by a power of the inverse.
+    """
+    up, down = (_UP, _DOWN) if len(code) <= len(_UP) else (_powers(_BASE, len(code)), _powers(_INVERSE, len(code)))
+    total = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum(code * up[: len(code)], out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def word_hashes(buf: np.ndarray, off: np.ndarray, blank: np.ndarray = BLANK, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word, and the offsets of each text's words."""
     data = LOWER[buf] if lower else buf
-    starts, ends, words, inside = word_bounds(data, off, blank)
-    return span_hashes(data[inside], ends - starts), words
+    starts, ends, words, _ = word_bounds(data, off, blank)
+    return span_hashes(BYTE[data], starts, ends), words
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:
@@ -80,14 +87,62 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
     return mix(total + _U(k))
 
 
-def shingle_sets(h: np.ndarray, words: np.ndarray, k: int) -> list[np.ndarray]:
-    """Each text's distinct k-word shingles, sorted; with fewer words the whole sequence is one; without words none."""
-    every, out = windows(h, k), []
-    for a, b in zip(words[:-1].tolist(), words[1:].tolist(), strict=True):
-        if b - a >= k:
-            out.append(np.unique(every[a : b - k + 1]))
-        elif b > a:
-            out.append(windows(h[a:b], b - a))
-        else:
-            out.append(np.zeros(0, np.uint64))
-    return out
+def sets_of_spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of each span, sorted, one set behind the other, and their sizes."""
+    many = ends - starts
+    to = np.cumsum(many)
+    out = values[np.arange(int(many.sum())) + np.repeat(starts - to + many, many)]
+    for a, b in zip((to - many).tolist(), to.tolist(), strict=True):
+        out[a:b].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    new[(to - many)[many > 0]] = True
+    before = np.concatenate(([0], np.cumsum(new)))
+    return out[new], before[to] - before[to - many]
+
+
+def shingle_sets(h: np.ndarray, words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct k-word shingles, sorted, one text behind the other, and how many each has.
+
+    With fewer than k words the whole sequence is one shingle; without words there is none.
+    """
+    starts, ends = words[:-1], words[1:]
+    every = windows(h, k)
+    short = np.flatnonzero((ends - starts < k) & (ends > starts))
+    if len(short):
+        own = np.concatenate([windows(h[a:b], b - a) for a, b in zip(starts[short].tolist(), ends[short].tolist(), strict=True)])
+        first, last = starts.copy(), np.maximum(ends - k + 1, starts)
+        first[short] = len(every) + np.arange(len(short))
+        last[short] = first[short] + 1
+        return sets_of_spans(np.concatenate((every, own)), first, last)
+    return sets_of_spans(every, np.minimum(starts, len(every)), np.maximum(ends - k + 1, np.minimum(starts, len(every))))
+
+
+def set_hash(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each of n rows' set of distinct values, whatever their order; an empty set's is that of 0 values."""
+    total = np.zeros(n, np.uint64)
+    np.add.at(total, rows, mix(values + _U(29)))
+    return mix(total + mix(np.bincount(rows, minlength=n).astype(np.uint64)))
+
+
+def parities(rows: np.ndarray, values: np.ndarray, size: np.ndarray, columns: int) -> tuple[list[np.ndarray], list[bytes]]:
+    """Of each row's distinct values, by their low bits: whether an odd number falls on each of a row's bits.
+
+    First in so many columns (a power of two) of 64 bits, then in a string of bits about twice to four times as many as the row has values: every
+    bit in which two sets' parities differ stands for a value that only one of them has.
+    """
+    out, bit = np.zeros(len(size) * columns, np.uint64), _U(1) << (values & _U(63))
+    np.bitwise_xor.at(out, rows * columns + ((values >> _U(6)) & _U(columns - 1)).view(np.int64), bit)
+    words = np.maximum(4, 1 << np.ceil(np.log2(np.maximum(size, 1) / 32)).astype(np.int64).clip(0))
+    at = np.cumsum(words) - words
+    wide = np.zeros(int(words.sum()), np.uint64)
+    np.bitwise_xor.at(wide, at[rows] + ((values >> _U(6)).view(np.int64) & (words[rows] - 1)), bit)
+    return list(out.view(np.int64).reshape(-1, columns).T), [wide[a : a + n].tobytes() for a, n in zip(at.tolist(), words.tolist(), strict=True)]
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Bits in which two strings of parities differ; the longer one is folded to the length of the other."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(a) != len(b):
+        a, b = (np.bitwise_xor.reduce(v.reshape(-1, min(len(a), len(b))), axis=0) for v in (a, b))
+    return int(np.bitwise_count(a ^ b).sum())
