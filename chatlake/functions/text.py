@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Ranges of Chinese characters that are cut into bigrams.
+#: The ranges of Chinese characters that are cut into bigrams.
 CJK = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2FA1F}"
 #: Shapes of credentials; our own list.
 CREDENTIALS = [
@@ -20,6 +20,8 @@ CREDENTIALS = [
     r"(?i:api[_-]?key|token|secret|password)\s*[=:]\s*[\"']?[A-Za-z0-9_./+-]{8,}[\"']?",
 ]
 CREDENTIAL = "|".join(CREDENTIALS)
+_credential = re.compile(CREDENTIAL)
+_runs = re.compile("[\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0002fa1f]+")
 
 
 def normal(text: str) -> str:
@@ -34,6 +36,26 @@ def normalize(text: pd.Series) -> pd.Series:
     return text.map(normal, na_action="ignore")
 
 
+def normal_map(text: str) -> tuple[str, list[int]]:
+    """The normal form, and for each of its characters the place of the raw one; one more for the end."""
+    parts = [normal(c) for c in text]
+    offsets = [i for i, p in enumerate(parts) for _ in p]
+    return "".join(parts), [*offsets, len(text)]
+
+
+def cjk_runs(text: str) -> list[str]:
+    return _runs.findall(text)
+
+
+def bigrams_of(term: str) -> list[str]:
+    return [term] if len(term) < 2 else [term[i : i + 2] for i in range(len(term) - 1)]
+
+
+def masked_text(text: str) -> str:
+    """The text with a block for each character of a credential, as long as before."""
+    return _credential.sub(lambda m: "█" * len(m[0]), text)
+
+
 def raw_span(text: str, start: int, end: int) -> tuple[int, int]:
     """The span of the raw text behind a span of its normal form."""
     at, begin, stop = 0, len(text), len(text)
@@ -80,13 +102,9 @@ def has_credentials(text: Column) -> Column:
     return F.coalesce(text.rlike(CREDENTIAL), F.lit(False))
 
 
-_credential = re.compile(CREDENTIAL)
-
-
 @F.pandas_udf(StringType())
 def mask_credentials(text: pd.Series) -> pd.Series:
-    """The text with a block for each character of a credential, as long as before."""
-    return text.map(lambda t: _credential.sub(lambda m: "█" * len(m[0]), t), na_action="ignore")
+    return text.map(masked_text, na_action="ignore")
 
 
 def snippet(text: Column, start: Column, width: int = 80) -> Column:

@@ -19,24 +19,26 @@ from chatlake.functions.text import first_at, normal, occurrences
 
 
 def visible(messages: DataFrame, policy: DataFrame | None = None, withdrawn: DataFrame | None = None, scopes: Sequence[str] | None = None, deny: Sequence[str] = (), classified: bool = False, key: str = "revision_id") -> DataFrame:
-    """Messages that current policy lets through. policy: key, available, scopes, sensitivity, one row for each state's key.
+    """Messages that current policy lets through. policy: key, available, scopes, sensitivity, one row for each key.
 
-    Without a policy table all are available and unclassified. withdrawn holds the sources taken back (as source).
+    Where there is a policy table, a message without a row in it, or without an available one, is hidden; so are ones of
+    withdrawn sources (as source). Without a policy table all are available and unclassified, so a limit of scopes or to
+    classified messages lets none through.
     """
     out = messages
     if withdrawn is not None:
         out = out.join(withdrawn.select("source").distinct(), "source", "left_anti")
     if policy is None:
-        return out
-    out = out.join(policy, key, "left")
-    out = out.filter(F.coalesce("available", F.lit(True)))
+        return out.filter(F.lit(False)) if classified or scopes is not None else out
+    rows = policy.filter("available")
+    none = F.array().cast("array<string>")
     if classified:
-        out = out.filter(F.size(F.coalesce("scopes", F.array().cast("array<string>"))) > 0)
+        rows = rows.filter(F.size(F.coalesce("scopes", none)) + F.size(F.coalesce("sensitivity", none)) > 0)
     if scopes is not None:
-        out = out.filter(F.coalesce(F.arrays_overlap("scopes", F.array(*map(F.lit, scopes)).cast("array<string>")), F.lit(False)))
+        rows = rows.filter(F.coalesce(F.arrays_overlap("scopes", F.array(*map(F.lit, scopes)).cast("array<string>")), F.lit(False)))
     if deny:
-        out = out.filter(~F.coalesce(F.arrays_overlap("sensitivity", F.array(*map(F.lit, deny))), F.lit(False)))
-    return out.drop("available", "scopes", "sensitivity")
+        rows = rows.filter(~F.coalesce(F.arrays_overlap("sensitivity", F.array(*map(F.lit, deny))), F.lit(False)))
+    return out.join(rows.select(key), key, "left_semi")
 
 
 def current_policy(states: DataFrame, key: str = "revision_id", order: str = "version") -> DataFrame:

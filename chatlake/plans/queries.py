@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from chatlake.functions import text as X
 from chatlake.operators import archive as A
+from chatlake.operators import rules as R
 from chatlake.operators import semantic as V
+from chatlake.operators import facts
+from chatlake.plans.stored import stored
 from chatlake.sources.exports import speaker
 
 QUERY_VECTOR = [round(((i * 37) % 19 - 9) / 40, 4) for i in range(64)]
@@ -19,6 +22,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, d: str) -> DataFrame:
+    """conversations as stored messages with their normal form; an import makes that once, queries only read it."""
+    return stored(spark, d, "messages", lambda: imported(spark, d))
+
+
+def imported(spark: SparkSession, d: str) -> DataFrame:
     """conversations as messages, with a time made of ids: conv_id hours and turn minutes after the start of 2024."""
     c = table(spark, d, "conversations")
     at = F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60)
@@ -122,10 +130,13 @@ def current_revision(spark, d):
 
 
 def selected_path_depth(spark, d):
-    m = table(spark, d, "conversations")
-    edges = m.select(F.col("conv_id").alias("conversation"), F.col("turn").alias("node"), F.when(F.col("turn") > 0, F.col("turn") - 1).alias("parent"))
-    leaves = edges.groupBy("conversation").agg(F.max("node").alias("node"))
-    return A.selected_path(edges, leaves)
+    """Chains, trees whose turns hang two above, circles and dangling parents, by conversation."""
+    m = table(spark, d, "conversations").select(F.col("conv_id").alias("conversation"), F.col("turn").alias("node"))
+    last = m.groupBy("conversation").agg(F.max("node").alias("last"))
+    kind, up = F.col("conversation") % 4, F.col("node") - 1
+    parent = F.when(F.col("node") > 0, F.when(kind == 1, F.greatest(F.lit(0), up - 1)).otherwise(up)).when(kind == 2, F.col("last")).when(kind == 3, F.lit(999))
+    edges = m.join(last, "conversation").select("conversation", "node", parent.cast("long").alias("parent"))
+    return A.selected_path(edges, last.withColumnRenamed("last", "node"))
 
 
 def context_neighbours(spark, d):
@@ -152,17 +163,14 @@ def timeline_topn_per_day(spark, d):
 
 
 def bigram_jaccard_pairs(spark, d):
-    """Pairs of benchmark texts that share a fifth of their bigrams; candidates meet in a bigram, not in a cross join."""
-    b = table(spark, d, "benchmark").select("item_id", X.normalize("text").alias("s")).select("item_id", F.array_distinct(X.bigrams(F.col("s"))).alias("g"))
-    one = b.select("item_id", F.size("g").alias("n"), F.explode("g").alias("gram"))
-    two = one.select(F.col("item_id").alias("other_id"), F.col("n").alias("m"), "gram")
-    shared = one.join(two, "gram").filter("item_id < other_id").groupBy("item_id", "other_id", "n", "m").agg(F.count(F.lit(1)).alias("shared"))
-    return shared.filter("10 * shared >= 2 * (n + m - shared)").select("item_id", "other_id", "shared")
+    """Pairs of benchmark texts whose bigrams are similar enough to ask for their relation; they meet in a rare bigram."""
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("claim_id"), F.lit("goal").alias("memory_type"), X.normalize("text").alias("search"))
+    return facts.similar_claims(b, b, facts.RELATED).filter("new_id < old_id").select(F.col("new_id").alias("item_id"), F.col("old_id").alias("other_id"))
 
 
 def token_index_prefilter(spark, d):
     m = messages(spark, d)
-    index = m.select("event_id", F.explode(X.index_tokens(F.col("search_text"))).alias("token"))
+    index = stored(spark, d, "tokens", lambda: m.select("event_id", F.explode(X.index_tokens(F.col("search_text"))).alias("token")))
     wanted = ["the", "and"]
     return index.filter(F.col("token").isin(wanted)).groupBy("event_id").agg(F.countDistinct("token").alias("n")).filter(F.col("n") == len(wanted)).select("event_id")
 
@@ -180,7 +188,9 @@ def knn_filtered(spark, d):
 
 
 def knn_int8_rerank(spark, d):
-    return V.nearest_quantized(table(spark, d, "embeddings"), QUERY_VECTOR, 5, 8).select("vec_id", F.col("rank").cast("long").alias("rank"))
+    """Over vectors that are packed once; the coarse pass reads their bytes."""
+    packed = stored(spark, d, "packed", lambda: V.packed_vectors(table(spark, d, "embeddings").select("vec_id", "embedding")))
+    return V.nearest_packed(packed, QUERY_VECTOR, 5, 4).select("vec_id", F.col("rank").cast("long").alias("rank"))
 
 
 def rrf_fusion(spark, d):
@@ -211,13 +221,16 @@ def gap_sessions(spark, d):
     return s.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"))
 
 
-PREFIXES = [("opening", "The "), ("article", "La "), ("german", "Die ")]
+def injected_prefix_rules(spark, d):
+    """The real rules over owners' messages in front of which every third conversation has a mark of a tool."""
+    return R.counters(R.plan(_marked(spark, d)))
 
 
-def injected_prefix_rules(spark, d):
-    m = messages(spark, d).filter("speaker = 'owner'")
-    rule = F.coalesce(*[F.when(F.ltrim("text").startswith(p), n) for n, p in PREFIXES], F.lit("none"))
-    return m.groupBy(rule.alias("rule")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+def _marked(spark, d):
+    m = messages(spark, d).withColumn("source", F.element_at(F.array(F.lit("codex"), F.lit("claude"), F.lit("dsh")), (F.col("conversation") % 3 + 1).cast("int")))
+    mark = F.when(F.col("conversation") % 9 == 0, "  # AGENTS.md instructions\n").when(F.col("conversation") % 9 == 3, "The following is the Codex agent history\n").when(F.col("conversation") % 9 == 1, "<system-reminder>x</system-reminder> ").when(F.col("conversation") % 9 == 2, "Current runtime context\n")
+    text = F.when(F.col("conversation") % 18 == 1, F.lit("<command-name>a</command-name>\n<system-reminder>x</system-reminder>")).otherwise(F.concat(F.coalesce(mark, F.lit("")), "text"))
+    return m.withColumn("text", F.when(F.col("position") == 0, text).otherwise(F.col("text")))
 
 
 def snippet_offsets(spark, d):
@@ -254,30 +267,39 @@ SQL = {
     "coverage_minmax": f"WITH {MESSAGES} SELECT speaker, strftime(min(created_at), '%Y-%m-%d %H:%M:%S') AS first_at, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS last_at FROM m GROUP BY speaker",
     "status_counts": f"WITH {MESSAGES} SELECT speaker, count(*) AS messages, count(DISTINCT conversation) AS conversations, CAST(sum(len(text)) AS BIGINT) AS chars FROM m GROUP BY speaker",
     "policy_scope_allow": "SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1",
-    "policy_sensitivity_deny": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
+    "policy_sensitivity_deny": "SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE toxic <> 1",
     "policy_classified_only": "SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE toxic <> 1",
     "withdrawn_source_hidden": "SELECT source, count(*) AS n FROM documents WHERE source <> 'src0' GROUP BY source",
     "current_revision": """WITH r AS (SELECT user_id AS event, event_id AS seq, CASE WHEN event_type <> 'view' THEN CAST(floor(value) AS BIGINT) END AS v FROM events),
  b AS (SELECT *, max(v) OVER w AS m, count(*) OVER w AS k FROM r WINDOW w AS (PARTITION BY event ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
  s AS (SELECT *, CASE WHEN k = 0 OR v > m THEN 'resolved' WHEN v IS NULL OR m IS NULL OR v = m THEN 'unresolved' END AS state FROM b)
  SELECT event, arg_max(state, seq) AS state, CASE WHEN arg_max(state, seq) = 'resolved' THEN max(seq) END AS current_seq FROM s WHERE state IS NOT NULL GROUP BY event""",
-    "selected_path_depth": "SELECT conv_id AS conversation, turn AS node, turn AS depth FROM conversations",
+    "selected_path_depth": """WITH RECURSIVE l AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id),
+ e AS (SELECT c.conv_id, turn AS node, CASE WHEN turn > 0 THEN CASE WHEN conv_id % 4 = 1 THEN greatest(0, turn - 2) ELSE turn - 1 END WHEN conv_id % 4 = 2 THEN last WHEN conv_id % 4 = 3 THEN 999 END AS parent FROM conversations c JOIN l USING (conv_id)),
+ w AS (SELECT conv_id, last AS node, 0 AS k FROM l UNION ALL SELECT w.conv_id, e.parent, k + 1 FROM w JOIN e ON e.conv_id = w.conv_id AND e.node = w.node WHERE e.parent IS NOT NULL AND k < 200),
+ r AS (SELECT w.conv_id, max(k) AS top FROM w JOIN e USING (conv_id, node) WHERE e.parent IS NULL GROUP BY w.conv_id)
+ SELECT conv_id AS conversation, node, CAST(top - k AS BIGINT) AS depth FROM w JOIN r USING (conv_id)""",
     "context_neighbours": f"WITH {MESSAGES}, h AS (SELECT conversation, position FROM m WHERE contains(s, 'the th')) SELECT event_id, bool_or(h.position = m.position) AS is_hit FROM m JOIN h ON m.conversation = h.conversation AND abs(m.position - h.position) <= 1 GROUP BY event_id",
     "recall_islands": f"WITH {MESSAGES}, h AS (SELECT conversation, position, CASE WHEN position - lag(position) OVER (PARTITION BY conversation ORDER BY position) <= 3 THEN 0 ELSE 1 END AS new FROM m WHERE contains(s, 'the')), i AS (SELECT *, CAST(sum(new) OVER (PARTITION BY conversation ORDER BY position) AS BIGINT) AS island FROM h) SELECT conversation, island, count(*) AS n, min(position) AS low, max(position) AS high FROM i GROUP BY ALL",
     "timeline_day_conversation": f"WITH {MESSAGES} SELECT strftime({_LOCAL}, '%Y-%m-%d') AS day, conversation, count(*) AS n, count(*) FILTER (WHERE speaker = 'owner') AS n_owner, arg_min(event_id, (created_at, event_id)) FILTER (WHERE speaker = 'owner') AS first_owner FROM m GROUP BY {_LOCAL}, conversation",
     "timeline_topn_per_day": f"WITH {MESSAGES}, t AS (SELECT {_LOCAL} AS day, conversation, max(created_at) AS last_at FROM m GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY last_at DESC, conversation) AS rank FROM t) SELECT strftime(day, '%Y-%m-%d') AS day, conversation, rank FROM r WHERE rank <= 3",
-    "bigram_jaccard_pairs": f"WITH b AS (SELECT item_id, {_BI} AS g FROM (SELECT item_id, replace(lower(text), 'ß', 'ss') AS s FROM benchmark)) SELECT a.item_id, c.item_id AS other_id, CAST(len(list_intersect(a.g, c.g)) AS BIGINT) AS shared FROM b a JOIN b c ON a.item_id < c.item_id WHERE 10 * len(list_intersect(a.g, c.g)) >= 2 * (len(a.g) + len(c.g) - len(list_intersect(a.g, c.g)))",
+    "bigram_jaccard_pairs": f"WITH b AS (SELECT item_id, {_BI} AS g FROM (SELECT item_id, replace(lower(text), 'ß', 'ss') AS s FROM benchmark)) SELECT a.item_id, c.item_id AS other_id FROM b a JOIN b c ON a.item_id < c.item_id WHERE 20 * len(list_intersect(a.g, c.g)) >= 9 * (len(a.g) + len(c.g) - len(list_intersect(a.g, c.g)))",
     "token_index_prefilter": f"WITH {MESSAGES} SELECT event_id FROM m WHERE list_contains(regexp_extract_all(s, '[\\p{{L}}\\p{{N}}]+'), 'the') AND list_contains(regexp_extract_all(s, '[\\p{{L}}\\p{{N}}]+'), 'and')",
     "chunk_spans": "SELECT doc_id, CAST(i * 500 AS BIGINT) AS start, CAST(least(len(text), i * 500 + 600) AS BIGINT) AS \"end\" FROM (SELECT doc_id, text, unnest(range(0, CAST(greatest(ceil((len(text) - 600) / 500.0), 0) AS BIGINT) + 1)) AS i FROM documents WHERE len(text) > 0)",
     "knn_topk": f"SELECT * FROM ({_NEAR}) WHERE rank <= 10",
     "knn_filtered": f"SELECT * FROM ({_NEAR} WHERE label = 1) WHERE rank <= 5",
-    "knn_int8_rerank": f"SELECT * FROM ({_NEAR}) WHERE rank <= 5",
+    "knn_int8_rerank": f"""WITH s AS (SELECT 127.0::DOUBLE / max(list_max([abs(x) FOR x IN embedding])) AS scale FROM embeddings),
+ c AS (SELECT vec_id, embedding, list_sum([CAST((greatest(-128, least(127, round_even(embedding[i]::DOUBLE * scale, 0))) - greatest(-128, least(127, round_even(({_Q}::DOUBLE[])[i] * scale, 0)))) ** 2 AS BIGINT) FOR i IN range(1, 65)]) AS coarse FROM embeddings, s ORDER BY coarse, vec_id LIMIT 20)
+ SELECT * FROM (SELECT vec_id, row_number() OVER (ORDER BY {_DIST}, vec_id) AS rank FROM c) WHERE rank <= 5""",
     "rrf_fusion": f"WITH a AS (SELECT vec_id AS id, rank FROM ({_NEAR}) WHERE rank <= 20), b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents), u AS (SELECT * FROM a UNION ALL SELECT * FROM b WHERE rank <= 20), f AS (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS score, count(*) AS lists FROM u GROUP BY id) SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS fused_rank, lists FROM f",
     "credential_filter": f"SELECT doc_id, CAST(len(text) AS BIGINT) AS masked_chars FROM documents WHERE regexp_matches(text, '{X.CREDENTIAL.replace(chr(39), chr(39) * 2)}')",
     "round_robin_federation": "WITH u AS (SELECT 0 AS src, page_id AS id, row_number() OVER (ORDER BY page_id) AS rank FROM pages UNION ALL SELECT 1, conv_id, row_number() OVER (ORDER BY conv_id) FROM conversations WHERE turn = 0) SELECT src, id, row_number() OVER (ORDER BY rank, src) AS place FROM u WHERE rank <= 10",
     "running_text_budget": f"WITH {MESSAGES} SELECT event_id, CAST(least(len(text), greatest(0, 500 - coalesce(sum(len(text)) OVER (PARTITION BY conversation ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS given FROM m",
     "gap_sessions": "WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) <= 43200000000 THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS session FROM g) SELECT user_id, session, count(*) AS n, min(event_id) AS first_event FROM s GROUP BY ALL",
-    "injected_prefix_rules": f"WITH {MESSAGES} SELECT CASE WHEN starts_with(ltrim(text), 'The ') THEN 'opening' WHEN starts_with(ltrim(text), 'La ') THEN 'article' WHEN starts_with(ltrim(text), 'Die ') THEN 'german' ELSE 'none' END AS rule, count(*) AS n, CAST(sum(len(text)) AS BIGINT) AS chars FROM m WHERE speaker = 'owner' GROUP BY 1",
+    "injected_prefix_rules": """WITH m AS (SELECT conv_id, CASE conv_id % 3 WHEN 0 THEN 'codex' WHEN 1 THEN 'claude' ELSE 'dsh' END AS source,
+  CASE WHEN turn > 0 THEN text WHEN conv_id % 18 = 1 THEN '<command-name>a</command-name>' || chr(10) || '<system-reminder>x</system-reminder>' ELSE CASE conv_id % 9 WHEN 0 THEN '  # AGENTS.md instructions' || chr(10) WHEN 3 THEN 'The following is the Codex agent history' || chr(10) WHEN 1 THEN '<system-reminder>x</system-reminder> ' WHEN 2 THEN 'Current runtime context' || chr(10) ELSE '' END || text END AS text, turn, role FROM conversations),
+ r AS (SELECT *, CASE WHEN turn = 0 THEN CASE WHEN conv_id % 18 = 1 THEN 'command_name_block' WHEN conv_id % 9 = 0 THEN 'codex_agents_md' WHEN conv_id % 9 = 2 THEN 'dsh_runtime_context' END END AS own, bool_or(turn = 0 AND conv_id % 9 = 3 AND role = 'user') OVER (PARTITION BY conv_id) AS session FROM m)
+ SELECT source, CASE WHEN session THEN 'codex_guardian_history' ELSE own END AS rule, count(*) AS n, CAST(sum(len(text)) AS BIGINT) AS chars FROM r WHERE role = 'user' AND (session OR own IS NOT NULL) GROUP BY ALL""",
     "snippet_offsets": f"WITH {MESSAGES}, h AS (SELECT *, greatest(instr(s, 'the th') - 1 - 20, 0) AS b FROM m WHERE contains(s, 'the th')) SELECT event_id, CASE WHEN b > 0 THEN '…' ELSE '' END || substr(s, b + 1, 40) || CASE WHEN b + 40 < len(s) THEN '…' ELSE '' END AS snippet FROM h",
     "event_windows": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
 }

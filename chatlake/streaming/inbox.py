@@ -8,26 +8,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+#: Parts of a table by the hash of its keys; a batch reads the parts that its own keys fall in.
+PARTS = 256
 
-def follow(spark: SparkSession, inbox: str, schema: str, checkpoint: str, publish: Callable[[DataFrame, int], None], fmt: str = "json") -> StreamingQuery:
-    """Hands every new file of the inbox to publish once, in micro-batches, and ends; the checkpoint remembers them."""
-    stream = spark.readStream.schema(schema).format(fmt).load(inbox)
+
+def follow(spark: SparkSession, inbox: str, schema: str, checkpoint: str, publish: Callable[[DataFrame, int], None], fmt: str = "json", options: dict[str, str] | None = None) -> StreamingQuery:
+    """Hands every new file of the inbox to publish once, in micro-batches, and ends; the checkpoint remembers them.
+
+    options are those of the file source, such as cleanSource to move files that are done.
+    """
+    stream = spark.readStream.schema(schema).options(**(options or {})).format(fmt).load(inbox)
     return stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def publish_new(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """Appends the rows whose keys the table at path doesn't hold, so a batch that comes again adds nothing."""
+    """Appends the rows whose keys the table at path doesn't hold, so a batch that comes again adds nothing.
+
+    The table is partitioned by a hash of the keys (_part); only the parts that a batch touches are read.
+    """
 
     def publish(batch: DataFrame, _: int) -> None:
-        batch = batch.dropDuplicates(keys)
-        try:
-            held = batch.sparkSession.read.parquet(path).select(*keys)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        else:
-            batch = batch.join(held, keys, "left_anti")
-        batch.write.mode("append").parquet(path)
+        spark = batch.sparkSession
+        batch = batch.dropDuplicates(keys).withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int"))
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            touched = [r["_part"] for r in batch.select("_part").distinct().collect()]
+            held = spark.read.schema(batch.schema).parquet(path).filter(F.col("_part").isin(*touched))
+            batch = batch.join(held.select("_part", *keys), ["_part", *keys], "left_anti")
+        batch.write.mode("append").partitionBy("_part").parquet(path)
 
     return publish
 
