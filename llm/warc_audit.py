@@ -6,7 +6,9 @@ compared root by root, and only below mismatching nodes do their children meet,
 group by the bytes it covers, however many records a file has, so no file is gathered in one task.
 
 Defined results: null payload fields count as empty; records of equal file and offset with equal content count once; a
-record that only one replica has is missing or extra; equal replicas and empty tables give no rows. Other columns are ignored.
+record that only one replica has is missing or extra; equal replicas and empty tables give no rows; repeated pages are
+records of their own, one behind the other; pages without an id are spread over SPREAD files by their digests. Other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from llm.common import Scratch, table, with_ids
 
 LEAF_BITS, FAN_BITS, TOP_BITS = 16, 4, 40
-RECORDS_PER_FILE = 1000
+RECORDS_PER_FILE, SPREAD = 1000, 4096
 
 
 def levels() -> list[int]:
@@ -66,30 +68,34 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
     return F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), text(page_id), F.lit(">\r\nWARC-Target-URI: "), text(url), F.lit("\r\nContent-Length: "), F.octet_length(text(html)).cast("string"), end, end, text(html), end, end)
 
 
-def located(pages: DataFrame, payload: Column) -> DataFrame:
-    """page_id, file, offset, length and digest of each page's record, in files of RECORDS_PER_FILE consecutive ids.
+def located(pages: DataFrame, payload: Column, stored: Column | None = None) -> DataFrame:
+    """file, offset, length, digest and found of each page's record, in files of RECORDS_PER_FILE consecutive ids.
 
-    Only digests and lengths are shuffled; a window holds the records of one file.
+    digest is that of the payload, found that of the bytes stored in a replica (null: it has lost the record). Both are
+    hashed where the page is read; only digests and lengths are shuffled, and a window holds the records of one file.
     """
-    rows = pages.select("page_id", F.floor(F.coalesce("page_id", F.lit(-1)) / RECORDS_PER_FILE).cast("long").alias("file"), F.octet_length(payload).cast("long").alias("length"), F.sha2(payload, 256).alias("digest"))
+    digest = F.sha2(payload, 256)
+    own = F.coalesce(F.floor(F.col("page_id") / RECORDS_PER_FILE).cast("long"), -1 - F.pmod(F.xxhash64(digest), F.lit(SPREAD)))
+    rows = pages.select("page_id", own.alias("file"), F.octet_length(payload).cast("long").alias("length"), digest.alias("digest"), (digest if stored is None else F.sha2(stored, 256)).alias("found"))
     order = Window.partitionBy("file").orderBy(F.col("page_id").asc_nulls_first(), "digest").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)).cast("long")).select("page_id", "file", "offset", "length", "digest")
+    return rows.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)).cast("long")).select("file", "offset", "length", "digest", "found")
 
 
-def op1_warc_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits the records of all pages against a replica with damage of a known kind, as a drill.
+def drill(pages: DataFrame) -> DataFrame:
+    """Audits the records of all pages against a replica with damage of a known kind.
 
     In the replica the last byte is another in the records with page_id % 97 = 13, and those with page_id % 211 = 7 are lost.
     """
-    pages = with_ids(table(spark, sf_dir, "pages"), "page_id", "url", "html")
-    payload = record(F.col("page_id"), F.col("url"), F.col("html"))
-    hurt = F.when(F.col("page_id") % 97 == 13, F.sha2(F.concat(payload.substr(F.lit(1), F.length(payload) - 1), F.lit("!")), 256))
-    scratch = Scratch(spark, "warc-records")
-    both = located(pages, payload)
-    drill = pages.select(F.col("page_id").alias("hurt_id"), hurt.alias("hurt")).filter("hurt is not null")
-    both = scratch.write(both, "records")
-    replica = both.filter("page_id is null or page_id % 211 <> 7").join(drill, both["page_id"] == drill["hurt_id"], "left")
-    return audit(both, replica.select("file", "offset", "length", F.coalesce("hurt", "digest").alias("digest")))
+    pages = with_ids(pages, "page_id", "url", "html")
+    payload, page = record(F.col("page_id"), F.col("url"), F.col("html")), F.col("page_id")
+    hurt = F.when(page % 97 == 13, F.concat(payload.substr(F.lit(1), F.length(payload) - 1), F.lit("!"))).otherwise(payload)
+    stored = F.when(F.coalesce(page % 211 != 7, F.lit(True)), hurt)
+    both = Scratch(pages.sparkSession, "warc-records").write(located(pages, payload, stored), "records")
+    return audit(both.drop("found"), both.filter("found is not null").drop("digest").withColumnRenamed("found", "digest"))
+
+
+def op1_warc_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drill(table(spark, sf_dir, "pages"))
 
 
 SQL = {
