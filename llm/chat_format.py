@@ -61,31 +61,55 @@ def preference_pairs(turns: DataFrame, pair: str = "pair_id", side: str = "side"
     )
 
 
+def swapped(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """Turns of pairs: each conversation as chosen, and with its last turn's text taken from the next one's as rejected.
+
+    Conversations are numbered; where the next number is missing, the rejected side has no last turn at all. Its ids are
+    those of the chosen side. Of several last turns (by turn, role, text) each is replaced.
+    """
+    own = with_ids(turns, conv, turn, role, text).toDF("conv_id", "turn", "role", "text").filter("conv_id is not null")
+    last = own.groupBy("conv_id").agg(F.max(F.struct("turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))).alias("last")).alias("last"))
+    ends = last.select(F.col("conv_id").alias("pair_id"), F.col("last.turn").alias("end"))
+    nexts = last.select((F.col("conv_id") - 1).alias("pair_id"), F.col("last.col3").alias("other"))
+    own = own.withColumn("pair_id", F.col("conv_id"))
+    rejected = own.join(ends, "pair_id").join(nexts, "pair_id", "left").filter(~F.col("turn").eqNullSafe(F.col("end")) | F.col("other").isNotNull())
+    rejected = rejected.withColumn("text", F.when(F.col("turn").eqNullSafe(F.col("end")), F.col("other")).otherwise(F.col("text")))
+    side = lambda df, n: df.select("pair_id", F.lit(n).alias("side"), "conv_id", "turn", "role", "text")
+    return side(own, 0).union(side(rejected, 1))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation 2k is the chosen and 2k + 1 the rejected one of pair k."""
-    turns = table(spark, sf_dir, "conversations")
-    return preference_pairs(turns.withColumns({"pair_id": F.floor(F.col("conv_id") / 2).cast("long"), "side": F.pmod("conv_id", F.lit(2))}))
+    """Each conversation is the chosen one of a pair; in the rejected one the last answer is the next conversation's."""
+    return preference_pairs(swapped(table(spark, sf_dir, "conversations")))
 
 
+_SHOWN = "'<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)"
+_MASK = "coalesce(array_to_string([CAST(coalesce(list_sum({l}[1 : i - 1]), 0) + len({r}[i].role) + 5 AS BIGINT) || ':' || CAST(list_sum({l}[1 : i]) - 1 AS BIGINT) FOR i IN range(1, len({r}) + 1) IF {r}[i].role = 'assistant'], ','), '')"
 SQL = {
-    "op5_chat_formatting": r"""
-WITH g AS (
-  SELECT conv_id // 2 AS pair_id, min(conv_id) FILTER (WHERE conv_id % 2 = 0) AS chosen_id, min(conv_id) FILTER (WHERE conv_id % 2 = 1) AS rejected_id,
-    coalesce(list_sort(list({'turn': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')}) FILTER (WHERE conv_id % 2 = 0)), []) AS a,
-    coalesce(list_sort(list({'turn': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')}) FILTER (WHERE conv_id % 2 = 1)), []) AS b
-  FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+    "op5_chat_formatting": f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, max(turn) AS last, arg_max(text, (turn, role, text)) AS answer FROM c GROUP BY conv_id),
+s AS (
+  SELECT conv_id AS pair_id, 0 AS side, turn, role, text FROM c
+  UNION ALL
+  SELECT c.conv_id, 1, turn, role, CASE WHEN turn = l.last THEN n.answer ELSE text END
+  FROM c JOIN l ON c.conv_id = l.conv_id LEFT JOIN l n ON n.conv_id = c.conv_id + 1 WHERE turn <> l.last OR n.answer IS NOT NULL),
+g AS (
+  SELECT pair_id, bool_or(side = 0) AS has_a, bool_or(side = 1) AS has_b,
+    coalesce(list_sort(list({{'turn': turn, 'role': role, 'text': text}}) FILTER (WHERE side = 0)), []) AS a,
+    coalesce(list_sort(list({{'turn': turn, 'role': role, 'text': text}}) FILTER (WHERE side = 1)), []) AS b
+  FROM s GROUP BY 1),
 n AS (
   SELECT *, CAST(coalesce(list_min([i FOR i IN range(1, least(len(a), len(b)) + 1) IF a[i].role <> b[i].role OR a[i].text <> b[i].text]) - 1, least(len(a), len(b))) AS BIGINT) AS n_prompt FROM g),
 r AS (SELECT *, a[n_prompt + 1 :] AS ra, b[n_prompt + 1 :] AS rb, a[1 : n_prompt] AS p FROM n),
-m AS (
-  SELECT *, [len('<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)) FOR x IN ra] AS la, [len('<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)) FOR x IN rb] AS lb FROM r)
-SELECT pair_id, chosen_id, rejected_id, n_prompt,
-  CASE WHEN chosen_id IS NULL OR rejected_id IS NULL THEN 'unpaired' WHEN len(ra) = 0 AND len(rb) = 0 THEN 'identical' ELSE 'pair' END AS status,
-  coalesce(array_to_string(['<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10) FOR x IN p], ''), '') AS prompt,
-  CASE WHEN chosen_id IS NOT NULL THEN coalesce(array_to_string(['<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10) FOR x IN ra], ''), '') END AS chosen,
-  CASE WHEN chosen_id IS NOT NULL THEN coalesce(array_to_string([CAST(coalesce(list_sum(la[1 : i - 1]), 0) + len(ra[i].role) + 5 AS BIGINT) || ':' || CAST(list_sum(la[1 : i]) - 1 AS BIGINT) FOR i IN range(1, len(ra) + 1) IF ra[i].role = 'assistant'], ','), '') END AS chosen_mask,
-  CASE WHEN rejected_id IS NOT NULL THEN coalesce(array_to_string(['<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10) FOR x IN rb], ''), '') END AS rejected,
-  CASE WHEN rejected_id IS NOT NULL THEN coalesce(array_to_string([CAST(coalesce(list_sum(lb[1 : i - 1]), 0) + len(rb[i].role) + 5 AS BIGINT) || ':' || CAST(list_sum(lb[1 : i]) - 1 AS BIGINT) FOR i IN range(1, len(rb) + 1) IF rb[i].role = 'assistant'], ','), '') END AS rejected_mask
+m AS (SELECT *, [len({_SHOWN}) FOR x IN ra] AS la, [len({_SHOWN}) FOR x IN rb] AS lb FROM r)
+SELECT pair_id, CASE WHEN has_a THEN pair_id END AS chosen_id, CASE WHEN has_b THEN pair_id END AS rejected_id, n_prompt,
+  CASE WHEN NOT (has_a AND has_b) THEN 'unpaired' WHEN len(ra) = 0 AND len(rb) = 0 THEN 'identical' ELSE 'pair' END AS status,
+  coalesce(array_to_string([{_SHOWN} FOR x IN p], ''), '') AS prompt,
+  CASE WHEN has_a THEN coalesce(array_to_string([{_SHOWN} FOR x IN ra], ''), '') END AS chosen,
+  CASE WHEN has_a THEN {_MASK.format(l='la', r='ra')} END AS chosen_mask,
+  CASE WHEN has_b THEN coalesce(array_to_string([{_SHOWN} FOR x IN rb], ''), '') END AS rejected,
+  CASE WHEN has_b THEN {_MASK.format(l='lb', r='rb')} END AS rejected_mask
 FROM m
 """
 }
