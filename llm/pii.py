@@ -10,6 +10,8 @@ Every pattern is written so that its time is linear in the text, whatever the ru
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -103,15 +105,26 @@ def score(text: str, kind: str, begin: int, end: int) -> float:
     return round(START[kind] + 0.3 * bool(near & FOR[kind]) - 0.3 * bool(near & AGAINST), 2)
 
 
+class Taken:
+    """Spans by start, with the furthest end up to each, to tell in logarithmic time whether a span overlaps one of them."""
+
+    def __init__(self, spans: list[tuple[str, int, int, float]]):
+        self.starts = sorted(a for _, a, _, _ in spans)
+        self.ends = list(itertools.accumulate((b for _, _, b, _ in sorted(spans, key=lambda s: s[1])), max))
+
+    def free(self, a: int, b: int) -> bool:
+        i = bisect.bisect_left(self.starts, b)
+        return not i or self.ends[i - 1] <= a
+
+
 def find(text: str) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) by kind, then start; ends are exclusive, offsets count code points."""
     spans = [(*s, score(text, *s)) for s in base_spans(text)]
     if _DIGIT.search(text):
-        taken = [(a, b) for _, a, b, _ in spans]
-        free = lambda a, b: all(b <= x or y <= a for x, y in taken)
-        spans += [("iban", a, b, s) for a, b in _ibans(text) if free(a, b) and (s := score(text, "iban", a, b)) >= ACCEPT]
-        taken += [(a, b) for k, a, b, _ in spans if k == "iban"]
-        spans += [("local_phone", m.start(), m.end(), s) for m in _LOCAL_PHONE.finditer(text) if (s := score(text, "local_phone", m.start(), m.end())) >= ACCEPT and free(m.start(), m.end())]
+        taken = Taken(spans)
+        ibans = [("iban", a, b, s) for a, b in _ibans(text) if taken.free(a, b) and (s := score(text, "iban", a, b)) >= ACCEPT]
+        taken = Taken(spans := spans + ibans)
+        spans += [("local_phone", a, b, s) for a, b in map(re.Match.span, _LOCAL_PHONE.finditer(text)) if taken.free(a, b) and (s := score(text, "local_phone", a, b)) >= ACCEPT]
     return sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
