@@ -5,12 +5,12 @@ to the next `?`, `#` or the end. A null url, or one without `://`, has an empty
 subdomains if the path starts with the rule's; of several the longest wins. Urls without a rule get the model's verdict;
 the empty host and path are allowed. Repeated rows give repeated results; other columns are ignored.
 
-The model is trained on the driver from a labelled table of at most MAX_LABELLED urls, and is WEIGHTS floats large.
+The model is trained on the driver from a labelled table of at most MAX_LABELLED urls (more are an error), as a list or as a
+DataFrame of url and label, and is WEIGHTS floats large. Without one it is the small table of this module.
 """
 
 from __future__ import annotations
 
-import random
 import re
 from collections.abc import Iterator, Sequence
 
@@ -27,23 +27,137 @@ RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 MAX_LABELLED = 20_000
 WEIGHTS = 1 << 16
 SIZES = (3, 4, 5)
-#: Words that mark a host or path of the training table as unwanted, and ones of ordinary sites.
-UNWANTED = ["casino", "poker", "cheap", "pills", "viagra", "spam", "farm", "loan", "win", "bets", "porn", "replica", "free", "ads", "track", "adult", "xxx", "click", "prize", "slots"]
-FINE = ["news", "docs", "wiki", "museum", "library", "science", "travel", "garden", "school", "music", "recipes", "forum", "journal", "market", "weather", "history"]
-#: The most frequent letter pairs of English, from which ordinary made-up names are built.
-PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce ly sh wh".split()
+#: A small labelled table: urls of ordinary sites, and ones that a corpus doesn't want (gambling, adult, pills, loans,
+#: pirated files, fake shops, link farms, tracking). Written for this module, on reserved or made-up names.
+FINE = """
+https://www.rivertown-gazette.test/local/council-meeting-notes
+https://docs.orchard-db.test/guide/transactions.html
+http://biology.northlake.invalid/courses/genetics/week3
+https://en.openalmanac.test/wiki/Tidal_island
+https://blog.mapmaker.invalid/2021/05/projections-explained/
+https://www.stadtbibliothek-altendorf.test/oeffnungszeiten
+https://cuisine-de-saison.invalid/recettes/tarte-aux-poireaux
+https://museo-del-mar.test/exposiciones/barcos
+http://journal.soilscience.invalid/vol12/issue4/art7.pdf
+https://forum.woodturners.test/thread/dull-gouge
+https://www.weatherdesk.invalid/forecast/coast/tomorrow
+https://help.paperplane-mail.test/articles/filters
+https://archive.choral-society.invalid/programmes/1987
+https://www.handelskammer.invalid/ausbildung/pruefungen
+https://trains.lakeshore.test/timetable/line-4
+https://lib.algebra.invalid/notes/rings.html
+https://www.gardeners-club.test/seeds/beans
+http://observatory.highfield.invalid/images/comet
+https://radio.antenne-berg.test/sendungen/morgen
+https://www.la-gaceta-del-valle.invalid/cultura/teatro
+https://python-helpers.test/api/reference/strings
+https://school.greenhill.invalid/calendar/spring
+https://www.bergwacht.test/touren/huette
+https://chess.endgames.invalid/rook-pawn
+https://www.marche-paysan.test/producteurs/fromage
+https://history.harbour.invalid/ships/1902/list
+https://shop.bookbinder.test/paper/handmade
+https://jobs.city-hospital.invalid/nursing
+https://podcasts.language-lab.test/episode/41
+https://www.cycling-routes.invalid/valley/loop
+https://data.census-office.test/tables/households
+https://kids.planetarium.invalid/quiz
+https://www.photographers-guild.test/gallery/2019
+https://law.review-quarterly.invalid/article/contract
+https://www.ferienhof-mueller.test/anfahrt
+https://news.science-desk.invalid/physics/neutrino
+https://api.tide-tables.test/v2/stations
+https://www.orchestra.invalid/season/tickets
+https://wiki.homebrew-radio.test/antennas/dipole
+https://essays.slow-reader.invalid/on-walking
+https://www.farmhouse-bakery.test/bread
+https://support.printer-works.invalid/drivers
+https://people.maths.northlake.invalid/~anna/teaching
+https://www.freight-union.test/members/news
+https://www.freedom-library.invalid/catalogue
+https://www.trackside-railway.test/models
+https://www.clickclack-keyboards.invalid/switches
+https://loan-museum.test/collections/manuscripts
+https://www.adulteducation.invalid/evening-classes
+https://www.playhouse.test/tickets/comedy
+https://health.county.invalid/vaccines/schedule
+https://www.tierheim.test/hunde/vermittlung
+https://astronomia.invalid/cursos/telescopios
+https://encyclopedie.test/article/volcan
+https://www.betweenhills.invalid/inn/rooms
+https://dev.compiler-notes.test/ssa/intro
+https://www.essex-walks.invalid/route/12
+https://www.therapists-register.test/find
+https://elections.office.invalid/results/ward7
+https://www.analog-audio.test/repair/tapedeck
+"""
+UNWANTED = """
+http://casino-royal-bonus.test/slots/free-spins
+https://www.lucky-poker.invalid/bonus?ref=77
+http://best-online-casino.test/jackpot
+https://freebets24.invalid/live-betting
+http://sportsbets.test/odds/today
+https://megaslots.invalid/play-now
+http://roulette-win.test/register
+https://bingo-cash.invalid/prize
+http://cheap-pills.test/viagra
+https://buy-viagra-now.invalid/order
+http://cialis-discount.test/no-prescription
+https://pharma-cheap.invalid/pills/buy
+http://weightloss-miracle.test/pills
+https://xxx-videos.invalid/hot
+http://adult-cams.test/live
+https://porn-tube.invalid/free
+http://sexchat.test/girls
+https://hot-singles.invalid/dating-adult
+http://escort-adult.test/city
+https://nude-pics.invalid/xxx
+http://payday-loan-fast.test/apply
+https://quick-loans.invalid/cash-now
+http://easy-credit.test/no-check
+https://loan-approval.invalid/instant
+http://crypto-doubler.test/earn
+https://forex-profit.invalid/signals
+http://make-money-fast.test/join
+https://getrich.invalid/secret
+http://replica-watches.test/rolex
+https://cheap-handbags.invalid/replica/gucci
+http://fake-ids.test/order
+https://discount-sneakers.invalid/sale/cheap
+http://cracked-software.test/keygen
+https://warez-download.invalid/full-crack
+http://torrent-movies.test/free-download
+https://serial-keys.invalid/crack
+http://free-iphone.test/winner
+https://you-won-prize.invalid/claim
+http://survey-reward.test/gift-card
+https://click-prize.invalid/win
+http://link-farm.test/seo/backlinks
+https://spam-links.invalid/directory
+http://seo-spam.test/buy-backlinks
+https://traffic-bot.invalid/clicks
+http://ads-track.test/click?id=3
+https://ad-server.invalid/track/pixel
+http://popunder-ads.test/serve
+https://tracker-click.invalid/redirect
+http://adclick.test/banner
+https://spamfarm.invalid/page/1
+http://casino-spiele.test/bonus
+https://apuestas-gratis.invalid/casino
+http://pari-casino.test/gratuit
+https://kredit-sofort.invalid/ohne-schufa
+http://viagra-ohne-rezept.test/kaufen
+https://pastillas-baratas.invalid/comprar
+http://free-porn.test/xxx/videos
+https://pokerbets.invalid/win-cash
+http://slots-casino.test/free
+https://cheapmeds.invalid/pills-online
+"""
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """A small labelled table by rule, 1 for unwanted: hosts of two marked words against sites of ordinary or made-up names."""
-    draw, out = random.Random(7), []
-    site = lambda name, i: f"http{'s' * (i % 2)}://{('www.', '', 'blog.', 'm.')[i // 2 % 4]}{name}.example.{('com', 'net', 'org')[i % 3]}/{('en', 'de', 'fr', 'es')[i // 3 % 4]}/{i * 37 % 1000}"
-    made = lambda: "".join(draw.choices(PAIRS, k=draw.randint(2, 5)))
-    for i, (a, b) in enumerate((a, b) for a in UNWANTED for b in UNWANTED if a != b):
-        out += [(site(f"{a}-{b}", i), 1), (site(f"{a}{b}", i + 1), 1), (site(f"{a}-{made()}", i + 2), 1)]
-    for i in range(2 * len(out)):
-        out.append((site((made(), f"{made()}-{made()}", draw.choice(FINE), f"{draw.choice(FINE)}-{made()}")[i // 5 % 4], i), 0))
-    return out
+    """The small table: urls and labels, 1 for unwanted."""
+    return [(u, 0) for u in FINE.split()] + [(u, 1) for u in UNWANTED.split()]
 
 
 def host_of(url: Column) -> Column:
@@ -70,6 +184,11 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]], w
     return F.lit(None).cast("string") if out is None else out
 
 
+def site(host: str) -> str:
+    """The host as the model sees it: www. and m. in front are other names of the same site."""
+    return re.sub(r"^(?:www|m)\.", "", host)
+
+
 def features(strings: pa.Array, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, weight index) of the character n-grams, counted over bytes, of strings that are framed by ^ and $."""
     rows, index = [], []
@@ -89,7 +208,7 @@ def features(strings: pa.Array, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 def logits(hosts: list[str], paths: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
     total = np.full(len(hosts), bias)
-    for seed, strings in enumerate((hosts, paths)):
+    for seed, strings in enumerate(([site(h) for h in hosts], paths)):
         rows, index = features(pa.array([f"^{s}$" for s in strings], pa.string()), seed)
         count = np.bincount(rows, minlength=len(hosts))
         total += np.bincount(rows, weights[index], minlength=len(hosts)) / np.sqrt(np.maximum(count, 1))
@@ -103,7 +222,8 @@ def train(labelled: Sequence[tuple[str, int]], rounds: int = 300, rate: float =
     if not labelled:
         return np.zeros(WEIGHTS), -1.0
     y = np.array([label for _, label in labelled], float)
-    parts = [features(pa.array([f"^{split_url(u)[seed]}$" for u, _ in labelled], pa.string()), seed) for seed in (0, 1)]
+    hosts, paths = zip(*(split_url(u) for u, _ in labelled), strict=True)
+    parts = [features(pa.array([f"^{s}$" for s in strings], pa.string()), seed) for seed, strings in enumerate(([site(h) for h in hosts], paths))]
     rows, index = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
     scale = np.concatenate([1 / np.sqrt(np.bincount(r, minlength=len(y)))[r] for r, _ in parts])
     weights, bias = np.zeros(WEIGHTS), 0.0
@@ -115,8 +235,10 @@ def train(labelled: Sequence[tuple[str, int]], rounds: int = 300, rate: float =
     return weights, bias
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, labelled: Sequence[tuple[str, int]] | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, labelled: Sequence[tuple[str, int]] | DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """id_col, host, path, rule, verdict and the model's score for every row of pages."""
+    if isinstance(labelled, DataFrame):
+        labelled = [(r["url"], int(r["label"])) for r in labelled.select("url", "label").limit(MAX_LABELLED + 1).collect()]
     model = pages.sparkSession.sparkContext.broadcast(train(labelled_urls() if labelled is None else labelled))
     schema = pa.schema([("id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string()), ("score", pa.float64())])
 
