@@ -1,14 +1,19 @@
 """Soft-membership mixing of documents to target domain weights (operator 4), with DataFrame functions only.
 
-A Gaussian naive Bayes classifier, fitted to the labelled documents by one aggregation, gives each document posteriors of
-the domains. Nonnegative document rates, all 1 at first, are then moved by projected gradient steps until the expected
-tokens of each domain, sum of rate * tokens * posterior, match the targets in least squares. A step needs one aggregation
-of as many numbers as there are domains; its length follows Barzilai and Borwein. The gradient is taken in the norm that
-weighs documents by their tokens, so a rate depends on what a document is and not on its length.
+A classifier learned from the labelled documents gives each document posteriors of the domains. Each domain has a lexicon:
+the words whose share of labelled documents is most surely higher in it than in the other domains. The words of a document that lie
+in each lexicon, and a few figures of its form, are the features of a Gaussian naive Bayes model, fitted by one aggregation.
+Nonnegative document rates, all 1 at first, are then moved by projected gradient steps until the expected tokens of each
+domain, sum of rate * tokens * posterior, match the targets in least squares. A step needs one aggregation of as many
+numbers as there are domains; its length follows Barzilai and Borwein. The gradient is taken in the norm that weighs
+documents by their tokens, so a rate depends on what a document is and not on its length.
+
+The steps go on until every domain is within TOLERANCE of its target, or no rate moves any more (a target can't be met),
+or STEPS are done; gap says how far the worst domain is from its target then, as a share of all tokens.
 
 Defined results: a null or empty text has 0 tokens and the rate of its posteriors; domains without labelled documents
-have posterior 0, and their target can't be met; without any labelled document all rates stay 1. Repeated rows count each.
-A document with several labels is labelled by the worst (toxic before poor before good). Other columns are ignored.
+have posterior 0, and their target can't be met; without any labelled document all posteriors are equal. Repeated rows count
+each. A document with several labels is labelled by the worst (toxic before poor before good). Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,40 +30,70 @@ from llm.common import Scratch, table, with_ids
 TARGETS = {"good": 0.88, "poor": 0.07, "toxic": 0.05}
 #: Target tokens of all domains together, as a share of the tokens there are.
 BUDGET = 1.0
-STEPS, TOLERANCE, WRITE_EVERY = 40, 1e-5, 4
-#: Insults in the languages of the corpus whose rate tells the toxic domain from the others.
-INSULTS = "idiot idiots idiota moron morons stupid pathetic worthless disgusting clown trash loser scum dumb garbage hate dumm ekelhaft wertlos imbécile stupide estúpido"
-FEATURES = ("words", "symbols", "capitals", "stops", "varied", "insults")
+STEPS, TOLERANCE, WRITE_EVERY = 200, 1e-5, 4
+#: Words of a lexicon at most, and the least of standard errors that a word's log odds must be from 0.
+LEXICON, CERTAIN = 100, 3.0
+FORM = ("words", "symbols", "capitals", "stops", "varied")
+MARKS, CAPITALS = "#*$%&|<>!", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x26\x28-\x60\x7B-\x7F]+"), lambda w: w != "")
 
 
-def features(text: Column) -> dict[str, Column]:
-    """Tokens and the classifier's features. Every pattern is a single class or a list of words, linear in the text."""
+def features(text: Column, lexicons: dict[str, list[str]]) -> dict[str, Column]:
+    """Tokens and the classifier's features; time is linear in the text."""
     text = F.coalesce(text, F.lit(""))
-    words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    chars, one = F.greatest(F.length(text), F.lit(1)), F.greatest(words, F.lit(1))
-    rate = lambda pattern, of: F.log1p(100 * F.regexp_count(text, F.lit(pattern)) / of)
+    tokens = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    words = words_of(text)
+    chars, one = F.greatest(F.length(text), F.lit(1)), F.greatest(tokens, F.lit(1))
+    rate = lambda marks, of: F.log1p(100 * (F.length(text) - F.length(F.translate(text, marks, ""))) / of)
+    inside = lambda known: F.log1p(100 * F.size(F.filter(words, lambda w: w.isin(*known))) / one) if known else F.lit(0.0)
     return {
-        "tokens": words,
-        "words": F.log1p(words),
-        "symbols": rate(r"[#*$%&|<>!]", chars),
-        "capitals": rate(r"[A-Z]", chars),
-        "stops": rate(r"[.]", one),
-        "varied": F.size(F.array_distinct(F.split(text, " "))) / one,
-        "insults": rate(rf"(?i)\b(?:{INSULTS.replace(' ', '|')})\b", one),
-    }
+        "tokens": tokens,
+        "words": F.log1p(tokens),
+        "symbols": rate(MARKS, chars),
+        "capitals": rate(CAPITALS, chars),
+        "stops": rate(".", one),
+        "varied": F.size(F.array_distinct(words)) / one,
+    } | {f"in_{d}": inside(known) for d, known in lexicons.items()}
 
 
 def domain(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, "toxic").when(quality == 0, "poor").when(quality == 1, "good")
 
 
-def posteriors(rows: DataFrame, labels: DataFrame, domains: list[str], id_col: str) -> list[Column]:
-    """One column for each domain; the fitted means and variances are as many numbers as domains times features."""
+def marked(labels: DataFrame, id_col: str) -> DataFrame:
+    """label_id and domain of the labelled documents."""
     worst = F.max(F.when(F.col("domain") == "toxic", 2).when(F.col("domain") == "poor", 1).otherwise(0))
-    marked = with_ids(labels, id_col, "quality", "toxic").select(F.col(id_col).alias("label_id"), domain(F.col("quality"), F.col("toxic")).alias("domain")).filter("domain is not null")
-    marked = marked.groupBy("label_id").agg(F.element_at(F.array(*map(F.lit, ("good", "poor", "toxic"))), worst + 1).alias("domain"))
-    known = rows.join(marked, rows["id"] == marked["label_id"])
-    fitted = {r["domain"]: r for r in known.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), *[f(x).alias(f"{x}_{n}") for x in FEATURES for f, n in ((F.avg, "m"), (F.var_pop, "v"))]).collect()}
+    known = with_ids(labels, id_col, "quality", "toxic").select(F.col(f"`{id_col}`").alias("label_id"), domain(F.col("quality"), F.col("toxic")).alias("domain")).filter("domain is not null")
+    return known.groupBy("label_id").agg(F.element_at(F.array(*map(F.lit, ("good", "poor", "toxic"))), worst + 1).alias("domain"))
+
+
+def lexicons_of(own: DataFrame, known: DataFrame, domains: list[str]) -> dict[str, list[str]]:
+    """For each domain its LEXICON words of the surest log odds, over all labelled documents; only these reach the driver.
+
+    A word counts once a document. Ties go by the word.
+    """
+    rows = own.join(known, own["id"] == known["label_id"]).select("domain", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word"))
+    many = {r["domain"]: r["count"] for r in own.join(known, own["id"] == known["label_id"]).groupBy("domain").count().collect()}
+    total = sum(many.values())
+    table_ = rows.groupBy("word").agg(*[F.count_if(F.col("domain") == d).alias(d) for d in domains], F.count(F.lit(1)).alias("every"))
+    out = {}
+    for d in domains:
+        n = many.get(d, 0)
+        odds = F.log((F.col(d) + 0.5) / (n + 1.0)) - F.log((F.col("every") - F.col(d) + 0.5) / (total - n + 1.0))
+        sure = F.round(odds / F.sqrt(1 / (F.col(d) + 0.5) + 1 / (F.col("every") - F.col(d) + 0.5)), 9)
+        best = table_.select("word", sure.alias("sure")).filter(F.col("sure") >= CERTAIN).orderBy(F.col("sure").desc(), "word").limit(LEXICON)
+        out[d] = sorted(r["word"] for r in best.collect())
+    return out
+
+
+def posteriors(rows: DataFrame, known: DataFrame, domains: list[str]) -> list[Column]:
+    """One column for each domain; the fitted means and variances are as many numbers as domains times features."""
+    names = [*FORM, *[f"in_{d}" for d in domains]]
+    known = rows.join(known, rows["id"] == known["label_id"])
+    fitted = {r["domain"]: r for r in known.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), *[f(x).alias(f"{x}_{n}") for x in names for f, n in ((F.avg, "m"), (F.var_pop, "v"))]).collect()}
     total = sum(r["n"] for r in fitted.values())
     if not total:
         return [F.lit(1.0 / len(domains)) for _ in domains]
@@ -67,7 +102,7 @@ def posteriors(rows: DataFrame, labels: DataFrame, domains: list[str], id_col: s
         if d not in fitted:
             return F.lit(-1e300)
         r, out = fitted[d], F.lit(math.log(fitted[d]["n"] / total))
-        for x in FEATURES:
+        for x in names:
             v = max(r[f"{x}_v"], 1e-3)
             out = out - (F.col(x) - r[f"{x}_m"]) ** 2 / (2 * v) - 0.5 * math.log(v)
         return out
@@ -78,19 +113,21 @@ def posteriors(rows: DataFrame, labels: DataFrame, domains: list[str], id_col: s
 
 
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", steps: int = STEPS) -> DataFrame:
-    """id_col, n_tokens, p_<domain> for each domain, and rate, for every row of docs."""
+    """id_col, n_tokens, p_<domain> for each domain, rate and gap, for every row of docs."""
     targets = TARGETS if targets is None else targets
     domains = sorted(targets)
     work = Scratch(docs.sparkSession, "mixing")
-    found = features(F.col(text_col))
-    rows = work.write(with_ids(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), *[c.alias(n) for n, c in found.items()]), "features")
-    posterior = posteriors(rows, labels, domains, id_col)
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    known = work.write(marked(labels, id_col), "known")
+    found = features(F.col("text"), lexicons_of(own, known, domains))
+    rows = work.write(own.select("id", *[c.alias(n) for n, c in found.items()]), "features")
+    posterior = posteriors(rows, known, domains)
     p = [f"p_{d}" for d in domains]
     state = work.write(rows.select("id", "tokens", *[c.alias(n) for n, c in zip(p, posterior, strict=True)], F.lit(1.0).alias("rate")), "state")
     sums = lambda rate: [F.sum(rate * F.col("tokens") * F.col(n)).alias(n) for n in p]
     first = state.agg(F.sum("tokens").alias("tokens"), *sums(F.col("rate"))).first()
     total = first["tokens"] or 0
-    weight = sum(targets.values())
+    weight, worst = sum(targets.values()), None
     if total and weight:
         want = [targets[d] / weight * budget for d in domains]
         gap = [first[n] / total - w for n, w in zip(p, want, strict=True)]
@@ -110,8 +147,8 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
                 state = work.write(state.select("id", "tokens", *p, rate.alias("rate")), f"state-{step}")
                 work.drop("state" if step == WRITE_EVERY else f"state-{step - WRITE_EVERY}")
                 rate = F.col("rate")
-        state = state.select("id", "tokens", *p, rate.alias("rate"))
-    return state.select(F.col("id").alias(id_col), F.col("tokens").alias("n_tokens"), *[F.round(n, 6).alias(n) for n in p], F.round("rate", 6).alias("rate"))
+        state, worst = state.select("id", "tokens", *p, rate.alias("rate")), max(map(abs, gap))
+    return state.select(F.col("id").alias(id_col), F.col("tokens").alias("n_tokens"), *[F.round(n, 6).alias(n) for n in p], F.round("rate", 6).alias("rate"), F.lit(worst).cast("double").alias("gap"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
