@@ -5,8 +5,9 @@ cursors jump by a table of block shifts; where the shift is 0, the bucket of the
 may end there, and comparing bytes confirms them. Many cursors move in step, each over its own stretch of the text.
 
 Defined results: a null text has no words and no hits; an item without words has no window; an item shorter than the
-window is one window of its own; repeated items all count; an empty benchmark contaminates nothing; documents keep one
-row for each input row, repeated ids included. Other columns are ignored.
+window is one window of its own; rows with one item_id are one item of several texts; windows of items without an id hit
+words, but these items aren't counted or listed; an empty benchmark contaminates nothing; documents keep one row for each
+input row, repeated ids included, and are removed row by row. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import Scratch, batch_of, by_ids, chunks, table, with_ids
+from llm.common import Scratch, batch_of, chunks, row_key, table, without_keys
 from llm.wordhash import LOWER, NOT_WORD, word_bounds
 
 WINDOW = 13
@@ -125,12 +127,12 @@ def item_windows(text: str | None, window: int) -> list[bytes]:
 
 
 def shards(benchmark: DataFrame, id_col: str, text_col: str, window: int, limit: int) -> Iterator[dict[bytes, set[str]]]:
-    """Items' windows in lots of at most limit bytes (one larger item is a lot); the driver holds one lot at a time."""
+    """Items' windows in lots of about limit bytes (one larger item is a lot); nothing else of the benchmark is held."""
     lot, held = {}, 0
     for item, text in benchmark.select(F.col(id_col).cast("string"), F.col(text_col)).toLocalIterator():
         for w in item_windows(text, window):
             held += 0 if w in lot else len(w)
-            lot.setdefault(w, set()).add("null" if item is None else item)
+            lot.setdefault(w, set()).update(() if item is None else (item,))
         if held >= limit:
             yield lot
             lot, held = {}, 0
@@ -138,17 +140,16 @@ def shards(benchmark: DataFrame, id_col: str, text_col: str, window: int, limit:
         yield lot
 
 
-_HITS = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+_HITS = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
 
-def _scan(docs: DataFrame, lot: dict[bytes, set[str]]) -> DataFrame:
-    """Per document: its words, and the merged word ranges that windows of this lot cover, with their items."""
-    shared = docs.sparkSession.sparkContext.broadcast(lot)
+def _scan(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    """Per document (id, key, text): its words, and the merged word ranges that windows of the broadcast lot cover, with their items."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(shared.value) if shared.value else None
         for batch in batches:
-            for a, b, buf, off in chunks(batch.column(1)):
+            for a, b, buf, off in chunks(batch.column(2)):
                 flat, at, words = spaced(buf, off)
                 starts, ends, items = [None] * (b - a), [None] * (b - a), [None] * (b - a)
                 if windows:
@@ -166,29 +167,39 @@ def _scan(docs: DataFrame, lot: dict[bytes, set[str]]) -> DataFrame:
                         own = np.concatenate(([False], hit[words[d] + 1 : words[d + 1] + 1], [False]))
                         edge = np.flatnonzero(own[1:] != own[:-1])
                         starts[d], ends[d], items[d] = edge[::2].tolist(), edge[1::2].tolist(), sorted(ids)
-                yield batch_of(_HITS, batch.column(0).slice(a, b - a), np.diff(words), starts, ends, items)
+                yield batch_of(_HITS, batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), np.diff(words), starts, ends, items)
 
-    return docs.mapInArrow(scan, "id long, n_words long, starts array<long>, ends array<long>, items array<string>")
+    return docs.mapInArrow(scan, "id long, key long, n_words long, starts array<long>, ends array<long>, items array<string>")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
-    """id_col, n_words, n_hit, n_items, items_sha256 and contaminated for every row of docs.
+def _found(docs: DataFrame, lots: Iterator[dict[bytes, set[str]]], scratch: Scratch) -> DataFrame:
+    """id, key, n_words, starts, ends and items of every row.
+
+    One lot is searched as the result is read. Of several, each is searched by itself, its hits are written, and it leaves
+    the executors before the next one comes; rows equal in id and text have the same hits.
+    """
+    context, lot = docs.sparkSession.sparkContext, next(lots, {})
+    following = next(lots, None)
+    if following is None:
+        return _scan(docs, context.broadcast(lot))
+    hits = None
+    while lot is not None:
+        shared = context.broadcast(lot)
+        some = scratch.write(_scan(docs, shared).filter("items is not null").drop("id", "n_words").dropDuplicates(["key"]), "hits")
+        shared.destroy()
+        hits = some if hits is None else hits.unionByName(some)
+        lot, following = following, next(lots, None) if following is not None else None
+    flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    return _scan(docs, context.broadcast({})).drop("starts", "ends", "items").join(hits.groupBy("key").agg(flat("starts"), flat("ends"), flat("items")), "key", "left")
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
+    """id, key (of the row), n_words, n_hit, n_items, items_sha256 and contaminated for every row of docs.
 
     A word is hit if it lies in an occurrence of a window; contaminated means n_hit > 0 and 20 * n_hit >= n_words.
     """
-    own = with_ids(docs, id_col, text_col).withColumn(id_col, F.col(id_col).cast("long"))
-    lots = list(shards(benchmark, item_col, item_text, window, pattern_bytes)) or [{}]
-    if len(lots) == 1:
-        found = _scan(own, lots[0])
-    else:  # rows are told apart by a hash of the text too, as ids may repeat
-        keyed = own.select(F.struct(id_col, F.xxhash64(text_col), F.length(text_col)).alias("key"), text_col)
-        raise_key = F.xxhash64("key").alias("id")
-        parts = [_scan(keyed.select(raise_key, text_col), lot) for lot in lots]
-        merged = parts[0]
-        for part in parts[1:]:
-            merged = merged.unionByName(part)
-        merged = merged.groupBy("id").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.flatten(F.collect_list("items")).alias("items"))
-        found = keyed.select(raise_key, F.col("key")[id_col].alias("own")).join(merged, "id").drop("id").withColumnRenamed("own", "id")
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), row_key(id_col, text_col).alias("key"), F.col(f"`{text_col}`").alias("text"))
+    found = _found(own, shards(benchmark, item_col, item_text, window, pattern_bytes), Scratch(docs.sparkSession, "decontaminate"))
     none = F.array().cast("array<long>")
     spans = F.array_sort(F.arrays_zip(F.coalesce("starts", none).alias("s"), F.coalesce("ends", none).alias("e")))
     n_hit = F.aggregate(
@@ -198,14 +209,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         lambda acc: acc["n"],
     )
     items = F.array_sort(F.array_distinct(F.coalesce("items", F.array().cast("array<string>"))))
-    return found.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256")).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    out = found.select("id", "key", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """id_col, n_words, n_hit, n_items, items_sha256 and contaminated for every row of docs; see judged()."""
+    return judged(docs, benchmark, id_col, **options).drop("key").withColumnRenamed("id", id_col)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that aren't contaminated, with all their columns."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    bad = scratch.write(contamination(docs, benchmark, id_col, text_col).filter("contaminated").select(id_col).distinct(), "bad")
-    return by_ids(docs, bad, id_col, "left_anti")
+    bad = scratch.write(judged(docs, benchmark, id_col, text_col).filter("contaminated").select("key").distinct(), "bad")
+    return without_keys(docs, bad, id_col, text_col)
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
