@@ -10,8 +10,10 @@ Characters: digits count as one, blanks as a space, those beyond the basic plane
 start marks and an end mark. Perplexities are smoothed by PRIOR characters of the mean cost, as short texts tell little.
 
 Defined results: a null or empty text is its end mark alone; null languages are a language of their own; repeated rows
-and ids give a row each; with no good documents at all nothing is rejected. Other columns are ignored.
-Rows must be read the same way twice (tables are), since blocks are formed again for the answers: if not, it fails.
+and ids give a row each; with no good documents at all nothing is rejected; rows are rejected one by one, whatever their
+ids. Other columns are ignored, whatever their names.
+Blocks are formed twice, for requests and for answers, so rows must come in the same order twice. Files do; what comes of
+anything else is written to a table first.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import Scratch, batch_of, by_ids, chunks, table, with_ids
+from llm.common import Scratch, batch_of, by_ids, chunks, row_key, table, text_arrays, with_ids, without_keys
 
 ORDER = 4
 QUANTILE, SLACK = 0.995, 0.03
@@ -59,12 +61,16 @@ def codes(buf: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, np.
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: int, limit: int) -> Iterator[tuple[int, list[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]]]:
-    """(number, parts) of blocks of at least limit bytes (the last has fewer), in the order of the rows."""
+    """(number, parts) of blocks, each of as few rows as have limit bytes (the last has fewer), wherever batches end."""
     parts, size, number = [], 0, TaskContext.get().partitionId() << 24
     for batch in batches:
-        for a, b, buf, off in chunks(batch.column(text)):
-            parts.append((batch, a, b, buf, off))
-            size += len(buf)
+        column, at = batch.column(text), 0
+        off = text_arrays(column)[1]
+        while at < len(column):
+            end = min(len(column), max(at + 1, int(np.searchsorted(off, off[at] + limit - size))))
+            parts += [(batch, at + a, at + b, buf, own) for a, b, buf, own in chunks(column.slice(at, end - at))]
+            size += int(off[end] - off[at])
+            at = end
             if size >= limit:
                 yield number, parts
                 parts, size, number = [], 0, number + 1
@@ -150,18 +156,18 @@ def requests(docs: DataFrame, order: int, limit: int) -> DataFrame:
     return docs.mapInArrow(run, "block long, gram long")
 
 
-_PACKED = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64())), ("text", pa.binary())])
+_PACKED = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("ids", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64())), ("text", pa.binary())])
 
 
 def packed(docs: DataFrame, limit: int) -> DataFrame:
-    """The blocks' texts, compressed, in parts of a chunk each. Columns: text, id, lang."""
+    """The blocks' texts, compressed, in parts of a chunk each. Columns: text, id, key, lang."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, parts in blocks(batches, 0, limit):
             for i, (batch, a, b, buf, off) in enumerate(parts):
-                yield batch_of(_PACKED, [number], [i], [batch.column(1).slice(a, b - a).to_pylist()], [batch.column(2).slice(a, b - a).to_pylist()], [np.diff(off).tolist()], [zlib.compress(buf.tobytes(), 6)])
+                yield batch_of(_PACKED, [number], [i], *[[batch.column(c).slice(a, b - a).to_pylist()] for c in (1, 2, 3)], [np.diff(off).tolist()], [zlib.compress(buf.tobytes(), 6)])
 
-    return docs.mapInArrow(run, "block long, part int, ids array<long>, langs array<string>, sizes array<long>, text binary")
+    return docs.mapInArrow(run, "block long, part int, ids array<long>, keys array<long>, langs array<string>, sizes array<long>, text binary")
 
 
 class Costs:
@@ -188,8 +194,8 @@ class Costs:
 
 
 def scored(docs: DataFrame, answers: DataFrame, order: int, limit: int) -> DataFrame:
-    """id, lang, n_grams and cost (the sum) of each row."""
-    schema = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("n_grams", pa.int64()), ("cost", pa.float64())])
+    """id, key, lang, n_grams and cost (the sum) of each row."""
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("lang", pa.string()), ("n_grams", pa.int64()), ("cost", pa.float64())])
 
     def run(texts: pa.Table, own: pa.Table) -> pa.Table:
         out = []
@@ -198,20 +204,33 @@ def scored(docs: DataFrame, answers: DataFrame, order: int, limit: int) -> DataF
             for i in range(texts.num_rows):
                 sizes = np.array(texts["sizes"][i].as_py(), np.int64)
                 code, off = codes(np.frombuffer(zlib.decompress(texts["text"][i].as_py()), np.uint8), np.concatenate(([0], np.cumsum(sizes))), order)
-                out.append(pa.RecordBatch.from_arrays([texts["ids"][i].values, texts["langs"][i].values, pa.array(np.diff(off)), pa.array(np.add.reduceat(costs(code), off[:-1]))], schema=schema))
+                out.append(pa.RecordBatch.from_arrays([texts["ids"][i].values, texts["keys"][i].values, texts["langs"][i].values, pa.array(np.diff(off)), pa.array(np.add.reduceat(costs(code), off[:-1]))], schema=schema))
         return pa.Table.from_batches(out, schema=schema)
 
-    return packed(docs, limit).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "id long, lang string, n_grams long, cost double")
+    return packed(docs, limit).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "id long, key long, lang string, n_grams long, cost double")
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, quantile: float = QUANTILE, slack: float = SLACK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """id_col, lang, n_grams, perplexity, limit (of the language) and kept for every row of docs.
+def read_alike(df: DataFrame) -> bool:
+    """Whether df only selects and filters rows of files or of the driver's own, which come in the same order each time."""
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        plan = todo.pop()
+        children = plan.children()
+        if children.size() and plan.nodeName() not in ("Project", "Filter"):
+            return False
+        todo += [children.apply(i) for i in range(children.size())]
+    return True
+
+
+def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, quantile: float = QUANTILE, slack: float = SLACK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """id, key (of the row), lang, n_grams, perplexity, limit (of the language) and kept for every row of docs.
 
     labels has id_col and quality; documents with quality 1 are good. All of them are used, for training or for the limits.
     """
     spark = docs.sparkSession
     work = Scratch(spark, "quality-lm")
-    own = with_ids(docs, id_col, text_col, lang_col).select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
+    own = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{id_col}`").cast("long").alias("id"), row_key(id_col, text_col).alias("key"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")).alias("lang"))
+    own = own if read_alike(own) else work.write(own, "documents")
     good = work.write(with_ids(labels, id_col, "quality").filter("quality = 1").select(F.col(id_col).cast("long").alias("id")).distinct().withColumn("held", F.pmod(F.xxhash64("id"), F.lit(2)) == 1), "good")
     counts = work.write(counted(by_ids(own, good.filter("not held").select("id"), "id").select("text"), order), "counts")
     asked = requests(own.select("text"), order, block_bytes)
@@ -237,14 +256,19 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     own_limits = work.write(limits(bins), "limits")
     whole = limits(bins.groupBy(F.lit("").alias("lang"), "bin").agg(F.sum("count").alias("count"))).first()
     out = smooth(rows).join(own_limits, "lang", "left").withColumn("limit", F.coalesce("limit", F.lit(whole["limit"] if whole else None).cast("double")))
-    return out.select(F.col("id").alias(id_col), "lang", "n_grams", F.round(F.exp("nats"), 6).alias("perplexity"), F.round(F.exp("limit"), 6).alias("limit"), F.coalesce(F.col("nats") <= F.col("limit"), F.lit(True)).alias("kept"))
+    return out.select("id", "key", "lang", "n_grams", F.round(F.exp("nats"), 6).alias("perplexity"), F.round(F.exp("limit"), 6).alias("limit"), F.coalesce(F.col("nats") <= F.col("limit"), F.lit(True)).alias("kept"))
+
+
+def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """id_col, lang, n_grams, perplexity, limit (of the language) and kept for every row of docs; see judged()."""
+    return judged(docs, labels, id_col, **options).drop("key").withColumnRenamed("id", id_col)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents that aren't rejected, with all their columns."""
     work = Scratch(docs.sparkSession, "quality-lm-filter")
-    bad = perplexities(docs, labels, id_col, text_col, lang_col).filter("not kept").select(id_col).distinct()
-    return by_ids(docs, work.write(bad, "rejected"), id_col, "left_anti")
+    bad = judged(docs, labels, id_col, text_col, lang_col).filter("not kept").select("key").distinct()
+    return without_keys(docs, work.write(bad, "rejected"), id_col, text_col)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
