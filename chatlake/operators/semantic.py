@@ -233,3 +233,42 @@ def overlap_at(a: DataFrame, b: DataFrame, query: str = "query_id", key: str = "
     """For each query the share of a's keys that b has too."""
     one, two = (df.groupBy(query).agg(F.collect_set(key).alias(n)) for df, n in ((a, "a"), (b, "b")))
     return one.join(two, query, "left").select(query, (F.size(F.array_intersect("a", F.coalesce("b", F.slice("a", 1, 0)))) / F.size("a")).alias("overlap"))
+
+
+# What a vector index is and whether it can be used: meta is a dict of model, dimension, chunk, overlap, packing, built_at.
+
+
+def index_state(meta: dict | None, wanted: dict, dimension: int | None = None, chunks: int | None = None) -> str | None:
+    """Why an index can't serve a query, or None; a packing that isn't asked for is the index's own. Never an error."""
+    if meta is None:
+        return "index_not_built"
+    if not meta.get("built_at"):
+        return "index_building"
+    if any(meta[k] != wanted[k] for k in ("model", "chunk", "overlap")) or wanted.get("packing") not in (None, meta["packing"]):
+        return "index_version_mismatch"
+    if dimension is not None and dimension != meta["dimension"]:
+        return "provider_dimension_mismatch"
+    return "index_empty" if chunks == 0 else None
+
+
+def next_action(meta: dict | None, wanted: dict, lacking: int, stale: int) -> str:
+    """What an index needs: full, reindex, convert (only its packing differs) or skip."""
+    if meta is None or any(meta[k] != wanted[k] for k in ("model", "chunk", "overlap")):
+        return "full"
+    if not meta.get("built_at") or lacking or stale:
+        return "reindex"
+    return "convert" if wanted.get("packing") not in (None, meta["packing"]) else "skip"
+
+
+def converted(vectors: DataFrame, packing: str) -> DataFrame:
+    """Stored float vectors with their int8 or bit form beside them, without embedding anything again."""
+    if packing == "int8":
+        return packed_vectors(vectors)
+    if packing == "bit":
+        return vectors.withColumn("bits", packed_bits(F.col("embedding")))
+    raise ValueError(f"unknown packing {packing!r}")
+
+
+def purged(vectors: DataFrame, withdrawn: DataFrame) -> DataFrame:
+    """The index without revisions that were taken back."""
+    return vectors.join(withdrawn.select("revision_id").distinct(), "revision_id", "left_anti")

@@ -464,3 +464,49 @@ def test_normal_form_maps_back():
     assert offsets[made.index("strasse")] == 4
     assert retrieval.plan_term("求职") == ["求职"]
     assert retrieval.plan_term("安") == retrieval.plan_term("ai") == []
+
+
+def test_times(spark):
+    from chatlake.functions import times
+
+    iso = ["2025-03-01T08:00:00.75Z", "2025-03-01T08:00+02:00", "2025-03-01T08:00:00", "2025-03", "2025-13-01T00:00:00Z", "junk", None]
+    got = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(iso)], "i int, v string").orderBy("i").select(times.from_iso(F.col("v"))).collect()]
+    assert [(g.instant, g.precision, g.zone) for g in got[:6]] == [
+        (datetime(2025, 3, 1, 8), "second", "utc"), (datetime(2025, 3, 1, 6), "minute", "offset"), (None, "second", "naive"), (None, "month", "naive"), (None, "second", "unknown"), (None, "unknown", "unknown"),
+    ]
+    unix = [r[0] for r in spark.createDataFrame([("1.5",), ("x",)], "v string").select(times.from_unix_seconds(F.col("v"))).collect()]
+    assert [(u.instant, u.original, u.zone) for u in unix] == [(datetime(1970, 1, 1, 0, 0, 1, 500_000), "1.5", "utc"), (None, "x", "unknown")]
+    assert spark.range(1).select(times.formatted(F.lit(T0))).first()[0] == "2025-03-01T09:00:00.000000Z"
+
+
+def test_index_states():
+    wanted = {"model": "m", "chunk": 600, "overlap": 100}
+    meta = wanted | {"dimension": 4, "packing": "none", "built_at": "now"}
+    assert semantic.index_state(None, wanted) == "index_not_built"
+    assert semantic.index_state(meta | {"built_at": None}, wanted) == "index_building"
+    assert semantic.index_state(meta, wanted | {"packing": "int8"}) == "index_version_mismatch"
+    assert semantic.index_state(meta, wanted, 8) == "provider_dimension_mismatch"
+    assert semantic.index_state(meta, wanted, 4, 0) == "index_empty"
+    assert semantic.index_state(meta, wanted, 4, 1) is None
+    assert [semantic.next_action(*x) for x in ((None, wanted, 0, 0), (meta, wanted | {"model": "n"}, 0, 0), (meta, wanted, 1, 0), (meta, wanted | {"packing": "int8"}, 0, 0), (meta, wanted, 0, 0))] == ["full", "full", "reindex", "convert", "skip"]
+
+
+def test_tools(spark, lake, tmp_path):
+    from chatlake import tools
+
+    (tmp_path / "n.md").write_text("# Note\ntomatoes in a note\n")
+    a = tools.Archive(lake, note_source.notes(spark, str(tmp_path)))
+    got = tools.call(a, "search_brain", {"query": "tomatoes", "limit": 3})["results"]
+    assert [r["source"] for r in got] == ["vault", "history", "history"]
+    assert tools.call(a, "search_history", {"query": "tomatoes", "order": "no such", "limit": 1})["results"][0]["event_id"] == "chatgpt:me:a-0"
+    assert tools.call(a, "search_history", {"query": "tomatoes", "date_from": "2025-03-03", "date_to": "2025-03-03"})["total"] == 1
+    assert tools.call(a, "get_vault_note", {"path": "n.md"})["lines"][0] == "# Note"
+    assert tools.call(a, "timeline", {})["results"]
+    for name, args, code in (("nothing", {}, "UNKNOWN_TOOL"), ("search_history", {"query": ""}, "INVALID_PARAMS"), ("search_history", {"query": "x", "limit": 0}, "INVALID_PARAMS"), ("get_event", {"event_id": "x"}, "NOT_FOUND"), ("search_history", {"query": "x", "date_from": "soon"}, "INVALID_PARAMS")):
+        with pytest.raises(tools.ToolError) as e:
+            tools.call(a, name, args)
+        assert e.value.code == code
+    with pytest.raises(tools.ToolError):
+        tools.call(a, "recall", {"query": "x"}, {"tools": ["search_history"]})
+    with pytest.raises(ValueError, match="profile"):
+        tools.call(a, "recall", {}, {"allow_everything": True})
