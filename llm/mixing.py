@@ -8,8 +8,8 @@ domain, sum of rate * tokens * posterior, match the targets in least squares. A
 numbers as there are domains; its length follows Barzilai and Borwein. The gradient is taken in the norm that weighs
 documents by their tokens, so a rate depends on what a document is and not on its length.
 
-The steps go on until every domain is within TOLERANCE of its target, or no rate moves any more (a target can't be met),
-or STEPS are done; gap says how far the worst domain is from its target then, as a share of all tokens.
+The steps go on until every domain is within TOLERANCE of its target, or no rate moves any more or PATIENCE steps bring
+nothing (a target can't be met), or STEPS are done; gap says how far the worst domain is from its target then, as a share of all tokens.
 
 Defined results: a null or empty text has 0 tokens and the rate of its posteriors; domains without labelled documents
 have posterior 0, and their target can't be met; without any labelled document all posteriors are equal. Repeated rows count
@@ -31,6 +31,8 @@ TARGETS = {"good": 0.88, "poor": 0.07, "toxic": 0.05}
 #: Target tokens of all domains together, as a share of the tokens there are.
 BUDGET = 1.0
 STEPS, TOLERANCE, WRITE_EVERY = 200, 1e-5, 4
+#: Steps in which the worst gap must have shrunk by a hundredth.
+PATIENCE = 12
 #: Words of a lexicon at most, and the least of standard errors that a word's log odds must be from 0.
 LEXICON, CERTAIN = 100, 3.0
 FORM = ("words", "symbols", "capitals", "stops", "varied")
@@ -131,9 +133,11 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     if total and weight:
         want = [targets[d] / weight * budget for d in domains]
         gap = [first[n] / total - w for n, w in zip(p, want, strict=True)]
-        rate, length = F.col("rate"), 1.0
+        rate, length, best, since = F.col("rate"), 1.0, math.inf, 0
         for step in range(1, steps + 1):
-            if max(map(abs, gap)) < TOLERANCE:
+            far = max(map(abs, gap))
+            best, since = (far, 0) if far < 0.99 * best else (best, since + 1)
+            if far < TOLERANCE or since >= PATIENCE:
                 break
             before, slope = rate, reduce(lambda s, x: s + x, [F.col(n) * g for n, g in zip(p, gap, strict=True)])
             rate = F.greatest(F.lit(0.0), before - length * slope)
