@@ -1,6 +1,7 @@
 """Soft-membership mixing of documents to target domain weights (operator 4), with DataFrame functions only.
 
-A classifier learned from the labelled documents gives each document posteriors of the domains. Each domain has a lexicon:
+A classifier learned from FIT of the labelled documents, or all if there are fewer, gives each document posteriors of the
+domains; which ones is decided by a hash of the id. Each domain has a lexicon:
 the words whose share of labelled documents is most surely higher in it than in the other domains. The words of a document that lie
 in each lexicon, and a few figures of its form, are the features of a Gaussian naive Bayes model, fitted by one aggregation.
 Nonnegative document rates, all 1 at first, are then moved by projected gradient steps until the expected tokens of each
@@ -33,32 +34,34 @@ BUDGET = 1.0
 STEPS, TOLERANCE, WRITE_EVERY = 200, 1e-5, 4
 #: Steps in which the worst gap must have shrunk by a hundredth.
 PATIENCE = 12
+#: Labelled documents that the classifier is fitted to at most, those of the least hashes.
+FIT = 20_000
 #: Words of a lexicon at most, and the least of standard errors that a word's log odds must be from 0.
 LEXICON, CERTAIN = 100, 3.0
 FORM = ("words", "symbols", "capitals", "stops", "varied")
-MARKS, CAPITALS = "#*$%&|<>!", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+MARKS, CAPITALS = "#*$%&|<>!", "A-Z"
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x26\x28-\x60\x7B-\x7F]+"), lambda w: w != "")
-
-
-def features(text: Column, lexicons: dict[str, list[str]]) -> dict[str, Column]:
-    """Tokens and the classifier's features; time is linear in the text."""
-    text = F.coalesce(text, F.lit(""))
-    tokens = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    words = words_of(text)
-    chars, one = F.greatest(F.length(text), F.lit(1)), F.greatest(tokens, F.lit(1))
-    rate = lambda marks, of: F.log1p(100 * (F.length(text) - F.length(F.translate(text, marks, ""))) / of)
-    inside = lambda known: F.log1p(100 * F.size(F.filter(words, lambda w: w.isin(*known))) / one) if known else F.lit(0.0)
-    return {
-        "tokens": tokens,
-        "words": F.log1p(tokens),
-        "symbols": rate(MARKS, chars),
-        "capitals": rate(CAPITALS, chars),
-        "stops": rate(".", one),
-        "varied": F.size(F.array_distinct(words)) / one,
-    } | {f"in_{d}": inside(known) for d, known in lexicons.items()}
+    """Lower-cased words, ASCII letters, apostrophes and all beyond ASCII; empty strings are among them."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x26\x28-\x60\x7B-\x7F]+")
+
+
+def features(rows: DataFrame, lexicons: dict[str, list[str]]) -> DataFrame:
+    """id, tokens and the classifier's features of rows of id and text. Each text is gone through three times in all."""
+    text = F.coalesce("text", F.lit(""))
+    marks = F.regexp_replace(text, f"[^{MARKS}{CAPITALS}.]+", "")
+    rows = rows.select("id", F.length(text).alias("chars"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("tokens"), marks.alias("marks"), words_of(F.col("text")).alias("words"))
+    every = sorted({w for known in lexicons.values() for w in known})
+    hits = F.filter("words", lambda w: w.isin(*every)) if every else F.slice("words", 1, 0)
+    rows = rows.select("id", "tokens", "chars", "marks", F.size(F.array_remove(F.array_distinct("words"), "")).alias("distinct"), hits.alias("hits"))
+    one, chars = F.greatest("tokens", F.lit(1)), F.greatest("chars", F.lit(1))
+    rate = lambda kind, of: F.log1p(100 * F.regexp_count("marks", F.lit(f"[{kind}]")) / of)
+    inside = lambda known: F.log1p(100 * F.size(F.filter("hits", lambda w: w.isin(*known))) / one) if known else F.lit(0.0)
+    return rows.select(
+        "id", "tokens", F.log1p("tokens").alias("words"), rate(MARKS, chars).alias("symbols"), rate(CAPITALS, chars).alias("capitals"), rate(".", one).alias("stops"), (F.col("distinct") / one).alias("varied"),
+        *[inside(known).alias(f"in_{d}") for d, known in lexicons.items()],
+    )
 
 
 def domain(quality: Column, toxic: Column) -> Column:
@@ -66,22 +69,24 @@ def domain(quality: Column, toxic: Column) -> Column:
 
 
 def marked(labels: DataFrame, id_col: str) -> DataFrame:
-    """label_id and domain of the labelled documents."""
+    """label_id and domain of the labelled documents that the classifier is fitted to."""
     worst = F.max(F.when(F.col("domain") == "toxic", 2).when(F.col("domain") == "poor", 1).otherwise(0))
     known = with_ids(labels, id_col, "quality", "toxic").select(F.col(f"`{id_col}`").alias("label_id"), domain(F.col("quality"), F.col("toxic")).alias("domain")).filter("domain is not null")
-    return known.groupBy("label_id").agg(F.element_at(F.array(*map(F.lit, ("good", "poor", "toxic"))), worst + 1).alias("domain"))
+    known = known.groupBy("label_id").agg(F.element_at(F.array(*map(F.lit, ("good", "poor", "toxic"))), worst + 1).alias("domain"))
+    return known.orderBy(F.xxhash64("label_id"), "label_id").limit(FIT)
 
 
-def lexicons_of(own: DataFrame, known: DataFrame, domains: list[str]) -> dict[str, list[str]]:
-    """For each domain its LEXICON words of the surest log odds, over all labelled documents; only these reach the driver.
+def lexicons_of(own: DataFrame, known: DataFrame, domains: list[str], work: Scratch) -> dict[str, list[str]]:
+    """For each domain its LEXICON words of the surest log odds, over the labelled documents; only these reach the driver.
 
     A word counts once a document. Ties go by the word.
     """
-    rows = own.join(known, own["id"] == known["label_id"]).select("domain", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word"))
-    many = {r["domain"]: r["count"] for r in own.join(known, own["id"] == known["label_id"]).groupBy("domain").count().collect()}
+    labelled = own.join(F.broadcast(known), own["id"] == known["label_id"])
+    rows = labelled.select("domain", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word")).filter("word <> ''")
+    many = {r["domain"]: r["count"] for r in labelled.groupBy("domain").count().collect()}
     total = sum(many.values())
     table_ = rows.groupBy("word").agg(*[F.count_if(F.col("domain") == d).alias(d) for d in domains], F.count(F.lit(1)).alias("every"))
-    out = {}
+    table_, out = work.write(table_.filter(F.col("every") >= CERTAIN), "words"), {}  # rarer words can't be sure
     for d in domains:
         n = many.get(d, 0)
         odds = F.log((F.col(d) + 0.5) / (n + 1.0)) - F.log((F.col("every") - F.col(d) + 0.5) / (total - n + 1.0))
@@ -94,7 +99,7 @@ def lexicons_of(own: DataFrame, known: DataFrame, domains: list[str]) -> dict[st
 def posteriors(rows: DataFrame, known: DataFrame, domains: list[str]) -> list[Column]:
     """One column for each domain; the fitted means and variances are as many numbers as domains times features."""
     names = [*FORM, *[f"in_{d}" for d in domains]]
-    known = rows.join(known, rows["id"] == known["label_id"])
+    known = rows.join(F.broadcast(known), rows["id"] == known["label_id"])
     fitted = {r["domain"]: r for r in known.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), *[f(x).alias(f"{x}_{n}") for x in names for f, n in ((F.avg, "m"), (F.var_pop, "v"))]).collect()}
     total = sum(r["n"] for r in fitted.values())
     if not total:
@@ -121,8 +126,7 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     work = Scratch(docs.sparkSession, "mixing")
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     known = work.write(marked(labels, id_col), "known")
-    found = features(F.col("text"), lexicons_of(own, known, domains))
-    rows = work.write(own.select("id", *[c.alias(n) for n, c in found.items()]), "features")
+    rows = work.write(features(own, lexicons_of(own, known, domains, work)), "features")
     posterior = posteriors(rows, known, domains)
     p = [f"p_{d}" for d in domains]
     state = work.write(rows.select("id", "tokens", *[c.alias(n) for n, c in zip(p, posterior, strict=True)], F.lit(1.0).alias("rate")), "state")
