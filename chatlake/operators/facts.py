@@ -188,11 +188,13 @@ def similar_claims(new: DataFrame, old: DataFrame, least: float = RELATED) -> Da
         own = grams(df).join(both, "gram")
         w = Window.partitionBy("claim_id")
         own = own.withColumns({"nth": F.row_number().over(w.orderBy("df", "gram")), "n": F.count(F.lit(1)).over(w)})
-        return own.filter(F.col("nth") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select("claim_id", "memory_type", "search", "gram")
+        return own.filter(F.col("nth") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select("claim_id", "memory_type", "gram")
 
     a, b = prefix(new).alias("a"), prefix(old).alias("b")
     pairs = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.memory_type") == F.col("b.memory_type")) & (F.col("a.claim_id") != F.col("b.claim_id")))
-    pairs = pairs.select(F.col("a.claim_id").alias("new_id"), F.col("b.claim_id").alias("old_id"), F.col("a.search").alias("x"), F.col("b.search").alias("y")).distinct()
+    pairs = pairs.select(F.col("a.claim_id").alias("new_id"), F.col("b.claim_id").alias("old_id")).distinct()
+    texts = lambda df, side, name: df.select(F.col("claim_id").alias(f"{side}_id"), F.col("search").alias(name))
+    pairs = pairs.join(texts(new, "new", "x"), "new_id").join(texts(old, "old", "y"), "old_id")  # each pair is compared once
     return pairs.select("new_id", "old_id", similarity(F.col("x"), F.col("y")).alias("similarity")).filter(F.col("similarity") >= least)
 
 

@@ -54,6 +54,7 @@ class Lake:
         fs.mkdirs(path(f"{self.root}/jobs"))
         if fs.exists(path(name)) or not fs.rename(path(f"{self.root}/.jobs-{job['seq']}"), path(name)):
             raise RuntimeError(f"another import has taken number {job['seq']}")
+        fs.delete(path(f"{self.root}/.staging-{job['seq']}"), True)
         return job
 
     def table(self, name: str) -> DataFrame:
@@ -67,6 +68,12 @@ class Lake:
             df.select(*[F.col(f.name).cast(f.dataType) for f in columns]).write.mode("overwrite").parquet(f"{self.root}/{name}/job={job['seq']}")
         return self.finish(job | {"tables": sorted(rows)})
 
+    def staged(self, job: dict, rows: DataFrame) -> DataFrame:
+        """Rows of an import written once, so that its tables are all made of the same; finish() removes them."""
+        path = f"{self.root}/.staging-{job['seq']}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     # What queries read.
 
     def policy(self) -> DataFrame:
@@ -161,7 +168,7 @@ def _publish(lake: Lake, nodes: DataFrame, kind: str, namespace: str, now: datet
     hash_ = ids.revision_hash(c("content_type") if "content_type" in nodes.columns else F.lit("text"), c("text"), c("speaker"), c("created_at"), c("updated_at"), c("attachments") if "attachments" in nodes.columns else none)
     rows = rows.withColumn("revision_id", F.when(c("is_message"), ids.revision_id(c("event_id"), hash_)))
     snapshot = F.lit(job["snapshot_id"])
-    rows = rows.withColumn("conv_snapshot_id", ids.conversation_snapshot(snapshot, c("conversation")))
+    rows = lake.staged(job, rows.withColumn("conv_snapshot_id", ids.conversation_snapshot(snapshot, c("conversation"))))
     leaves = rows.filter(c("node") == c("current_node")).select("conversation", "node").distinct()
     depth = selected_path(rows.select("conversation", "node", "parent").distinct(), leaves)
     known = depth.select("conversation", F.lit(True).alias("known")).distinct()
