@@ -3,6 +3,11 @@
 Quality classifier: rejected documents go. Line dedup: duplicate lines go, and documents that keep no line of their own.
 N-gram Jaccard join: one document of each group of near duplicates stays. Decontamination: documents that hold enough of
 the benchmark go. Mixing: each document left gets the rate at which it is to be drawn.
+
+Defined results: rows are judged one by one, by id and text together, so null and repeated ids are no exception; of rows
+equal in both one stays; null texts and texts without words stay, with 0 tokens; without labels nothing is rejected and all
+domains are as likely; an empty table gives no rows. Extra columns are carried along, whatever their names, up to the last
+stage, which returns its own.
 """
 
 from __future__ import annotations
