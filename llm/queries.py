@@ -1,6 +1,18 @@
 """The queries of this package by name, and SQL for those that SQL can express."""
 
-from llm import chat_format, decontaminate, line_dedup, mixing, ngram_join, pii, quality_lm, quality_rules, url_filter, warc_audit
+from llm import (
+    chat_format,
+    decontaminate,
+    filter_audit,
+    line_dedup,
+    mixing,
+    ngram_join,
+    pii,
+    quality_lm,
+    quality_rules,
+    url_filter,
+    warc_audit,
+)
 
 QUERIES = {
     "op1_warc_fixity_audit": warc_audit.op1_warc_fixity_audit,
@@ -13,5 +25,6 @@ QUERIES = {
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
 }
-SQL = {**warc_audit.SQL, **chat_format.SQL, **decontaminate.SQL}
+SQL = {**warc_audit.SQL, **chat_format.SQL, **decontaminate.SQL, **filter_audit.SQL}
