@@ -4,6 +4,7 @@ from llm import (
     chat_format,
     decontaminate,
     filter_audit,
+    language_id,
     line_dedup,
     mixing,
     ngram_join,
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_language_id": language_id.op12_language_id,
 }
 SQL = {**warc_audit.SQL, **chat_format.SQL, **decontaminate.SQL, **filter_audit.SQL}

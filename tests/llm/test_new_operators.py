@@ -1,11 +1,16 @@
 """Operators 11 to 13 against plain Python."""
 
+import collections
 import itertools
+import math
 import random
+import zlib
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from llm import filter_audit
+from llm import filter_audit, language_id
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -98,3 +103,134 @@ def test_filter_audit_empty(spark):
     assert filter_audit.audited(frame(spark, []), labels).count() == 0
     part = filter_audit.audited(frame(spark, [(1, None, None)]), labels).collect()
     assert len(part) == 600 and {r["part"] for r in part} == {""} and {r["removed"] for r in part} == {0, 1}
+
+
+# --- operator 12
+
+
+def speech(r, lang, n):
+    parts = {"aa": ["ka", "to", "mi", "ra", "sé", "lu"], "bb": ["schn", "er", "tz", "öl", "gru", "au"], "cc": ["th", "ing", "qu", "ea", "ly", "wh"]}[lang]
+    return " ".join("".join(r.choices(parts, k=r.randint(1, 4))).capitalize() for _ in range(n))
+
+
+def spoken_rows():
+    r = random.Random(8)
+    rows = [(i, speech(r, lang, r.randint(3, 60)) + r.choice([".", "!", "", " 42"]), lang) for i, lang in enumerate(r.choices(["aa", "bb", "cc"], [6, 3, 1], k=300))]
+    rows += [(1000 + i, speech(r, "bb", 20), None) for i in range(20)]  # not learned from, predicted all the same
+    rows += [(2000, None, "aa"), (2001, "", "aa"), (2002, "12 -- 34!", "bb"), (None, speech(r, "aa", 30), "aa"), (5, rows[5][1], rows[5][2])]
+    rows += [(2003, "\U00010400 \U0001F600 İstanbul ǅ", "aa"), (2004, speech(r, "cc", 120_000), "cc"), (2005, "*" * 600_000 + " " + speech(r, "aa", 9), None)]
+    i = next(i for i in range(3000, 4000) if zlib.crc32(str(i).encode()) % 4 == 3)
+    return rows + [(i, "ææ øø ææø " * 9, "dd")]  # a language whose only document has remainder 3
+
+
+def symbols(t):
+    out, before = [], False
+    for c in t or "":
+        letter = c.isalpha()
+        if letter:
+            low = c.lower()
+            out.append(chr(0xFFFE) if ord(c) > 0xFFFF else low if len(low) == 1 else c)
+        elif before:
+            out.append(" ")
+        before = letter
+    return out
+
+
+def kneser_ney(texts, order):
+    """Probability of a symbol after order - 1 others, and the interpolated lower orders, from dictionaries."""
+    counts = {order: collections.Counter()}
+    for t in texts:
+        s = [" "] * (order - 1) + symbols(t)
+        counts[order].update(tuple(s[i : i + order]) for i in range(len(s) - order + 1))
+    for k in range(order - 1, 0, -1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+    total, types, d = {}, {}, {}
+    for k, c in counts.items():
+        n1, n2 = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        d[k] = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        for g, v in c.items():
+            total[k, g[:-1]] = total.get((k, g[:-1]), 0) + v
+            types[k, g[:-1]] = types.get((k, g[:-1]), 0) + 1
+
+    def p(g):
+        k = len(g)
+        if k == 1:
+            left = d[1] * types[1, ()] / total[1, ()] / (types[1, ()] + 1)
+            return left + (max(counts[1][g] - d[1], 0) / total[1, ()] if g in counts[1] else 0)
+        if (k, g[:-1]) not in total:
+            return p(g[1:])
+        seen = (counts[k][g] - d[k]) / total[k, g[:-1]] if g in counts[k] else 0
+        return seen + d[k] * types[k, g[:-1]] / total[k, g[:-1]] * p(g[1:])
+
+    return p
+
+
+@pytest.fixture(scope="module")
+def spoken(spark):
+    rows = spoken_rows()
+    got = language_id.identified(frame(spark, rows).withColumn("best", F.lit("clash"))).collect()
+    return rows, got
+
+
+def test_language_id_against_dictionaries(spoken):
+    rows, got = spoken
+    part = lambda i: None if i is None else zlib.crc32(str(i).encode()) % 4
+    learned = [(part(i), t, lang) for i, t, lang in rows if i is not None and t is not None and lang and part(i) != 2]
+    langs = sorted({lang for _, _, lang in learned})
+    counted = {lang: [t for p, t, x in learned if x == lang and p < 3] or [t for _, t, x in learned if x == lang] for lang in langs}
+    models = {lang: kneser_ney(t, language_id.ORDER) for lang, t in counted.items()}
+    assert len(got) == len(rows) and sorted(models) == ["aa", "bb", "cc", "dd"]
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["doc_id"]].append(r)
+    memo = {}
+    for i, t, _ in rows:
+        s = symbols(t)
+        for r in by[i]:
+            assert r["held_out"] == (part(i) == 2) and r["n_symbols"] == len(s)
+            if not s:
+                assert (r["lang_pred"], r["score"], r["accepted"], r["entropy"]) == ("und", 0.0, False, None)
+                continue
+            grams = collections.Counter(zip(*[([" "] * 3 + s)[k : len(s) + k] for k in range(4)], strict=True))
+            cost = {}
+            for lang, p in models.items():
+                for g in grams:
+                    if (lang, g) not in memo:
+                        memo[lang, g] = -math.log(p(g))
+                cost[lang] = sum(n * memo[lang, g] for g, n in grams.items()) / len(s)
+            want = min(cost, key=lambda x: (cost[x], x))
+            assert r["lang_pred"] == want and r["entropy"] == pytest.approx(cost[want], rel=0.01)
+            assert r["score"] == pytest.approx(1 / sum(math.exp(20 * (cost[want] - c)) for c in cost.values()), abs=0.02)
+            assert r["accepted"] == (r["entropy"] <= r["entropy_limit"])
+
+
+def test_language_id_lots_and_pieces(spark, spoken, monkeypatch):
+    """A lot for each language gives the same rows as one for all."""
+    rows, got = spoken
+    monkeypatch.setattr(language_id, "MODEL_BYTES", 1)
+    again = language_id.identified(frame(spark, rows)).collect()
+    key = lambda r: (str(r["doc_id"]), r["lang_pred"], r["accepted"], r["n_symbols"], round(r["score"], 4))
+    assert sorted(map(key, again)) == sorted(map(key, got))
+
+
+def test_language_id_pieces_count_alike():
+    import pyarrow as pa
+
+    text = "Ab, ç " * 90_000 + "\U0001F600 zz"
+    parts = [code for _, _, code, _ in language_id.coded(pa.array([text]), 4)]
+    whole, _, _ = language_id.grams(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]), 4)
+    assert len(parts) > 2 and (np.concatenate(parts) == whole).all()
+
+
+def test_language_id_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = language_id.op12_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    right = sum(r["lang"] == r["lang_pred"] for r in rows)
+    assert len(rows) > 200 and right >= 0.97 * len(rows)
+    assert sum(r["accepted"] for r in rows) >= 0.9 * len(rows)
+
+
+def test_language_id_nothing_learned(spark):
+    assert language_id.identified(frame(spark, [])).count() == 0
+    rows = language_id.identified(frame(spark, [(1, "abc", None), (None, "abc", "en")])).collect()
+    assert [(r["lang_pred"], r["score"], r["held_out"]) for r in rows] == [("und", 0.0, False)] * 2
