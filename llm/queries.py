@@ -2,6 +2,7 @@
 
 from llm import (
     chat_format,
+    collocations,
     decontaminate,
     filter_audit,
     language_id,
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
     "op11_filter_audit": filter_audit.op11_filter_audit,
     "op12_language_id": language_id.op12_language_id,
+    "op13_collocations": collocations.op13_collocations,
 }
-SQL = {**warc_audit.SQL, **chat_format.SQL, **decontaminate.SQL, **filter_audit.SQL}
+SQL = {**warc_audit.SQL, **chat_format.SQL, **decontaminate.SQL, **filter_audit.SQL, **collocations.SQL}

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from llm import filter_audit, language_id
+from llm import collocations, filter_audit, language_id
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -234,3 +234,80 @@ def test_language_id_nothing_learned(spark):
     assert language_id.identified(frame(spark, [])).count() == 0
     rows = language_id.identified(frame(spark, [(1, "abc", None), (None, "abc", "en")])).collect()
     assert [(r["lang_pred"], r["score"], r["held_out"]) for r in rows] == [("und", 0.0, False)] * 2
+
+
+# --- operator 13
+
+
+def mined_rows():
+    r = random.Random(6)
+    vocab = ["the", "of", "New", "york", "straße", "a", "b", "hot", "dog", "it's"] + [f"w{i}" for i in range(40)]
+    marks = [" ", " ", " ", "  ", ", ", ". ", "\t", "\n", ";", "!"]
+    text = lambda n: "".join(r.choice(vocab) + r.choice(marks) for _ in range(n))
+    rows = [(i, text(r.randint(1, 200)) + r.choice(["", "new york city. ", "a a a a", "Hot dog hot dog"]), r.choice(["en", "en", "de", None, "und"])) for i in range(250)]
+    rows += [(400, "x y z " * 60_000, "en"), (401, "long piece, " * 40_000, "de"), (None, "hot dog " * 11, "fr"), (402, None, "es"), (403, "", None), (404, "...", "es")]
+    return rows + rows[:3] + [(500 + i, f"q{i} z{i} " * 12, "tie") for i in range(80)]
+
+
+def collocated_by_hand(rows, top):
+    f = collections.defaultdict(collections.Counter)
+    for _, t, lang in rows:
+        piece = []
+        for c in (t or "") + ".":
+            if c in ".,;:!?\n\x0b\x0c\r":
+                own = "".join(piece).replace("\t", " ").split(" ")
+                own, piece = [w for w in own if w], []
+                for k in (1, 2, 3):
+                    f[lang or "und"].update(tuple(own[i : i + k]) for i in range(len(own) - k + 1))
+            else:
+                piece.append(chr(ord(c) + 32) if "A" <= c <= "Z" else c)
+    out = []
+    for lang, own in f.items():
+        n, found = sum(v for g, v in own.items() if len(g) == 1), []
+        for g, a in own.items():
+            if len(g) < 2 or a < 10:
+                continue
+            score, k = min((1_000_000 * a * a // (own[g[:k]] * own[g[k:]]), k) for k in range(1, len(g)))
+            found.append((-score, -a, " ".join(g).encode(), own[g[:k]], own[g[k:]], g))
+        longer = collections.Counter()
+        for x in found:
+            for i in (0, 1):
+                if len(x[5]) == 3:
+                    longer[x[5][i : i + 2]] = max(longer[x[5][i : i + 2]], -x[1])
+        found = sorted(x for x in found if len(x[5]) == 3 or not longer[x[5]] or 100 * longer[x[5]] < 50 * -x[1])
+        out += [(lang, i, x[2].decode(), -x[1], x[3], x[4], n, -x[0]) for i, x in enumerate(found[:top], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("small", "top"), [(False, 2000), (True, 7)])
+def test_collocations(spark, monkeypatch, small, top):
+    """small: many shards, each asked by several groups, whose arrays are summed in a deep tree."""
+    rows = mined_rows()
+    if small:
+        for name, value in (("SHARD", 64), ("ASKED", 8), ("FAN", 2)):
+            monkeypatch.setattr(collocations, name, value)
+    docs = frame(spark, rows).repartition(6)
+    got = sorted(tuple(r) for r in collocations.mine(docs, top=top).collect())
+    want = collocated_by_hand(rows, top)
+    assert len(want) > (30 if small else 150) and {x[0] for x in want} == {"en", "de", "und", "fr", "tie"}
+    assert got == want
+
+
+def test_collocations_scores_pass_64_bits(spark):
+    a, b = 3 * 10**12, 9 * 10**12
+    expr = "(1000000BD * (cast(a as decimal(16,0)) * cast(a as decimal(16,0)))) div (cast(a as decimal(19,0)) * cast(b as decimal(19,0)))"
+    assert spark.createDataFrame([(a, b)], "a long, b long").selectExpr(expr).first()[0] == 1_000_000 * a * a // (a * b)
+
+
+def test_collocations_empty(spark):
+    assert collocations.mine(frame(spark, [])).count() == 0
+    assert collocations.mine(frame(spark, [(1, "once only", "en")])).count() == 0
+
+
+def test_perfect_hash():
+    keys = np.unique(np.random.default_rng(3).integers(0, 1 << 63, 20_000, dtype=np.uint64))
+    slots = collocations.Slots.build(keys)
+    assert sorted(slots(keys).tolist()) == list(range(len(keys)))  # minimal and perfect
+    assert (slots.keys[slots(keys)] == keys).all()
+    assert (slots(keys + np.uint64(1 << 63)) == -1).all()  # stored keys tell others apart
+    assert len(collocations.Slots.build(np.zeros(0, np.uint64))(keys)) == len(keys)
