@@ -9,6 +9,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chatlake.operators import selection
+
 # Gates that a suite must pass, shape of the synthetic corpus.
 GATES = {"recall": 0.90, "citations": 1.0, "refusals": 1.0}
 START, CONVERSATION_SECONDS, STEP, SPREAD = 1754035200, 600, 60, 7
@@ -71,10 +73,8 @@ def metrics(results: DataFrame) -> DataFrame:
 
 
 def percentile(rows: DataFrame, value: str, share: float, by: Sequence[str] = ()) -> DataFrame:
-    """The nearest-rank percentile: the value at place round(share * (n - 1)), halves to the even place."""
-    w = Window.partitionBy(*by)
-    placed = rows.withColumns({"_at": F.row_number().over(w.orderBy(value)) - 1, "_n": F.count(F.lit(1)).over(w)})
-    return placed.filter(F.col("_at") == F.bround(F.lit(share) * (F.col("_n") - 1))).select(*by, F.col(value).alias("value"))
+    """by and value: one nearest-rank percentile; see selection.percentiles()."""
+    return selection.percentiles(rows, value, [share], by).drop("share")
 
 
 def percentile_of(values: Sequence[float], share: float) -> float:
@@ -157,9 +157,3 @@ def batches(items: DataFrame, most_bytes: int, size: str = "bytes", order: str =
 
 def retry_after(failures: int, base: float = 60.0, most: float = 3600.0) -> float:
     return min(most, base * 2 ** max(0, failures - 1))
-
-
-def rate_limited(requests: DataFrame, most: int, seconds: int = 60) -> DataFrame:
-    """Requests (key, at) with allowed: fewer than most in the seconds before."""
-    w = Window.partitionBy("key").orderBy(F.unix_micros("at")).rangeBetween(-seconds * 1_000_000 + 1, -1)
-    return requests.withColumn("allowed", F.count(F.lit(1)).over(w) < most)

@@ -16,11 +16,19 @@ from chatlake.operators.archive import current_policy
 
 SCHEMA = "revision_id string, version long, available boolean, scopes array<string>, sensitivity array<string>, classification string, recorded_at timestamp, reason string"
 
+#: Rows by source: a source's last one says whether it is withdrawn.
+SOURCES = "source_id string, version long, withdrawn boolean, recorded_at timestamp, reason string"
+
 
 def _empty() -> Column:
     return F.array().cast("array<string>")
 
 
+def _current(log: DataFrame) -> DataFrame:
+    """The current rows of a log, or of what are current rows already (without a version)."""
+    return current_policy(log) if "version" in log.columns else log
+
+
 def initial(revisions: DataFrame, epoch: int, now: datetime | Column, withdrawn: DataFrame | None = None) -> DataFrame:
     """The first row of new revisions: available and unclassified, but withdrawn where their event or source is.
 
@@ -54,7 +62,7 @@ def withdraw(log: DataFrame, revisions: DataFrame, epoch: int, now: datetime, re
     why = F.lit(reason) if isinstance(reason, str) else reason
     if events is not None:
         rows, why = rows.join(events.groupBy("event_id").agg(F.min("reason").alias("why")), "event_id"), F.col("why")
-    rows = rows.join(current_policy(log).filter("available").select("revision_id"), "revision_id", "left_semi")
+    rows = rows.join(_current(log).filter("available").select("revision_id"), "revision_id", "left_semi")
     return rows.select("revision_id", F.lit(epoch).cast("long").alias("version"), F.lit(False).alias("available"), _empty().alias("scopes"), _empty().alias("sensitivity"), F.lit("unclassified").alias("classification"), F.lit(now).alias("recorded_at"), why.alias("reason"))
 
 
@@ -62,7 +70,7 @@ def relabel(log: DataFrame, revisions: DataFrame, epoch: int, now: datetime, sco
     """Rows to append that replace the labels of an event's or a source's available revisions; withdrawn ones stay so."""
     rows = revisions.select("revision_id", "event_id", "source_id")
     rows = rows.filter(F.col("event_id") == event) if event is not None else rows.filter(F.col("source_id") == source)
-    rows = rows.join(current_policy(log).filter("available").select("revision_id"), "revision_id", "left_semi")
+    rows = rows.join(_current(log).filter("available").select("revision_id"), "revision_id", "left_semi")
     if rows.isEmpty():
         raise ValueError("nothing to label: unknown or withdrawn")
     values = lambda xs: F.array(*map(F.lit, sorted(set(xs)))).cast("array<string>")
@@ -75,6 +83,10 @@ def profile_filters(profile: dict) -> dict:
     return {"scopes": None if "*" in allow else list(allow), "deny": list(profile.get("deny_sensitivity", [])), "classified": not profile.get("allow_unclassified", False)}
 
 
+class Unsettled(RuntimeError):
+    pass
+
+
 def with_epoch_retry(epoch: Callable[[], int], work: Callable[[], object], attempts: int = 3) -> object:
     """The result of work() during which the policy didn't change; after as many attempts an error."""
     for _ in range(attempts):
@@ -82,4 +94,4 @@ def with_epoch_retry(epoch: Callable[[], int], work: Callable[[], object], attem
         out = work()
         if epoch() == before:
             return out
-    raise RuntimeError("the policy kept changing")
+    raise Unsettled("the policy kept changing")

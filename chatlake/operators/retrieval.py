@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from chatlake.functions.text import bigrams_of, cjk_runs, mask_credentials, masked_text, normal, normal_map
-from chatlake.operators import archive, ids, semantic
-from chatlake.operators.store import Lake, candidates
+from chatlake.operators import archive, ids, policy, postings, semantic
+from chatlake.operators.store import Lake
 
 ORDERS, MODES = ("chronological", "reverse", "relevance"), ("literal", "all_terms")
 
@@ -52,17 +52,47 @@ def decode(cursor: str, n: int) -> list[object]:
     return values
 
 
-def behind(order: str, key: list[object]) -> Column:
-    """Rows that come after a key (score, time, event) in an order."""
-    score, time, event = key
-    at, who = F.col("created_at"), F.col("event_id")
-    if time is None:
-        later = at.isNull() & (who > event)
-    else:
-        t = F.lit(time).cast("timestamp")
-        step = (at > t) | ((at == t) & (who > event)) if order != "reverse" else (at < t) | ((at == t) & (who < event))
-        later = at.isNull() | step
-    return later if order != "relevance" else (F.col("score") < score) | ((F.col("score") == score) & later)
+def keys_of(order: str, hybrid: bool = False) -> list[tuple[Column, bool]]:
+    """(column, whether it goes down) of an order, by which rows are sorted and cursors compared; no two rows are alike.
+
+    Times that aren't known come last. With hybrid scores these part equal times; relevance then falls back to exact.
+    """
+    undated, time, event = F.col("created_at").isNull(), F.unix_micros("created_at"), F.col("event_id")
+    score, last = (F.col("score"), True), (F.col("revision_id"), False)
+    if order == "relevance":
+        exact = [(F.coalesce("exact", F.lit(-1)), True)] if hybrid else []
+        return [score, *exact, (undated, False), (time, False), (event, False), last]
+    between = [score] if hybrid else []
+    if order == "reverse":
+        dated_event = F.when(~undated, event)
+        return [(undated, False), (time, True), *between, (dated_event, True), (event, False), last]
+    return [(undated, False), (time, False), *between, (event, False), last]
+
+
+def sorted_by(keys: Sequence[tuple[Column, bool]]) -> list[Column]:
+    return [c.desc_nulls_last() if down else c.asc_nulls_last() for c, down in keys]
+
+
+def key_values(keys: Sequence[tuple[Column, bool]]) -> Column:
+    """A row's place in the order, to be put in a cursor."""
+    return F.struct(*[c.alias(f"k{i}") for i, (c, _) in enumerate(keys)])
+
+
+def at_key(keys: Sequence[tuple[Column, bool]], values: Sequence[object]) -> Column:
+    same = F.lit(True)
+    for (c, _), v in zip(keys, values, strict=True):
+        same = same & c.eqNullSafe(F.lit(v))
+    return same
+
+
+def behind(keys: Sequence[tuple[Column, bool]], values: Sequence[object]) -> Column:
+    """Rows that come after the one with these values in the order of the keys; nulls are last."""
+    out, same = F.lit(False), F.lit(True)
+    for (c, down), v in zip(keys, values, strict=True):
+        if v is not None:
+            out = out | (same & F.coalesce((c < F.lit(v)) if down else (c > F.lit(v)), F.lit(True)))
+        same = same & c.eqNullSafe(F.lit(v))
+    return out
 
 
 def coverage(messages: DataFrame) -> dict:
@@ -83,62 +113,109 @@ def window_of(text: str, search_text: str, start: int, length: int, width: int)
     return "…" * (begin > 0) + text[begin : begin + width] + "…" * (begin + width < len(text))
 
 
-def hits(messages: DataFrame, query: str, mode: str = "literal", tokens: DataFrame | None = None, max_scan: int | None = None, **filters) -> DataFrame:
+def hits(lake: Lake, messages: DataFrame, query: str, mode: str = "literal", max_scan: int | None = None, **filters) -> DataFrame:
     """Visible messages that match, with span_start and score.
 
-    Where the terms have index tokens, only revisions that hold them are scanned. Without any, a pool of more than max_scan
+    Where the terms have index tokens, only messages that hold them are read. Without any, a pool of more than max_scan
     messages is refused.
     """
-    found = candidates(tokens, [plan_term(t) for t in terms_of(query, mode)]) if tokens is not None else None
-    if found is not None:
-        messages = messages.join(found, "revision_id", "left_semi")
+    tokens = [t for term in terms_of(query, mode) for t in plan_term(term)]
+    if tokens:
+        messages = messages.join(postings.candidates(lake, tokens), "doc", "left_semi")
     elif max_scan is not None and messages.limit(max_scan + 1).count() > max_scan:
         raise QueryTooBroad("narrow the query by a source or dates")
     return archive.search(messages, query, mode, **filters)
 
 
-def search_history(lake: Lake, query: str, mode: str = "literal", order: str = "chronological", limit: int = 20, cursor: str | None = None, branch: str = "all", profile: dict | None = None, redact: bool = False, width: int = 80, vectors: DataFrame | None = None, provider=None, max_scan: int | None = None, **filters) -> dict:
+def covered(lake: Lake, profile: dict | None, seen: DataFrame) -> dict:
+    """coverage() of what a profile sees, kept until the archive changes: every import and change of policy has a number."""
+    key = f"coverage {json.dumps(profile, sort_keys=True)}"
+    held = lake.opened.get(key)
+    if held is None or held[0] != lake.head():
+        held = lake.opened[key] = (lake.head(), coverage(seen))
+    return held[1]
+
+
+def search_history(
+    lake: Lake,
+    query: str,
+    mode: str = "literal",
+    order: str = "chronological",
+    limit: int = 20,
+    cursor: str | None = None,
+    branch: str = "all",
+    profile: dict | None = None,
+    redact: bool = False,
+    width: int = 80,
+    vectors: DataFrame | None = None,
+    provider=None,
+    max_scan: int | None = None,
+    date_from: Column | None = None,
+    date_to: Column | None = None,
+    speaker: str | None = None,
+    **within: str,
+) -> dict:
     """A page of hits with snippets, citations and provenance; branch "selected" keeps to the selected paths.
 
-    With vectors (an index) and a provider, relevance is the fused score of exact and semantic hits, and kind says which
-    they are; the time orders use it between equal times. An unknown order or mode is the default. A cursor whose row is
-    gone is an error.
+    within: namespace, source and conversation. With vectors (an index) and a provider, relevance is the fused score of
+    exact and semantic hits, and kind says which they are; the time orders use it between equal times. An unknown order or
+    mode is the default. A cursor whose row is gone is an error. undated counts hits without a time: where dates are asked
+    for, those that the dates leave out. All is read from one state of the archive.
     """
-    from chatlake.operators.policy import profile_filters
-
+    lake = lake.snapshot()
     order, mode = order if order in ORDERS else "chronological", mode if mode in MODES else "literal"
-    seen = lake.messages(**(profile_filters(profile) if profile else {}))
-    pool = seen.join(lake.paths().select("event_id").distinct(), "event_id", "left_semi") if branch == "selected" else seen
-    found = hits(pool, query, mode, lake.table("tokens"), max_scan, **filters).withColumn("kind", F.lit("exact"))
+    own = policy.profile_filters(profile) if profile else {}
+    seen = lake.messages(**own)
+    pool = lake.messages(**own, **within) if within else seen
+    pool = pool.join(lake.paths().select("event_id").distinct(), "event_id", "left_semi") if branch == "selected" else pool
+    every = hits(lake, pool, query, mode, max_scan, speaker=speaker).withColumn("kind", F.lit("exact"))
+    hybrid = vectors is not None and provider is not None
     warnings = []
     if branch == "selected" and (unknown := lake.path_unknown()):
         warnings.append(f"the path of {unknown} conversations is unknown")
-    if vectors is not None and provider is not None:
-        near = semantic.semantic_hits(vectors, provider.embed([query])[0], limit, pool)
-        ranked = found.select("revision_id", F.row_number().over(Window.orderBy(*archive.order_of("relevance"))).alias("rank"))
-        both = semantic.hybrid(ranked, near)
-        found = pool.join(both, "revision_id").join(found.select("revision_id", "span_start"), "revision_id", "left").withColumn("score", F.round("fused", 9)).drop("fused")
-    total = undated = None
-    keys = archive.order_of(order)
-    if order != "relevance" and vectors is not None:
-        keys = [*keys[:2], F.col("score").desc(), *keys[2:]]
-    rest = found
-    if cursor is not None:
-        key = decode(cursor, 3)
-        if found.filter((F.col("event_id") == key[2]) & F.col("created_at").eqNullSafe(F.lit(key[1]).cast("timestamp"))).isEmpty():
-            raise ValueError("the cursor's row is gone")
-        rest = found.filter(behind(order, key))
-    page = rest.orderBy(*keys).limit(limit + 1).collect()
-    counted = found.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("created_at").isNull()).alias("undated")).first()
-    total, undated = counted["n"], counted["undated"]
+    dated = F.lit(True)
+    if date_from is not None:
+        dated = dated & (F.col("created_at") >= date_from)
+    if date_to is not None:
+        dated = dated & (F.col("created_at") < date_to)
+    dated = F.coalesce(dated, F.lit(False))
+    if hybrid:
+        every = fused(every.filter(dated), pool.filter(dated), vectors, provider.embed([query])[0], limit)
+    keys = keys_of(order, hybrid)
+    values = decode(cursor, len(keys)) if cursor is not None else None
+    rest = every.filter(dated)
+    page = (rest if values is None else rest.filter(behind(keys, values))).withColumn("_key", key_values(keys))
+    page = page.orderBy(*sorted_by(keys)).limit(limit + 1).collect()
+    there = F.lit(True) if values is None else F.max(dated & at_key(keys, values))
+    counted = every.agg(F.count_if(dated).alias("n"), F.count_if(F.col("created_at").isNull()).alias("undated"), there.alias("there")).first()
+    if not counted["there"]:
+        raise ValueError("the cursor's row is gone")
     more, page = len(page) > limit, page[:limit]
     first = terms_of(query, mode)[0]
-    where = {r["revision_id"]: r for r in lake.provenance(lake.spark.createDataFrame([(r["revision_id"],) for r in page], "revision_id string")).collect()} if page else {}
+    asked = lake.spark.createDataFrame([(r["revision_id"],) for r in page], "revision_id string")
+    where = {r["revision_id"]: r for r in lake.provenance(asked).collect()} if page else {}
     results = [hit_row(r, len(first), width, redact, where.get(r["revision_id"])) for r in page]
     if any(x["redacted"] for x in results):
         warnings.append("credentials are masked")
-    last = [page[-1]["score"], page[-1]["created_at"], page[-1]["event_id"]] if more else None
-    return envelope(results, more, encode(last) if last else None, coverage(seen), warnings) | {"total": total, "undated": undated}
+    last = encode(list(page[-1]["_key"])) if more else None
+    return envelope(results, more, last, covered(lake, profile, seen), warnings) | {"total": counted["n"], "undated": counted["undated"]}
+
+
+#: Exact hits that take part in a fused ranking by their rank: five pages, and so many at most; others have exact only.
+RANKED_PAGES, RANKED = 5, 200
+
+
+def fused(found: DataFrame, pool: DataFrame, vectors: DataFrame, query: Sequence[float], limit: int) -> DataFrame:
+    """Exact and semantic hits with kind, score (fused) and exact (the exact score)."""
+    near = semantic.semantic_hits(vectors, query, limit, pool)
+    top = found.orderBy(*sorted_by(keys_of("relevance"))).limit(min(RANKED_PAGES * limit, RANKED))
+    ranked = top.select("revision_id", F.row_number().over(Window.orderBy(*sorted_by(keys_of("relevance")))).alias("rank"))
+    both = semantic.hybrid(ranked, near).select("revision_id", F.col("kind").alias("found_as"), F.round("fused", 9).alias("fused"))
+    exact = found.select("revision_id", "span_start", F.col("score").alias("exact"))
+    rows = exact.join(both, "revision_id", "full")
+    kind = F.when(F.col("found_as").isNull(), "exact").when((F.col("found_as") == "semantic") & F.col("exact").isNotNull(), "both").otherwise(F.col("found_as"))
+    rows = rows.select("revision_id", "span_start", "exact", kind.alias("kind"), F.coalesce("fused", F.lit(0.0)).alias("score"))
+    return pool.join(rows, "revision_id")
 
 
 def hit_row(r: Row, length: int, width: int, redact: bool, where: Row | None) -> dict:
@@ -153,11 +230,10 @@ def hit_row(r: Row, length: int, width: int, redact: bool, where: Row | None) ->
 
 
 def recent_events(lake: Lake, now: datetime, days: int = 7, limit: int = 20, cursor: str | None = None, profile: dict | None = None) -> dict:
-    from chatlake.operators.policy import profile_filters
-
     if not 0 <= days <= 3650:
         raise ValueError("0 to 3650 days")
-    seen = lake.messages(**(profile_filters(profile) if profile else {}))
+    lake = lake.snapshot()
+    seen = lake.messages(**(policy.profile_filters(profile) if profile else {}))
     after = None
     if cursor is not None:
         time, event = decode(cursor, 2)
@@ -165,7 +241,7 @@ def recent_events(lake: Lake, now: datetime, days: int = 7, limit: int = 20, cur
     page = archive.recent(seen, now, days, limit + 1, after=after).collect()
     more, page = len(page) > limit, page[:limit]
     results = [{k: r[k] for k in ("event_id", "revision_id", "conversation", "speaker", "created_at", "text")} for r in page]
-    return envelope(results, more, encode([page[-1]["created_at"], page[-1]["event_id"]]) if more else None, coverage(seen))
+    return envelope(results, more, encode([page[-1]["created_at"], page[-1]["event_id"]]) if more else None, covered(lake, profile, seen))
 
 
 def get_event(lake: Lake, event: str, radius: int = 2, text_offset: int = 0, text_limit: int = 4000, profile: dict | None = None, redact: bool = False) -> dict:
@@ -173,9 +249,7 @@ def get_event(lake: Lake, event: str, radius: int = 2, text_offset: int = 0, tex
 
     What isn't there and what policy hides give the same error.
     """
-    from chatlake.operators.policy import profile_filters
-
-    filters = profile_filters(profile) if profile else {}
+    lake, filters = lake.snapshot(), policy.profile_filters(profile) if profile else {}
     asked = lake.spark.createDataFrame([(event,)], "event_id string")
     own = lake.representative(asked, **filters).first()
     if own is None:
@@ -234,16 +308,16 @@ def fitted(messages: list[dict], left: int) -> tuple[list[dict], int]:
     return out, used
 
 
-def recall(lake: Lake, query: str, mode: str = "literal", max_snippets: int = 5, radius: int = 2, budget: int = 4000, max_limit: int = 100, profile: dict | None = None, redact: bool = False, **filters) -> dict:
+def recall(lake: Lake, query: str, mode: str = "literal", max_snippets: int = 5, radius: int = 2, budget: int = 4000, max_limit: int = 100, profile: dict | None = None, redact: bool = False, within: dict | None = None, **filters) -> dict:
     """Fragments of conversations around the most relevant hits, within a budget of characters; hits of unknown time don't count.
 
     At most min(3 * max_snippets, max_limit) hits are looked at, so what is filled in here, in order, is bounded.
     """
-    from chatlake.operators.policy import profile_filters
-
-    own = profile_filters(profile) if profile else {}
+    lake = lake.snapshot()
+    own = policy.profile_filters(profile) if profile else {}
     seen = lake.messages(**own)
-    top = archive.page(hits(seen, query, mode, lake.table("tokens"), **filters), "relevance", min(3 * max_snippets, max_limit))
+    pool = lake.messages(**own, **within) if within else seen
+    top = archive.page(hits(lake, pool, query, mode, **filters), "relevance", min(3 * max_snippets, max_limit))
     rank = F.row_number().over(Window.orderBy(*archive.order_of("relevance")))
     ranked = top.withColumn("rank", rank).filter("created_at is not null").select("event_id", "conversation", "rank", F.lit("exact").alias("kind"))
     found = fragments(ranked, lake.paths(), radius).orderBy("first", F.col("low").asc_nulls_last(), "rank").collect()
@@ -269,7 +343,7 @@ def recall(lake: Lake, query: str, mode: str = "literal", max_snippets: int = 5,
         times = [m["time"] for m in shown if m["time"]]
         snippets.append({"conversation": f["conversation"], "title": titles.get(f["conversation"], ""), "kind": f["kind"], "time_range": [min(times), max(times)] if times else [None, None], "messages": shown})
         used += size
-    out = envelope(snippets, dropped > 0, None, coverage(seen), ["credentials are masked"] if masked else [])
+    out = envelope(snippets, dropped > 0, None, covered(lake, profile, seen), ["credentials are masked"] if masked else [])
     return out | {"budget": {"used": used, "of": budget, "dropped": dropped}}
 
 
@@ -285,9 +359,8 @@ def timeline(lake: Lake, zone: str, date_from: str | None = None, date_to: str |
 
     more says how many conversations of the day aren't shown.
     """
-    from chatlake.operators.policy import profile_filters
-
-    rows = lake.messages(**(profile_filters(profile) if profile else {})).filter("created_at is not null")
+    lake = lake.snapshot()
+    rows = lake.messages(**(policy.profile_filters(profile) if profile else {})).filter("created_at is not null")
     if date_from:
         rows = rows.filter(F.col("created_at") >= archive.day_bound(date_from, zone))
     if date_to:
@@ -315,9 +388,7 @@ def federated(sources: dict[str, DataFrame], limit: int) -> DataFrame:
 
 def resolve_citation(lake: Lake, cite: str, profile: dict | None = None) -> Row | None:
     """The visible revision that a citation names, or none."""
-    from chatlake.operators.policy import profile_filters
-
-    rows = lake.messages(**(profile_filters(profile) if profile else {}))
+    rows = lake.messages(**(policy.profile_filters(profile) if profile else {}))
     return rows.filter(F.col("revision_id") == ids.cited_revision(F.lit(cite))).first()
 
 
@@ -328,10 +399,9 @@ def show_event(lake: Lake, event: str) -> DataFrame:
 
 def brain_status(lake: Lake, profile: dict | None = None) -> dict:
     """Visible coverage, messages by source, the last import and whether any import was partial or failed."""
-    from chatlake.operators.policy import profile_filters
-
-    seen = lake.messages(**(profile_filters(profile) if profile else {}))
+    lake = lake.snapshot()
+    seen = lake.messages(**(policy.profile_filters(profile) if profile else {}))
     by = {r["source_id"]: r["count"] for r in seen.groupBy("source_id").count().collect()}
     jobs = [j for j in lake.jobs() if j["kind"] == "import"]
     warnings = [f"an import is {s}" for s in ("partial", "failed") if any(j["status"] == s for j in jobs)]
-    return {"coverage": coverage(seen), "sources": by, "last_import": max((j["at"] for j in jobs), default=None), "warnings": warnings}
+    return {"coverage": covered(lake, profile, seen), "sources": by, "last_import": max((j["at"] for j in jobs), default=None), "warnings": warnings}

@@ -36,14 +36,6 @@ def quantized(vectors: DataFrame, vector: str = "embedding") -> tuple[DataFrame,
     return vectors.withColumn("int8", F.transform(vector, pack)), scale
 
 
-def nearest_quantized(vectors: DataFrame, query: Sequence[float], k: int, oversample: int = 4, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The k * oversample nearest by int8 vectors, ranked again by exact distance."""
-    packed, scale = quantized(vectors, vector)
-    q = F.array(*[F.lit(float(max(-128, min(127, round(x * scale))))) for x in query])
-    coarse = packed.withColumn("coarse", distance(F.col("int8").cast("array<double>"), q)).orderBy("coarse", key).limit(k * oversample)
-    return nearest(coarse.drop("int8", "coarse"), query, k, key, vector)
-
-
 def fused(lists: Sequence[DataFrame], key: str, constant: int = 60) -> DataFrame:
     """Reciprocal rank fusion of lists with key and rank: score is the sum of 1 / (constant + rank)."""
     every = lists[0].select(key, "rank")
@@ -186,6 +178,26 @@ def nearest_packed(packed: DataFrame, query: Sequence[float], k: int, oversample
     return nearest(packed.select(key, vector).join(F.broadcast(coarse.select(key)), key, "left_semi"), query, k, key, vector)
 
 
+def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query_id, key, distance and rank of each query's k nearest by distance, then key; see ivf.exact()."""
+    from chatlake.operators import ivf
+
+    return ivf.exact(vectors.select(key, vector), queries.select("query_id", vector), k, key, vector)
+
+
+def nearest_many_packed(packed: DataFrame, queries: DataFrame, k: int, oversample: int = 4, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query_id, key and rank of each query's k nearest of the k * oversample nearest by int8 vectors."""
+    scale = packed.select("scale").first()["scale"]
+    pack = lambda x: F.greatest(F.lit(-128), F.least(F.lit(127), F.bround(x.cast("double") * scale))).cast("double")
+    own = queries.select("query_id", F.transform(vector, pack).alias("int8"))
+    coarse = nearest_many(packed.select(key, F.col("int8").cast("array<double>").alias("int8")), own, k * oversample, key, "int8")
+    rows = coarse.select("query_id", key).join(packed.select(key, vector), key).join(queries.select("query_id", F.col(vector).alias("_q")), "query_id")
+    far = distance(F.col(vector).cast("array<double>"), F.col("_q").cast("array<double>"))
+    w = Window.partitionBy("query_id").orderBy("distance", key)
+    rows = rows.select("query_id", key, far.alias("distance")).withColumn("rank", F.row_number().over(w))
+    return rows.filter(F.col("rank") <= k)
+
+
 def cosine_of(distance_: Column) -> Column:
     """The cosine of unit vectors at a distance."""
     return 1 - distance_ * distance_ / 2

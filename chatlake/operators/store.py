@@ -1,83 +1,72 @@
-"""The stored archive: sources, snapshots, conversations, nodes, events' revisions, occurrences, policy and search tokens.
+"""The stored archive: sources, snapshots, conversations, nodes, events' revisions, occurrences, policy and the search index.
 
-A Lake is a folder of Parquet tables. An import writes its rows below a folder of its own in each table, and then one small
-file that names it: only named imports are read, so a failed one leaves nothing visible and readers see whole imports only.
+A Lake is a folder of Parquet tables and a commit log (see commits). Every change is one commit: readers see whole imports
+only, a failed one leaves nothing visible, and of two writers the second builds its change anew on what the first has left.
 Revisions are never rewritten; the same content again adds an occurrence and nothing else.
+
+Policy is an append-only log of rows by revision, and one of rows by source. compact() sums the former up; a reader takes the
+summary and the few rows after it, so no search groups the whole log. A withdrawn source stays withdrawn: what later imports
+bring of it is withdrawn from the start, and its messages are hidden whatever their own rows say.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chatlake.functions.text import has_credentials, index_tokens, normalize
-from chatlake.operators import ids, policy
+from chatlake.functions.text import has_credentials, normalize
+from chatlake.operators import ids, policy, postings
 from chatlake.operators.archive import current_policy, current_revision, selected_path, visible
+from chatlake.operators.commits import Log
 
 SCHEMAS = {
     "conversations": "snapshot_id string, conv_snapshot_id string, conversation string, title string, current_node string, path_known boolean, publish_seq long",
     "nodes": "conv_snapshot_id string, conversation string, node string, parent string, child_order long, event_id string, depth long",
-    "revisions": "revision_id string, event_id string, source_id string, conversation string, node string, speaker string, content_type string, text string, search_text string, created_at timestamp, updated_at timestamp, version timestamp, recorded_at timestamp, seq long",
+    "revisions": "revision_id string, event_id string, source_id string, conversation string, node string, speaker string, content_type string, text string, attachments string, search_text string, created_at timestamp, updated_at timestamp, version timestamp, recorded_at timestamp, seq long, doc long",
     "occurrences": "revision_id string, snapshot_id string, locator string, imported_at timestamp",
     "policy": policy.SCHEMA,
-    "tokens": "token string, revision_id string",
+    "sources": policy.SOURCES,
+    "postings": postings.SCHEMA,
 }
+#: Changes of policy after which the log is summed up by the next import.
+COMPACT = 16
+
+
+class Lake(Log):
+    def table(self, name: str, after: int = 0) -> DataFrame:
+        """All rows of a table, or those of changes after a number."""
+        paths = self.folders(name, after)
+        schema = policy.SCHEMA if name == "policy_state" else SCHEMAS[name]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def rows(self, name: str, columns: Sequence[str] | None = None) -> dict[str, Column]:
+        """The casts that give a table's columns from columns of the same names."""
+        fields = self.spark.createDataFrame([], SCHEMAS.get(name, policy.SCHEMA)).schema
+        return [F.col(f.name).cast(f.dataType) for f in fields if columns is None or f.name in columns]
 
-class Lake:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _fs(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/jobs")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
-
-    def jobs(self) -> list[dict]:
-        """Finished and failed imports, in the order of their numbers; a few lines each."""
-        fs, path = self._fs()
-        if not fs.exists(path(f"{self.root}/jobs")):
-            return []
-        rows = self.spark.read.text(f"{self.root}/jobs", wholetext=True).collect()
-        return sorted((json.loads(r.value) for r in rows), key=lambda j: j["seq"])
-
-    def finish(self, job: dict) -> dict:
-        """Names an import: written beside and renamed, so it is there as a whole or not at all."""
-        fs, path = self._fs()
-        name = f"{self.root}/jobs/{job['seq']:09d}.json"
-        out = fs.create(path(f"{self.root}/.jobs-{job['seq']}"), True)
-        out.write(bytearray(json.dumps(job).encode()))
-        out.close()
-        fs.mkdirs(path(f"{self.root}/jobs"))
-        if fs.exists(path(name)) or not fs.rename(path(f"{self.root}/.jobs-{job['seq']}"), path(name)):
-            raise RuntimeError(f"another import has taken number {job['seq']}")
-        fs.delete(path(f"{self.root}/.staging-{job['seq']}"), True)
-        return job
-
-    def table(self, name: str) -> DataFrame:
-        done = [f"{self.root}/{name}/job={j['seq']}" for j in self.jobs() if name in j.get("tables", ())]
-        schema = SCHEMAS[name]
-        return self.spark.read.schema(schema).parquet(*done) if done else self.spark.createDataFrame([], schema)
-
-    def write(self, job: dict, rows: dict[str, DataFrame]) -> dict:
-        for name, df in rows.items():
-            columns = self.spark.createDataFrame([], SCHEMAS[name]).schema
-            df.select(*[F.col(f.name).cast(f.dataType) for f in columns]).write.mode("overwrite").parquet(f"{self.root}/{name}/job={job['seq']}")
-        return self.finish(job | {"tables": sorted(rows)})
-
-    def staged(self, job: dict, rows: DataFrame) -> DataFrame:
-        """Rows of an import written once, so that its tables are all made of the same; finish() removes them."""
-        path = f"{self.root}/.staging-{job['seq']}"
-        rows.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path)
+    def docs(self) -> int:
+        """How many messages have been numbered."""
+        return sum(j.get("docs", 0) for j in self.jobs())
 
     # What queries read.
 
     def policy(self) -> DataFrame:
-        return current_policy(self.table("policy"))
+        """The current row of each revision: of the summary, where no later change has one."""
+        covered = max((j["covers"] for j in self.jobs() if "covers" in j), default=0)
+        later = self.parts("policy", covered)
+        tail = self.table("policy", covered)
+        tail = current_policy(tail) if len(later) > 1 else tail.drop("version")
+        if not covered:
+            return tail
+        state = self.table("policy_state").drop("version")
+        return state.join(tail.select("revision_id"), "revision_id", "left_anti").unionByName(tail) if later else state
+
+    def withdrawn_sources(self) -> DataFrame:
+        """source_id of the sources that are withdrawn now."""
+        return current_policy(self.table("sources"), key="source_id").filter("withdrawn").select("source_id")
 
     def latest_conversations(self) -> DataFrame:
         """The snapshot of each conversation that was published last."""
@@ -101,11 +90,17 @@ class Lake:
         state = current_revision(rows, key="event_id")
         return state.join(rows.select("event_id", F.col("seq").alias("current_seq"), F.col("revision_id").alias("current_revision_id")), ["event_id", "current_seq"], "left").select("event_id", "state", "current_revision_id")
 
-    def messages(self, namespace: str | None = None, **filters) -> DataFrame:
-        """The visible revisions as messages of the search operators; filters are those of visible()."""
+    def messages(self, namespace: str | None = None, source: str | None = None, conversation: str | None = None, **filters) -> DataFrame:
+        """The visible revisions as messages of the search operators; more filters are those of visible()."""
         rows = self.table("revisions")
         if namespace is not None:
             rows = rows.filter(F.element_at(F.split("event_id", ":"), 2) == namespace)
+        if source is not None:
+            rows = rows.filter(F.col("source_id") == source)
+        if conversation is not None:
+            rows = rows.filter(F.col("conversation") == conversation)
+        if self.parts("sources"):
+            rows = rows.join(self.withdrawn_sources(), "source_id", "left_anti")
         return visible(rows, self.policy(), **filters)
 
     def representative(self, events: DataFrame, **filters) -> DataFrame:
@@ -131,79 +126,154 @@ def validate_namespace(namespace: str) -> str:
     return namespace
 
 
-def tokens_of(revisions: DataFrame) -> DataFrame:
-    return revisions.filter("search_text is not null").select("revision_id", F.explode(index_tokens(F.col("search_text"))).alias("token"))
-
-
 def publish(lake: Lake, nodes: DataFrame, kind: str, namespace: str, archive_sha: str, now: datetime, withdrawn: DataFrame | None = None, errors: Sequence[str] = ()) -> dict:
     """Imports the nodes of an export (the columns of chat_export) as one snapshot.
 
     The same archive again makes a job of kind duplicate and changes nothing. Nodes with errors leave the import partial.
     Revisions whose content is known add an occurrence; new ones inherit the withdrawal of their event or source. If any
-    step fails, a failed job is all that is left.
+    step fails, a failed job is all that is left. nodes may have message_id (the export's own, null where it has none),
+    content_type and attachments (JSON) besides.
     """
     validate_namespace(namespace)
-    jobs = lake.jobs()
-    seq = len(jobs) + 1
     source, snapshot = ids.name_uuid("source", kind, namespace), ids.name_uuid("snapshot", kind, namespace, archive_sha)
-    job = {"seq": seq, "snapshot_id": snapshot, "source_id": source, "sha": archive_sha, "at": now.isoformat(), "errors": len(errors)}
-    if any(j["snapshot_id"] == snapshot and j["status"] in ("complete", "partial") for j in jobs):
-        return lake.finish(job | {"kind": "duplicate", "status": "complete"})
-    try:
-        return _publish(lake, nodes, kind, namespace, now, withdrawn, job | {"kind": "import", "status": "partial" if errors else "complete"})
-    except Exception as e:
-        lake.finish(job | {"kind": "import", "status": "failed", "error": str(e)[:500]})
-        raise
+    staged: list[str] = []
 
+    def build(base: Lake, job: dict) -> tuple[dict, dict[str, DataFrame]]:
+        if any(j.get("snapshot_id") == snapshot and j["status"] in ("complete", "partial") for j in base.jobs()):
+            return {"kind": "duplicate"}, {}
+        more, rows = _published(base, nodes, kind, namespace, now, withdrawn, job, staged)
+        return more | {"status": "partial" if errors else "complete"}, rows
 
-def _publish(lake: Lake, nodes: DataFrame, kind: str, namespace: str, now: datetime, withdrawn: DataFrame | None, job: dict) -> dict:
-    c, at = F.col, F.lit(now)
-    rows = nodes.withColumn("is_message", c("event_id").isNotNull())
+    try:
+        job = lake.change(build, "import", now, snapshot_id=snapshot, source_id=source, sha=archive_sha, errors=len(errors))
+    finally:
+        for name in staged:
+            lake.delete(name)
+    if job["kind"] == "import":
+        postings.merge(lake, now)
+        state = lake.snapshot()
+        if len(state.parts("policy", max((j["covers"] for j in state.jobs() if "covers" in j), default=0))) >= COMPACT:
+            compact(lake, now)
+    return job
+
+
+def messages_of(nodes: DataFrame, kind: str, namespace: str) -> DataFrame:
+    """The nodes with event_id and revision_id, null where they hold no message.
+
+    A message is named by its own id; without one by where it stands, who says it when, and what.
+    """
+    c, none = F.col, F.lit(None).cast("string")
+    have = lambda name, other: c(name) if name in nodes.columns else other
     position = ids.structural_position(c("parent"), c("child_order"))
-    native = F.element_at(F.split("event_id", ":", 3), 3)
     fallback = ids.fallback_message_id(kind, namespace, c("conversation"), position, c("speaker"), c("created_at"), ids.content_digest(c("text")))
-    message = F.coalesce(c("message_id") if "message_id" in nodes.columns else native, fallback)
-    rows = rows.withColumn("event_id", F.when(c("is_message"), ids.event_id(kind, namespace, message)))
-    none = F.lit(None).cast("string")
-    hash_ = ids.revision_hash(c("content_type") if "content_type" in nodes.columns else F.lit("text"), c("text"), c("speaker"), c("created_at"), c("updated_at"), c("attachments") if "attachments" in nodes.columns else none)
-    rows = rows.withColumn("revision_id", F.when(c("is_message"), ids.revision_id(c("event_id"), hash_)))
-    snapshot = F.lit(job["snapshot_id"])
-    rows = lake.staged(job, rows.withColumn("conv_snapshot_id", ids.conversation_snapshot(snapshot, c("conversation"))))
+    native = F.nullif(have("message_id", F.element_at(F.split("event_id", ":", 3), 3)), F.lit(""))
+    rows = nodes.withColumns({"content_type": have("content_type", F.lit("text")), "attachments": have("attachments", none)})
+    rows = rows.withColumn("event_id", F.when(c("event_id").isNotNull(), ids.event_id(kind, namespace, F.coalesce(native, fallback))))
+    hash_ = ids.revision_hash(c("content_type"), c("text"), c("speaker"), c("created_at"), c("updated_at"), c("attachments"))
+    return rows.withColumn("revision_id", F.when(c("event_id").isNotNull(), ids.revision_id(c("event_id"), hash_)))
+
+
+def numbered(lake: Lake, rows: DataFrame, first: int, staged: list[str]) -> tuple[DataFrame, int]:
+    """The rows with doc, numbers in a row from first on by time, and how many there are."""
+    at = ["created_at", "revision_id"]
+    sorted_ = rows.repartitionByRange(*at).sortWithinPartitions(*at)
+    sorted_ = sorted_.withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    held, name = lake.staged(sorted_)
+    staged.append(name)
+    sizes = sorted((r["_part"], r["count"]) for r in held.groupBy("_part").count().collect())
+    starts = [(p, first + sum(n for _, n in sizes[:i])) for i, (p, _) in enumerate(sizes)]
+    starts = lake.spark.createDataFrame(starts, "_part int, _start long")
+    out = held.join(F.broadcast(starts), "_part").withColumn("doc", F.col("_start") + F.col("_place"))
+    return out.drop("_part", "_place", "_start"), sum(n for _, n in sizes)
+
+
+def _published(lake: Lake, nodes: DataFrame, kind: str, namespace: str, now: datetime, withdrawn: DataFrame | None, job: dict, staged: list[str]) -> tuple[dict, dict[str, DataFrame]]:
+    c, at, snapshot = F.col, F.lit(now), F.lit(job["snapshot_id"])
+    rows = messages_of(nodes, kind, namespace).withColumn("conv_snapshot_id", ids.conversation_snapshot(snapshot, c("conversation")))
+    rows, name = lake.staged(rows)
+    staged.append(name)
     leaves = rows.filter(c("node") == c("current_node")).select("conversation", "node").distinct()
     depth = selected_path(rows.select("conversation", "node", "parent").distinct(), leaves)
     known = depth.select("conversation", F.lit(True).alias("known")).distinct()
-    conversations = rows.groupBy("conversation", "conv_snapshot_id").agg(F.first("title", True).alias("title"), F.first("current_node", True).alias("current_node")).join(known, "conversation", "left")
-    conversations = conversations.select(snapshot.alias("snapshot_id"), "conv_snapshot_id", "conversation", "title", "current_node", F.coalesce("known", F.lit(False)).alias("path_known"), F.lit(job["seq"]).alias("publish_seq"))
-    placed = rows.join(depth, ["conversation", "node"], "left").select("conv_snapshot_id", "conversation", "node", "parent", "child_order", "event_id", "depth")
-    each = rows.filter("is_message").withColumn("nth", F.row_number().over(Window.partitionBy("revision_id").orderBy("conversation", "node"))).filter("nth = 1")
-    held = lake.table("revisions").select("revision_id")
-    new = each.join(held, "revision_id", "left_anti").select(
-        "revision_id", "event_id", F.lit(job["source_id"]).alias("source_id"), "conversation", "node", "speaker", F.lit("text").alias("content_type"), "text", normalize("text").alias("search_text"),
-        "created_at", "updated_at", F.coalesce("updated_at", "created_at").alias("version"), at.alias("recorded_at"), (F.lit(job["seq"]) * F.lit(1 << 40) + F.pmod(F.xxhash64("revision_id"), F.lit(1 << 40))).alias("seq"),
-    )
-    occurrences = each.select("revision_id", snapshot.alias("snapshot_id"), F.concat(F.lit("#node="), ids.node_key(c("conversation"), c("node"))).alias("locator"), at.alias("imported_at"))
-    gone = withdrawn
-    log = lake.table("policy")
-    marks = current_policy(log).filter("not available").join(lake.table("revisions").select("revision_id", "event_id"), "revision_id")
-    marks = marks.filter("reason <> 'source'").select("event_id", F.lit(None).cast("string").alias("source_id")).distinct()
-    gone = marks if gone is None else marks.unionByName(gone.select("event_id", "source_id"))
+    one = [F.first(n, True).alias(n) for n in ("title", "current_node")]
+    conversations = rows.groupBy("conversation", "conv_snapshot_id").agg(*one).join(known, "conversation", "left")
+    path_known = F.coalesce("known", F.lit(False)).alias("path_known")
+    conversations = conversations.select(snapshot.alias("snapshot_id"), "conv_snapshot_id", "conversation", "title", "current_node", path_known, F.lit(job["seq"]).alias("publish_seq"))
+    placed = rows.join(depth, ["conversation", "node"], "left")
+    messages = rows.filter("event_id is not null")
+    each = messages.withColumn("nth", F.row_number().over(Window.partitionBy("revision_id").orderBy("conversation", "node"))).filter("nth = 1")
+    new = each.join(lake.table("revisions").select("revision_id"), "revision_id", "left_anti")
+    new = new.withColumns({
+        "source_id": F.lit(job["source_id"]), "search_text": normalize("text"), "version": F.coalesce("updated_at", "created_at"), "recorded_at": at,
+    })
+    new, n = numbered(lake, new.select(*lake.rows("revisions", [x for x in new.columns if x not in ("seq", "doc")])), lake.docs(), staged)
+    new = new.withColumn("seq", F.lit(job["seq"]) * F.lit(1 << 40) + F.pmod(F.xxhash64("revision_id"), F.lit(1 << 40)))
+    locator = F.concat(F.lit("#node="), ids.node_key(c("conversation"), c("node"))).alias("locator")
+    occurrences = each.select("revision_id", snapshot.alias("snapshot_id"), locator, at.alias("imported_at"))
+    gone = lake.policy().filter("not available").select("revision_id").join(lake.table("revisions").select("revision_id", "event_id"), "revision_id")
+    gone = gone.select("event_id", F.lit(None).cast("string").alias("source_id")).distinct()
+    gone = gone.unionByName(lake.withdrawn_sources().select(F.lit(None).cast("string").alias("event_id"), "source_id"))
+    if withdrawn is not None:
+        gone = gone.unionByName(withdrawn.select("event_id", "source_id"))
     first = policy.initial(new, job["seq"], at, gone)
-    return lake.write(job, {"conversations": conversations, "nodes": placed, "revisions": new, "occurrences": occurrences, "policy": first, "tokens": tokens_of(new)})
+    tables = {"conversations": conversations, "nodes": placed, "revisions": new, "occurrences": occurrences, "policy": first}
+    tables = {t: df.select(*lake.rows(t)) for t, df in tables.items()}
+    buckets = postings.buckets_for(n)
+    return {"docs": n, "indexed": n, "index_buckets": buckets}, tables | {"postings": postings.postings(new, buckets)}
+
+
+# Changes of policy.
 
 
 def change_policy(lake: Lake, rows: DataFrame, now: datetime, what: str) -> dict:
-    """Appends policy rows as a job of their own."""
-    return lake.write({"seq": len(lake.jobs()) + 1, "snapshot_id": None, "kind": what, "status": "complete", "at": now.isoformat()}, {"policy": rows})
+    """Appends policy rows that the caller has made as a job of their own."""
+    return lake.change(lambda base, _: ({}, {"policy": rows.select(*base.rows("policy"))}), what, now)
 
 
-def candidates(tokens: DataFrame, terms: Sequence[Sequence[str]]) -> DataFrame | None:
-    """revision ids that hold all tokens of every term that has any (null: no term can be looked up)."""
-    out = None
-    for term in terms:
-        if term:
-            own = tokens.filter(F.col("token").isin(*term)).groupBy("revision_id").agg(F.countDistinct("token").alias("n")).filter(F.col("n") == len(set(term))).select("revision_id")
-            out = own if out is None else out.join(own, "revision_id", "left_semi")
-    return out
+def withdraw_source(lake: Lake, source: str, now: datetime) -> dict | None:
+    """Withdraws a source for good: its revisions, and what later imports bring of it. None if it is withdrawn already."""
+
+    def build(base: Lake, job: dict) -> tuple[dict, dict[str, DataFrame]] | None:
+        own = base.table("revisions").filter(F.col("source_id") == source)
+        if not any(j.get("source_id") == source for j in base.jobs()) and own.isEmpty():
+            raise LookupError("no such source")
+        if not base.withdrawn_sources().filter(F.col("source_id") == source).isEmpty():
+            return None
+        rows = policy.withdraw(base.policy(), own, job["seq"], now, "source", source=source)
+        mark = base.spark.createDataFrame([(source, job["seq"], True, now, "withdrawn")], policy.SOURCES)
+        return {}, {"policy": rows.select(*base.rows("policy")), "sources": mark}
+
+    return lake.change(build, "withdraw", now)
+
+
+def withdraw_events(lake: Lake, events: DataFrame, now: datetime) -> dict:
+    """Withdraws the available revisions of a table of event_id and reason."""
+    build = lambda base, job: ({}, {"policy": policy.withdraw(base.policy(), base.table("revisions"), job["seq"], now, events=events).select(*base.rows("policy"))})
+    return lake.change(build, "withdraw", now)
+
+
+def label(lake: Lake, now: datetime, scopes: Sequence[str], sensitivity: Sequence[str], event: str | None = None, source: str | None = None) -> dict:
+    """Replaces the labels of an event's or a source's available revisions."""
+
+    def build(base: Lake, job: dict) -> tuple[dict, dict[str, DataFrame]]:
+        rows = policy.relabel(base.policy(), base.table("revisions"), job["seq"], now, scopes, sensitivity, event, source)
+        return {}, {"policy": rows.select(*base.rows("policy"))}
+
+    return lake.change(build, "label", now)
+
+
+def compact(lake: Lake, now: datetime) -> dict | None:
+    """Sums the policy log up to here: one row a revision, which readers take in place of the log."""
+
+    def build(base: Lake, job: dict) -> tuple[dict, dict[str, DataFrame]]:
+        old = [j["attempt"] for j, _ in base.parts("policy_state")]
+        rows = base.policy().withColumn("version", F.lit(base.head()).cast("long")).select(*base.rows("policy"))
+        return {"covers": base.head(), "drops": {"policy_state": old}}, {"policy_state": rows.sort("revision_id")}
+
+    return lake.change(build, "compact", now)
+
+
+# What is there, and whether it is sound.
 
 
 def counts(lake: Lake) -> DataFrame:
@@ -215,48 +285,89 @@ def counts(lake: Lake) -> DataFrame:
     return out
 
 
+def indexed(lake: Lake) -> DataFrame:
+    """doc of all messages that the index holds."""
+    rows = lake.table("postings").select("block", F.explode("docs").alias("place"))
+    return rows.select((F.shiftleft("block", postings.BLOCK_BITS) + F.col("place")).alias("doc")).distinct()
+
+
 def status(lake: Lake) -> dict:
     """Imports by status, rows by table, and the visible revisions that lack search tokens."""
-    jobs = lake.jobs()
-    missing = lake.messages().filter("length(search_text) > 0").join(lake.table("tokens").select("revision_id").distinct(), "revision_id", "left_anti").count()
+    lake = lake.snapshot()
+    jobs = [j for j in lake.jobs() if j["kind"] not in ("merge", "compact")]
+    missing = lake.messages().filter("length(search_text) > 0").join(indexed(lake), "doc", "left_anti").count()
     by = {s: sum(j["status"] == s for j in jobs) for s in ("complete", "partial", "failed")}
     return {"jobs": by, "tables": {r["table"]: r["rows"] for r in counts(lake).collect()}, "path_unknown": lake.path_unknown(), "unindexed": missing}
 
 
 def restore_check(lake: Lake) -> dict[str, int]:
     """Rows whose references lead nowhere, by table; all 0 in a sound copy."""
+    lake = lake.snapshot()
     r, one = lake.table("revisions"), lambda df: df.count()
     return {
         "occurrences": one(lake.table("occurrences").join(r, "revision_id", "left_anti")),
         "policy": one(lake.table("policy").join(r, "revision_id", "left_anti")),
-        "tokens": one(lake.table("tokens").join(r, "revision_id", "left_anti")),
+        "postings": one(indexed(lake).join(r, "doc", "left_anti")),
         "nodes": one(lake.table("nodes").filter("event_id is not null").join(r, "event_id", "left_anti")),
         "revisions_without_policy": one(r.join(lake.table("policy"), "revision_id", "left_anti")),
     }
 
 
-def backup(lake: Lake, folder: str, now: datetime) -> dict:
-    """Copies the named imports' tables and writes a manifest of their row counts and checksums last."""
-    manifest = {"at": now.isoformat(), "tables": {}}
-    target = f"{folder.rstrip('/')}/{now:%Y%m%dT%H%M%S}"
-    for name in SCHEMAS:
-        df = lake.table(name)
-        df.write.parquet(f"{target}/{name}")
-        manifest["tables"][name] = checksum(df)
-    lake.spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{target}/manifest")
-    return manifest | {"path": target}
+# Backups.
+
+_SUMS = "name string, file string, rows long, hash decimal(38,0)"
 
 
-def checksum(df: DataFrame) -> dict[str, int]:
-    """Count and an order-free sum over all rows' hashes."""
-    r = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
-    return {"rows": r["n"], "hash": int(r["s"])}
+def file_sums(lake: Lake) -> DataFrame:
+    """name, file, rows and an order-free sum of the rows' hashes of each file of each table."""
+    out = None
+    for name in (*SCHEMAS, "policy_state"):
+        if lake.parts(name):
+            df = lake.table(name)
+            file = F.regexp_replace(F.input_file_name(), r"^.*/data/", "")
+            one = df.select(file.alias("file"), F.xxhash64(*df.columns).cast("decimal(38,0)").alias("h"))
+            one = one.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.sum("h").cast("decimal(38,0)").alias("hash"))
+            one = one.select(F.lit(name).alias("name"), "file", "rows", "hash")
+            out = one if out is None else out.unionByName(one)
+    return out if out is not None else lake.spark.createDataFrame([], _SUMS)
+
+
+def backup(lake: Lake, folder: str, now: datetime) -> dict:
+    """An archive by itself at folder/TIME with all that this one holds, then a manifest of its files' checksums.
+
+    The changes keep their numbers and figures; the rows are written anew, by one last change, and each folder once.
+    """
+    state = lake.snapshot()
+    target = Lake(lake.spark, f"{folder.rstrip('/')}/{now:%Y%m%dT%H%M%S}")
+    if target.listed(""):
+        raise FileExistsError(target.root)
+    for job in state.jobs():
+        target.commit({k: v for k, v in job.items() if k not in ("tables", "drops", "covers", "docs", "indexed")})
+
+    def build(base: Lake, job: dict) -> tuple[dict, dict[str, DataFrame]]:
+        tables = {name: state.table(name) for name in SCHEMAS if state.parts(name) and name != "postings"}
+        n = state.docs()
+        more = {"docs": n, "indexed": n, "index_buckets": postings.buckets_for(n)}
+        if state.parts("postings"):
+            tables["postings"] = postings.merged(state.table("postings"), postings.buckets_for(n))
+        return more, tables
+
+    target.change(build, "backup", now)
+    file_sums(target).select("name", "file", "rows", "hash").write.parquet(f"{target.root}/manifest")
+    return {"path": target.root, "at": now.isoformat(), "head": state.head()}
+
+
+def backup_faults(spark: SparkSession, path: str) -> DataFrame:
+    """name and file of a backup's files that aren't as its manifest says: missing, added, or of other rows."""
+    told, found = spark.read.schema(_SUMS).parquet(f"{path}/manifest"), file_sums(Lake(spark, path))
+    same = ["name", "file", "rows", "hash"]
+    odd = told.select(same).exceptAll(found.select(same)).unionByName(found.select(same).exceptAll(told.select(same)))
+    return odd.select("name", "file").distinct()
 
 
 def backup_check(spark: SparkSession, path: str) -> bool:
     """Whether a backup holds what its manifest says."""
-    manifest = json.loads(spark.read.text(f"{path}/manifest").first().value)
-    return all(checksum(spark.read.parquet(f"{path}/{name}")) == told for name, told in manifest["tables"].items())
+    return backup_faults(spark, path).isEmpty()
 
 
 def prune_backups(spark: SparkSession, folder: str, keep: int, protect: Sequence[str] = ()) -> list[str]:

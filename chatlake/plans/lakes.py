@@ -1,0 +1,212 @@
+"""Queries over stored archives that are made of the given tables: imports, withdrawals, pages, the index, backups."""
+
+from __future__ import annotations
+
+from datetime import datetime, timedelta
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from chatlake.operators import ivf, postings, retrieval, store
+from chatlake.plans import queries as Q
+from chatlake.plans.stored import folder
+
+NOW = datetime(2024, 6, 1)
+
+
+def nodes(spark: SparkSession, d: str) -> DataFrame:
+    """conversations as the nodes of an export."""
+    m = Q.messages(spark, d)
+    last = Window.partitionBy("conversation")
+    node = lambda c: c.cast("long").cast("string")
+    return m.select(
+        F.col("conversation").cast("string").alias("conversation"),
+        F.lit("t").alias("title"),
+        node(F.max("position").over(last)).alias("current_node"),
+        node(F.col("position")).alias("node"),
+        F.when(F.col("position") > 0, node(F.col("position") - 1)).alias("parent"),
+        F.lit(0).cast("long").alias("child_order"),
+        "event_id",
+        "speaker",
+        "created_at",
+        F.lit(None).cast("timestamp").alias("updated_at"),
+        "text",
+    )
+
+
+def of_remainder(rows: DataFrame, *remainders: int) -> DataFrame:
+    return rows.filter((F.col("conversation").cast("long") % 4).isin(*remainders))
+
+
+def edited(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"text": F.concat("text", F.lit(" (edited)")), "updated_at": F.lit(NOW)})
+
+
+def _lake(spark: SparkSession) -> store.Lake:
+    return store.Lake(spark, folder(spark))
+
+
+def imported_twice(spark: SparkSession, d: str) -> store.Lake:
+    """All conversations, the same again, and then all with every even one edited."""
+    lake, rows = _lake(spark), nodes(spark, d)
+    store.publish(lake, rows, "chatgpt", "driver", "first", NOW)
+    store.publish(lake, rows, "chatgpt", "driver", "first", NOW)
+    even = F.col("conversation").cast("long") % 2 == 0
+    changed = edited(rows.filter(even)).unionByName(rows.filter(~even))
+    store.publish(lake, changed, "chatgpt", "driver", "second", NOW + timedelta(days=1))
+    return lake
+
+
+def lake_import(spark: SparkSession, d: str) -> DataFrame:
+    """Each message's current text, its revisions and occurrences, its place on the path, and its policy."""
+    lake = imported_twice(spark, d).snapshot()
+    r = lake.table("revisions")
+    text = r.select(F.col("revision_id").alias("current_revision_id"), "text", "source_id", "conversation", "node")
+    now = lake.current().join(text, "current_revision_id")
+    count = r.groupBy("event_id").agg(F.count(F.lit(1)).alias("revisions"))
+    seen = lake.table("occurrences").join(r.select("revision_id", "event_id"), "revision_id").groupBy("event_id").agg(F.count(F.lit(1)).alias("occurrences"))
+    state = lake.policy().join(r.select("revision_id", "event_id"), "revision_id")
+    state = state.groupBy("event_id").agg(F.count_if("available").alias("available"), F.max("classification").alias("classification"))
+    paths = lake.paths().select("event_id", "position")
+    out = now.join(count, "event_id").join(seen, "event_id").join(state, "event_id").join(paths, "event_id", "left")
+    same = F.col("node").cast("long") == F.col("position")
+    return out.select("event_id", F.md5("text").alias("text"), "state", "revisions", "occurrences", "available", "classification", "position", same.alias("at_node"))
+
+
+def lake_index(spark: SparkSession, d: str) -> DataFrame:
+    """How many messages hold each word, from the merged segments of four imports that hold a part of the conversations each."""
+    lake, rows = _lake(spark), nodes(spark, d)
+    for i in range(4):
+        store.publish(lake, of_remainder(rows, i), "chatgpt", "driver", f"part {i}", NOW)
+    state = lake.snapshot()
+    if len(state.parts("postings")) != 1:
+        raise ValueError("the segments aren't merged")
+    return state.table("postings").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def lake_search_by_index(spark: SparkSession, d: str) -> DataFrame:
+    """Messages with both words by the index of an archive, intersected block by block, and joined with their texts."""
+    lake = imported_twice(spark, d).snapshot()
+    found = postings.candidates(lake, ["the", "edited"])
+    return lake.messages().join(found, "doc", "left_semi").groupBy("event_id").agg(F.count(F.lit(1)).alias("revisions"))
+
+
+def policy_source_reimport(spark: SparkSession, d: str) -> DataFrame:
+    """What is visible after a source was withdrawn and imported again with more, beside another source."""
+    lake, rows = _lake(spark), nodes(spark, d)
+    job = store.publish(lake, of_remainder(rows, 0, 1), "chatgpt", "gone", "first", NOW)
+    store.publish(lake, of_remainder(rows, 0), "chatgpt", "stays", "first", NOW)
+    store.withdraw_source(lake, job["source_id"], NOW)
+    store.withdraw_source(lake, job["source_id"], NOW)
+    store.publish(lake, of_remainder(rows, 1, 2), "chatgpt", "gone", "second", NOW)
+    store.publish(lake, of_remainder(edited(rows), 0), "chatgpt", "stays", "second", NOW)
+    return lake.messages().select("event_id", F.md5("text").alias("text"))
+
+
+def policy_event_reimport(spark: SparkSession, d: str) -> DataFrame:
+    """What is visible after events were withdrawn, the log summed up, labels put on what is left, and all imported edited."""
+    lake, rows = _lake(spark), nodes(spark, d)
+    job = store.publish(lake, rows, "chatgpt", "driver", "first", NOW)
+    gone = rows.filter("node = '1'").select("event_id", F.lit("asked for").alias("reason"))
+    store.withdraw_events(lake, gone, NOW)
+    store.compact(lake, NOW)
+    store.label(lake, NOW, ["public"], [], source=job["source_id"])
+    store.publish(lake, of_remainder(edited(rows), 3), "chatgpt", "driver", "second", NOW)
+    state = lake.policy().select("revision_id", "classification")
+    return lake.messages().join(state, "revision_id").select("event_id", F.md5("text").alias("text"), "classification")
+
+
+def hybrid_pages(spark: SparkSession, d: str) -> DataFrame:
+    """All hits of a search, page by page, with vectors and times that many hits share: their places in the order."""
+    lake, rows = _lake(spark), nodes(spark, d)
+    rows = rows.withColumn("created_at", F.when(F.col("conversation").cast("long") % 3 > 0, F.date_trunc("day", "created_at")))
+    store.publish(lake, rows, "chatgpt", "driver", "first", NOW)
+    vectors = lake.messages().select("revision_id", F.lit(0).alias("chunk"), F.lit(0).alias("start"), F.lit(1).alias("end"), F.array(F.lit(0.6), F.lit(0.8)).alias("embedding"))
+    every, cursor = [], None
+    while cursor is not None or not every:
+        page = retrieval.search_history(lake, "the th", order="reverse", limit=7, cursor=cursor, vectors=vectors, provider=_Same())
+        every += [(len(every) + i, r["event_id"], r["kind"]) for i, r in enumerate(page["results"])]
+        cursor = page["next_cursor"]
+        if cursor is None:
+            break
+    found = spark.createDataFrame(every, "place long, event_id string, kind string").filter("kind <> 'semantic'")
+    day = F.date_format("created_at", "yyyy-MM-dd").alias("day")
+    with_day = found.join(lake.messages().select("event_id", day), "event_id")
+    nth = F.dense_rank().over(Window.orderBy(F.col("day").desc_nulls_last()))
+    return with_day.select("event_id", "day", (nth == F.dense_rank().over(Window.orderBy(F.min("place").over(Window.partitionBy("day"))))).alias("in_order"))
+
+
+class _Same:
+    """A provider whose vectors are all the same, so every message is as near as any other."""
+
+    model_id, dimension = "same", 2
+
+    def embed(self, texts):
+        return [[0.6, 0.8] for _ in texts]
+
+
+def lake_restored(spark: SparkSession, d: str) -> DataFrame:
+    """A search in the backup of an archive with withdrawn events, after one more import into it."""
+    lake, rows = _lake(spark), nodes(spark, d)
+    store.publish(lake, of_remainder(rows, 0, 1, 2), "chatgpt", "driver", "first", NOW)
+    store.withdraw_events(lake, rows.filter("node = '0'").select("event_id", F.lit("asked for").alias("reason")), NOW)
+    path = store.backup(lake, folder(spark), NOW)["path"]
+    if not store.backup_check(spark, path):
+        raise ValueError("the backup isn't what its manifest says")
+    copy = store.Lake(spark, path)
+    store.publish(copy, of_remainder(rows, 3), "chatgpt", "driver", "second", NOW)
+    found = copy.messages().join(postings.candidates(copy.snapshot(), ["the"]), "doc", "left_semi")
+    return found.select("event_id", F.col("text").contains("the").alias("holds"))
+
+
+def ivf_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest of each hundredth vector by the inverted lists, with as many probes as there are lists."""
+    index, vectors = _index(spark, d)
+    found = ivf.search(index, _asked(vectors, 100), 10, len(index.centroids))
+    return found.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
+
+
+def ivf_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the lists, with probes chosen by other queries, give nine tenths of the ten nearest of each fifth vector."""
+    index, vectors = _index(spark, d)
+    asked = _asked(vectors, 5)
+    found = ivf.search(index, asked, 10, ivf.probes_for(index, 0.95, 10))
+    return ivf.recall(found, ivf.exact(vectors, asked, 10)).select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
+def _asked(vectors: DataFrame, nth: int) -> DataFrame:
+    return vectors.filter(F.col("vec_id") % nth == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def _index(spark: SparkSession, d: str) -> tuple[ivf.Index, DataFrame]:
+    vectors = Q.table(spark, d, "embeddings").select("vec_id", "embedding")
+    centers = ivf.centroids(vectors, 20)
+    path = folder(spark)
+    ivf.blocks(ivf.dealt(vectors, centers), "vec_id").sortWithinPartitions("list").write.parquet(path)
+    return ivf.Index(spark.read.parquet(path), centers, "vec_id", "embedding"), vectors
+
+
+NAMES = """lake_import lake_index lake_search_by_index policy_source_reimport policy_event_reimport hybrid_pages lake_restored ivf_exact
+ivf_recall""".split()
+QUERIES = {name: globals()[name] for name in NAMES}
+_M = f"WITH {Q.MESSAGES}"
+_EVENT = "'chatgpt:{0}:driver:' || conversation || '-' || position"
+_WORDS = "list_distinct(regexp_extract_all(s, '[\\p{L}\\p{N}]+'))"
+_FAR = "list_sum([(v.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE) ** 2 FOR i IN range(1, 65)])"
+SQL = {
+    "lake_import": f"""{_M} SELECT event_id, md5(CASE WHEN conversation % 2 = 0 THEN text || ' (edited)' ELSE text END) AS text, 'resolved' AS state,
+ CASE WHEN conversation % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS revisions, 2::BIGINT AS occurrences, CASE WHEN conversation % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS available,
+ 'unclassified' AS classification, position, true AS at_node FROM m""",
+    "lake_index": f"{_M} SELECT token, count(*) AS n FROM (SELECT unnest({_WORDS}) AS token FROM m) GROUP BY token",
+    "lake_search_by_index": f"{_M} SELECT event_id, 1::BIGINT AS revisions FROM m WHERE conversation % 2 = 0 AND list_contains({_WORDS}, 'the')",
+    "policy_source_reimport": f"""{_M} SELECT 'chatgpt:stays:' || conversation || '-' || position AS event_id, md5(text) AS text FROM m WHERE conversation % 4 = 0
+ UNION ALL SELECT 'chatgpt:stays:' || conversation || '-' || position, md5(text || ' (edited)') FROM m WHERE conversation % 4 = 0""",
+    "policy_event_reimport": f"""{_M} SELECT event_id, md5(text) AS text, 'classified' AS classification FROM m WHERE position <> 1
+ UNION ALL SELECT event_id, md5(text || ' (edited)'), 'unclassified' FROM m WHERE position <> 1 AND conversation % 4 = 3""",
+    "hybrid_pages": f"""{_M} SELECT event_id, CASE WHEN conversation % 3 > 0 THEN strftime(created_at, '%Y-%m-%d') END AS day, true AS in_order
+ FROM m WHERE contains(s, 'the th')""",
+    "lake_restored": f"{_M} SELECT event_id, true AS holds FROM m WHERE (position <> 0 OR conversation % 4 = 3) AND list_contains({_WORDS}, 'the')",
+    "ivf_exact": f"""WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, {_FAR} AS far FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0)
+ SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY sqrt(far), vec_id) AS rank FROM p QUALIFY rank <= 10""",
+    "ivf_recall": "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 5 = 0",
+}

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from chatlake.functions import text as X
 from chatlake.operators import archive as A
 from chatlake.operators import evaluation as E
-from chatlake.operators import facts, policy, retrieval, store
+from chatlake.operators import facts, policy, postings, retrieval, selection
 from chatlake.operators import semantic as V
 from chatlake.plans import queries as Q
-from chatlake.plans.stored import folder, stored
+from chatlake.plans.stored import folder
+from chatlake.streaming import limiter
 
 NOW = datetime(2024, 6, 1)
 
@@ -51,8 +52,8 @@ def segment_budget(spark, d):
 
 
 def latency_percentiles(spark, d):
-    p = lambda share: E.percentile(Q.events(spark, d), "value", share, ["event_type"]).withColumn("share", F.lit(share))
-    return p(0.5).unionByName(p(0.95)).unionByName(p(0.99)).select("event_type", F.round(F.col("share") * 100).cast("long").alias("percent"), "value")
+    found = selection.percentiles(Q.events(spark, d), "value", [0.5, 0.95, 0.99], ["event_type"])
+    return found.select("event_type", F.round(F.col("share") * 100).cast("long").alias("percent"), "value")
 
 
 def _log(spark, d):
@@ -83,18 +84,21 @@ def policy_relabelled(spark, d):
 
 def search_page2_cursor(spark, d):
     """The second page of ten, from the key of the first one's last row."""
-    found = A.search(Q.messages(spark, d), "en")
-    last = A.page(found, "relevance", 10).orderBy("score", F.col("created_at").desc(), F.col("event_id").desc()).first()
-    key = retrieval.decode(retrieval.encode([last["score"], last["created_at"], last["event_id"]]), 3)
-    return Q.hits(A.page(found.filter(retrieval.behind("relevance", key)), "relevance", 10))
+    found = A.search(Q.messages(spark, d), "en").withColumn("revision_id", F.col("event_id"))
+    keys = retrieval.keys_of("relevance")
+    order = retrieval.sorted_by(keys)
+    last = found.withColumn("_key", retrieval.key_values(keys)).orderBy(*order).limit(10).select("_key").collect()[-1]["_key"]
+    cursor = retrieval.decode(retrieval.encode(list(last)), len(keys))
+    return Q.hits(found.filter(retrieval.behind(keys, cursor)).orderBy(*order).limit(10))
 
 
 def search_by_candidates(spark, d):
-    """all_terms search over only those messages whose tokens hold both words."""
-    m = Q.messages(spark, d)
-    tokens = stored(spark, d, "tokens", lambda: m.select("event_id", F.explode(X.index_tokens(F.col("search_text"))).alias("token"))).withColumnRenamed("event_id", "revision_id")
-    some = store.candidates(tokens, [["the"], ["and"]]).withColumnRenamed("revision_id", "event_id")
-    return Q.hits(A.search(m.join(some, "event_id", "left_semi"), "the and", "all_terms"))
+    """all_terms search over only those messages that the index finds to hold both words."""
+    m, words = Q.messages(spark, d), ["the", "and"]
+    rows = Q.token_index(spark, d).filter(F.col("token").isin(*words))
+    rarest = min([r["n"] for r in rows.groupBy("token").agg(F.sum("n").alias("n")).collect()], default=0)
+    found = Q.by_numbers(m, postings.holding_all(rows, words, several=False), rarest)
+    return Q.hits(A.search(found, "the and", "all_terms"))
 
 
 def hybrid_kinds(spark, d):
@@ -112,9 +116,23 @@ def timeline_event_dedup(spark, d):
     return retrieval.one_per_event(rows, current).select("event_id", "revision_id")
 
 
+def _requests(rows):
+    return rows.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("id"))
+
+
 def rate_limited_events(spark, d):
-    rows = Q.events(spark, d).select(F.col("user_id").alias("key"), F.col("ts").alias("at"), "event_id")
-    return E.rate_limited(rows, 2, 12 * 3600).groupBy("key").agg(F.count_if("allowed").alias("allowed"), F.count(F.lit(1)).alias("asked"))
+    rows = limiter.limited(_requests(Q.events(spark, d)), 2, 12 * 3600, tie="id")
+    return rows.groupBy("key").agg(F.count_if("allowed").alias("allowed"), F.count(F.lit(1)).alias("asked"))
+
+
+def rate_limited_stream(spark, d):
+    """The same limiter over events as a stream: which requests it refuses."""
+    source = Q.table(spark, d, "events")
+    stream = spark.readStream.schema(source.schema).parquet(f"{d}/events.parque[t]")  # one file or a folder of them
+    out, judged = folder(spark), limiter.limited_stream(_requests(stream), 2, 12 * 3600)
+    run = judged.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state")
+    run.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(judged.schema).parquet(f"{out}/rows").filter("not allowed").select("id")
 
 
 def crawl_changed(spark, d):
@@ -124,25 +142,14 @@ def crawl_changed(spark, d):
 
 
 def overlap_int8(spark, d):
-    """How many of the ten exact nearest the packed vectors find, for twenty queries by vectors of the table."""
+    """How many of the ten exact nearest the packed vectors find among 20, for each query by every hundredth vector."""
     vectors = Q.table(spark, d, "embeddings").select("vec_id", "embedding")
-    packed = stored(spark, d, "packed", lambda: V.packed_vectors(vectors))
-    found = None
-    for r in vectors.filter("vec_id < 5").orderBy("vec_id").collect():
-        q = [float(x) for x in r["embedding"]]
-        one = V.overlap_at(*[df.withColumn("query_id", F.lit(r["vec_id"])) for df in (V.nearest(vectors, q, 10), V.nearest_packed(packed, q, 10))])
-        found = one if found is None else found.unionByName(one)
-    return found.select("query_id", (F.col("overlap") >= 0.9).alias("good"))
-
-
-def lake_import(spark, d):
-    """Rows of the stored archive's tables after the conversations, the same again, and an edited half were imported."""
-    lake, nodes = store.Lake(spark, folder(spark)), _nodes(spark, d)
-    store.publish(lake, nodes, "chatgpt", "driver", "first", NOW)
-    store.publish(lake, nodes, "chatgpt", "driver", "first", NOW)
-    edited = nodes.withColumn("text", F.when(F.col("conversation").cast("long") % 2 == 0, F.concat("text", F.lit(" (edited)"))).otherwise(F.col("text"))).withColumn("updated_at", F.lit(NOW))
-    store.publish(lake, edited.withColumn("updated_at", F.when(F.col("conversation").cast("long") % 2 == 0, F.col("updated_at"))), "chatgpt", "driver", "second", NOW)
-    return store.counts(lake).filter("table <> 'tokens'").unionByName(lake.current().filter("state = 'resolved'").agg(F.lit("resolved").alias("table"), F.count(F.lit(1)).alias("rows"))).unionByName(lake.paths().agg(F.lit("paths").alias("table"), F.count(F.lit(1)).alias("rows")))
+    asked = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    packed = V.packed_vectors(vectors)
+    exact = V.nearest_many(vectors, asked, 10)
+    coarse = V.nearest_many_packed(packed, asked, 10, 2)
+    found = V.overlap_at(exact, coarse)
+    return found.select("query_id", F.round(F.col("overlap") * 10).cast("long").alias("found"))
 
 
 def _nodes(spark, d):
@@ -154,9 +161,14 @@ def _nodes(spark, d):
 
 NAMES = """timeline_timezone_day best_chunk_per_doc html_title_vault credential_mask_length hash_embedding segment_budget latency_percentiles
 policy_withdrawn_event policy_relabelled search_page2_cursor search_by_candidates hybrid_kinds timeline_event_dedup rate_limited_events
-crawl_changed overlap_int8 lake_import""".split()
+rate_limited_stream crawl_changed overlap_int8""".split()
 QUERIES = {name: globals()[name] for name in NAMES}
 _S = f"WITH {Q.MESSAGES}"
+#: One request of each key after the other; times of those allowed go once they are more than twelve hours past.
+_LIMITED = """WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+ s AS (SELECT DISTINCT key, 0 AS id, 0::BIGINT AS i, true AS ok, []::BIGINT[] AS times FROM e UNION ALL
+ SELECT key, id, i, len(kept) < 2, CASE WHEN len(kept) < 2 THEN list_append(kept, us) ELSE kept END
+ FROM (SELECT e.key, e.id, e.i, e.us, list_filter(s.times, lambda t: e.us - t <= 43200000000) AS kept FROM s JOIN e ON e.key = s.key AND e.i = s.i + 1))"""
 SQL = {
     "timeline_timezone_day": "SELECT strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1",
     "best_chunk_per_doc": """WITH c AS (SELECT doc_id, i * 500 AS start, least(len(text), i * 500 + 600) AS "end", substr(text, i * 500 + 1, 600) AS t FROM (SELECT doc_id, text, unnest(range(0, CAST(greatest(ceil((len(text) - 600) / 500.0), 0) AS BIGINT) + 1)) AS i FROM documents WHERE len(text) > 0)),
@@ -170,9 +182,13 @@ SQL = {
     "search_by_candidates": f"{_S} SELECT event_id, CAST(instr(s, 'the') - 1 AS BIGINT) AS span_start, CAST({Q.count_sql('the')} + {Q.count_sql('and')} AS BIGINT) AS score FROM m WHERE list_contains(regexp_extract_all(s, '[\\p{{L}}\\p{{N}}]+'), 'the') AND list_contains(regexp_extract_all(s, '[\\p{{L}}\\p{{N}}]+'), 'and')",
     "hybrid_kinds": f"WITH a AS (SELECT vec_id AS id, rank FROM ({Q._NEAR}) WHERE rank <= 30), b AS (SELECT doc_id AS id, rank FROM (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 30), j AS (SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'exact' WHEN b.id IS NULL THEN 'semantic' ELSE 'both' END AS kind, coalesce(1.0::DOUBLE / (60 + b.rank), 0) + coalesce(1.0::DOUBLE / (60 + a.rank), 0) AS f FROM a FULL JOIN b ON a.id = b.id) SELECT id, kind, row_number() OVER (ORDER BY round(f, 9) DESC, id) AS place FROM j",
     "timeline_event_dedup": "WITH r AS (SELECT user_id * 10 + event_id % 10 AS event_id, event_id AS revision_id, ts FROM events), c AS (SELECT event_id, max(revision_id) AS revision_id FROM r WHERE revision_id % 3 = 0 GROUP BY event_id), n AS (SELECT r.event_id, r.revision_id, row_number() OVER (PARTITION BY r.event_id ORDER BY c.revision_id IS NULL, ts, r.revision_id) AS nth FROM r LEFT JOIN c ON c.revision_id = r.revision_id) SELECT event_id, revision_id FROM n WHERE nth = 1",
-    "rate_limited_events": "WITH r AS (SELECT user_id AS key, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 43199999999 PRECEDING AND 1 PRECEDING) < 2 AS ok FROM events) SELECT key, count(*) FILTER (WHERE ok) AS allowed, count(*) AS asked FROM r GROUP BY key",
+    "rate_limited_events": f"{_LIMITED} SELECT key, count(*) FILTER (WHERE ok) AS allowed, count(*) AS asked FROM s WHERE i > 0 GROUP BY key",
+    "rate_limited_stream": f"{_LIMITED} SELECT id FROM s WHERE i > 0 AND NOT ok",
     "crawl_changed": "SELECT o_orderkey AS id, CAST(date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS updated FROM orders WHERE (o_orderkey % 3 = 0 OR o_orderkey % 5 = 0) AND date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) > 1500 ORDER BY 2, 1 LIMIT 20",
-    "overlap_int8": "SELECT vec_id AS query_id, true AS good FROM embeddings WHERE vec_id < 5",
-    "lake_import": """WITH n AS (SELECT count(*) AS n, count(DISTINCT conv_id) AS c, count(*) FILTER (WHERE conv_id % 2 = 0) AS e FROM conversations)
- SELECT * FROM (SELECT 'conversations' AS "table", 2 * c AS rows FROM n UNION ALL SELECT 'nodes', 2 * n FROM n UNION ALL SELECT 'revisions', n + e FROM n UNION ALL SELECT 'occurrences', 2 * n FROM n UNION ALL SELECT 'policy', n + e FROM n UNION ALL SELECT 'resolved', n FROM n UNION ALL SELECT 'paths', n FROM n)""",
+    "overlap_int8": """WITH s AS (SELECT 127.0::DOUBLE / max(list_max([abs(x) FOR x IN embedding])) AS scale FROM embeddings),
+ v AS (SELECT vec_id, embedding, [CAST(greatest(-128, least(127, round_even(x::DOUBLE * scale, 0))) AS BIGINT) FOR x IN embedding] AS b FROM embeddings, s),
+ p AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum([(v.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE) ** 2 FOR i IN range(1, 65)]) AS far,
+  list_sum([(v.b[i] - q.b[i]) ** 2 FOR i IN range(1, 65)]) AS coarse FROM v, v q WHERE q.vec_id % 100 = 0),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY far, vec_id) AS a, row_number() OVER (PARTITION BY query_id ORDER BY coarse, vec_id) AS c FROM p)
+ SELECT query_id, count(*) FILTER (WHERE c <= 20) AS found FROM r WHERE a <= 10 GROUP BY query_id""",
 }

@@ -9,7 +9,7 @@ from chatlake.functions import text as X
 from chatlake.operators import archive as A
 from chatlake.operators import rules as R
 from chatlake.operators import semantic as V
-from chatlake.operators import facts
+from chatlake.operators import facts, postings
 from chatlake.plans.stored import stored
 from chatlake.sources.exports import speaker
 
@@ -23,7 +23,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def messages(spark: SparkSession, d: str) -> DataFrame:
     """conversations as stored messages with their normal form; an import makes that once, queries only read it."""
-    return stored(spark, d, "messages", lambda: imported(spark, d))
+    return stored(spark, d, "conversations", "messages", lambda: imported(spark, d), ["created_at", "event_id"], "doc")
 
 
 def imported(spark: SparkSession, d: str) -> DataFrame:
@@ -33,6 +33,18 @@ def imported(spark: SparkSession, d: str) -> DataFrame:
     return c.select(F.concat(F.lit("chatgpt:driver:"), F.col("conv_id"), F.lit("-"), F.col("turn")).alias("event_id"), F.col("conv_id").alias("conversation"), F.col("turn").alias("position"), speaker(F.col("role")).alias("speaker"), at.alias("created_at"), "text", X.normalize("text").alias("search_text"))
 
 
+def token_index(spark: SparkSession, d: str) -> DataFrame:
+    """The index rows of the messages, sorted by token: a query skips to its own by the files' footers."""
+    m = messages(spark, d)
+    build = lambda: postings.postings(m, 1).drop("bucket")
+    return stored(spark, d, "conversations", "token_index", build, ["token", "block"])
+
+
+def by_numbers(rows: DataFrame, docs: DataFrame, most: int | None = None) -> DataFrame:
+    """The rows of the numbered messages. most: how many there are at most, as the rarest token tells; few are broadcast."""
+    return rows.join(F.broadcast(docs) if most is not None and most * 8 <= 32 << 20 else docs, "doc", "left_semi")
+
+
 MESSAGES = """m AS (SELECT 'chatgpt:driver:' || conv_id || '-' || turn AS event_id, conv_id AS conversation, turn AS position,
   CASE role WHEN 'user' THEN 'owner' WHEN 'assistant' THEN 'assistant' WHEN 'system' THEN 'system' WHEN 'tool' THEN 'system' ELSE 'unknown' END AS speaker,
   TIMESTAMP '2024-01-01 00:00:00' + to_hours(conv_id) + to_minutes(turn) AS created_at, text, replace(lower(text), 'ß', 'ss') AS s FROM conversations)"""
@@ -116,7 +128,9 @@ def policy_sensitivity_deny(spark, d):
 
 
 def policy_classified_only(spark, d):
-    return A.visible(documents(spark, d), policies(spark, d), classified=True, scopes=["public", "review"], deny=["toxic"]).select("doc_id")
+    """Documents with a row of policy that names a scope or a sensitivity: poor ones that aren't toxic have neither here."""
+    rows = policies(spark, d).withColumn("scopes", F.filter("scopes", lambda s: s == "public"))
+    return A.visible(documents(spark, d), rows, classified=True).select("doc_id")
 
 
 def withdrawn_source_hidden(spark, d):
@@ -169,10 +183,10 @@ def bigram_jaccard_pairs(spark, d):
 
 
 def token_index_prefilter(spark, d):
+    """Events by the index alone: the texts aren't read."""
     m = messages(spark, d)
-    index = stored(spark, d, "tokens", lambda: m.select("event_id", F.explode(X.index_tokens(F.col("search_text"))).alias("token")))
-    wanted = ["the", "and"]
-    return index.filter(F.col("token").isin(wanted)).groupBy("event_id").agg(F.countDistinct("token").alias("n")).filter(F.col("n") == len(wanted)).select("event_id")
+    found = postings.holding_all(token_index(spark, d).filter(F.col("token").isin("the", "and")), ["the", "and"], several=False)
+    return by_numbers(m.select("event_id", "doc"), found).select("event_id")
 
 
 def chunk_spans(spark, d):
@@ -189,7 +203,7 @@ def knn_filtered(spark, d):
 
 def knn_int8_rerank(spark, d):
     """Over vectors that are packed once; the coarse pass reads their bytes."""
-    packed = stored(spark, d, "packed", lambda: V.packed_vectors(table(spark, d, "embeddings").select("vec_id", "embedding")))
+    packed = stored(spark, d, "embeddings", "packed", lambda: V.packed_vectors(table(spark, d, "embeddings").select("vec_id", "embedding")))
     return V.nearest_packed(packed, QUERY_VECTOR, 5, 4).select("vec_id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -268,7 +282,7 @@ SQL = {
     "status_counts": f"WITH {MESSAGES} SELECT speaker, count(*) AS messages, count(DISTINCT conversation) AS conversations, CAST(sum(len(text)) AS BIGINT) AS chars FROM m GROUP BY speaker",
     "policy_scope_allow": "SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1",
     "policy_sensitivity_deny": "SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE toxic <> 1",
-    "policy_classified_only": "SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE toxic <> 1",
+    "policy_classified_only": "SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1 OR toxic = 1",
     "withdrawn_source_hidden": "SELECT source, count(*) AS n FROM documents WHERE source <> 'src0' GROUP BY source",
     "current_revision": """WITH r AS (SELECT user_id AS event, event_id AS seq, CASE WHEN event_type <> 'view' THEN CAST(floor(value) AS BIGINT) END AS v FROM events),
  b AS (SELECT *, max(v) OVER w AS m, count(*) OVER w AS k FROM r WINDOW w AS (PARTITION BY event ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),

@@ -17,7 +17,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.operators import archive, retrieval, vault
+from chatlake.operators import archive, policy, retrieval, vault
 from chatlake.operators.store import Lake
 
 
@@ -74,7 +74,7 @@ def _dates(a: Archive, args: dict) -> dict:
             except (TypeError, ValueError) as e:
                 raise ToolError("INVALID_PARAMS", f"{key} must be a day") from e
             out[key] = archive.day_bound(args[key], zone, end)
-    return out | ({"speaker": args["speaker"]} if args.get("speaker") else {})
+    return out | {k: str(args[k]) for k in ("speaker", "namespace", "source", "conversation") if args.get(k)}
 
 
 def search_history(a: Archive, args: dict, profile: dict) -> dict:
@@ -95,7 +95,11 @@ def get_event(a: Archive, args: dict, profile: dict) -> dict:
 
 
 def recall(a: Archive, args: dict, profile: dict) -> dict:
-    return retrieval.recall(a.lake, args.get("query", ""), args.get("match_mode", "literal"), _int(args, "max_snippets", 5, 1, 12), _int(args, "context_radius", 2, 0, 10), _int(args, "char_budget", 4000, 200, 40_000), a.limits.most, profile, profile.get("remote", False), **_dates(a, args))
+    asked = _dates(a, args)
+    within = {k: asked.pop(k) for k in ("namespace", "source", "conversation") if k in asked}
+    sizes = [_int(args, "max_snippets", 5, 1, 12), _int(args, "context_radius", 2, 0, 10), _int(args, "char_budget", 4000, 200, 40_000)]
+    mode, remote = args.get("match_mode", "literal"), profile.get("remote", False)
+    return retrieval.recall(a.lake, args.get("query", ""), mode, *sizes, a.limits.most, profile, remote, within, **asked)
 
 
 def timeline(a: Archive, args: dict, profile: dict) -> dict:
@@ -139,12 +143,17 @@ TOOLS: dict[str, Callable[[Archive, dict, dict], dict]] = {f.__name__: f for f i
 
 
 def call(a: Archive, name: str, args: dict, profile: dict | None = None) -> dict:
-    """A tool's result, or a ToolError: UNKNOWN_TOOL, INVALID_PARAMS, QUERY_TOO_BROAD, NOT_FOUND or NOT_AVAILABLE."""
+    """A tool's result, or a ToolError: UNKNOWN_TOOL, INVALID_PARAMS, QUERY_TOO_BROAD, NOT_FOUND, NOT_AVAILABLE or POLICY_CHANGED.
+
+    If the archive's policy changes while a tool works, its result is dropped and made anew.
+    """
     profile = load_profile(profile or {"allow_scopes": ["*"], "allow_unclassified": True})
     if name not in TOOLS or name not in profile.get("tools", TOOLS):
         raise ToolError("UNKNOWN_TOOL", f"no tool {name!r}")
     try:
-        return TOOLS[name](a, args, profile)
+        return policy.with_epoch_retry(lambda: a.lake.snapshot().epoch(), lambda: TOOLS[name](a, args, profile))
+    except policy.Unsettled as e:
+        raise ToolError("POLICY_CHANGED", str(e)) from e
     except retrieval.QueryTooBroad as e:
         raise ToolError("QUERY_TOO_BROAD", str(e)) from e
     except LookupError as e:

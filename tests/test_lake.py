@@ -91,7 +91,9 @@ def test_search_pages_and_recall(lake):
     with pytest.raises(ValueError, match="empty"):
         retrieval.search_history(lake, "")
     with pytest.raises(ValueError, match="gone"):
-        retrieval.search_history(lake, "tomatoes", cursor=retrieval.encode([1, T0, "nobody"]))
+        retrieval.search_history(lake, "tomatoes", cursor=retrieval.encode([False, 1, "nobody", "no revision"]))
+    with pytest.raises(ValueError, match="not a cursor"):
+        retrieval.search_history(lake, "tomatoes", cursor="no cursor")
     with pytest.raises(retrieval.QueryTooBroad):
         retrieval.search_history(lake, "tomatoes", max_scan=3)
     found = retrieval.recall(lake, "tomatoes", radius=1, budget=200)
