@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from chatlake.functions.text import bigram_jaccard, has_credentials, mask_credentials, normal, normal_map
+from chatlake.operators import closure
 from chatlake.operators.semantic import cosine
 
 # Types and kinds of claims, reasons for which a proposal is rejected, limits.
@@ -271,17 +272,30 @@ def explained(reviewed: DataFrame, evidence: DataFrame, relations: DataFrame, me
     return {"claim": reviewed.filter(one), "evidence": quotes, "relations": related.join(words("new"), "new_id").join(words("old"), "old_id")}
 
 
+def superseding(relations: DataFrame) -> DataFrame:
+    """source and target of the confirmed relations by which a claim supersedes another."""
+    rows = relations.filter("relation = 'supersedes' and status = 'confirmed'")
+    return rows.select(F.col("new_id").alias("source"), F.col("old_id").alias("target"))
+
+
 def leads_to(relations: DataFrame, start: str, goal: str) -> bool:
-    """Whether confirmed supersedes relations lead from a claim to another. The frontier is a table, level by level."""
-    edges = relations.filter("relation = 'supersedes' and status = 'confirmed'").select("new_id", "old_id").distinct()
-    seen = front = {start}
-    while front:
-        found = edges.filter(F.col("new_id").isin(*front)).select("old_id").distinct().collect()  # one chain of claims: as many as a person confirmed
-        front = {r["old_id"] for r in found} - seen
-        seen = seen | front
-        if goal in front:
-            return True
-    return False
+    """Whether confirmed supersedes relations lead from a claim to another."""
+    goals = relations.sparkSession.createDataFrame([(start, goal)], "start string, goal string")
+    found = closure.reached(superseding(relations), goals.select("start"), goals)
+    return not found.filter((F.col("start") == start) & (F.col("node") == goal)).isEmpty()
+
+
+def decide_all(relations: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A whole batch of decisions (new_id, old_id, decision) at once: the relations' new rows, and the decisions refused.
+
+    Refused are supersedes decisions that would close a circle, with what is confirmed or with each other.
+    """
+    own = decisions.select("new_id", "old_id", "decision").distinct()
+    proposed = own.filter("decision = 'supersedes'").select(F.col("new_id").alias("source"), F.col("old_id").alias("target"))
+    bad = closure.on_circles(superseding(relations), proposed).select(F.col("source").alias("new_id"), F.col("target").alias("old_id"), F.lit("supersedes").alias("decision"))
+    good = own.join(bad, ["new_id", "old_id", "decision"], "left_anti").filter("decision in ('supersedes', 'coexists', 'reject_new', 'dismiss')")
+    status = F.when(F.col("decision").isin("supersedes", "coexists"), "confirmed").otherwise("dismissed")
+    return good.select("new_id", "old_id", F.col("decision").alias("relation"), status.alias("status")), bad
 
 
 def decide(relations: DataFrame, new_id: str, old_id: str, decision: str, seq: int, actor: str, at: datetime) -> tuple[dict, list[dict]]:

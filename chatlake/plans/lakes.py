@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chatlake.operators import ivf, postings, retrieval, store
+from chatlake.operators import closure, ivf, postings, retrieval, store, vectors
+from chatlake.operators import semantic as V
 from chatlake.plans import queries as Q
-from chatlake.plans.stored import folder
+from chatlake.sources import archives, exports
+from chatlake.operators.scratch import folder
 
 NOW = datetime(2024, 6, 1)
 
@@ -186,7 +189,64 @@ def _index(spark: SparkSession, d: str) -> tuple[ivf.Index, DataFrame]:
     return ivf.Index(spark.read.parquet(path), centers, "vec_id", "embedding"), vectors
 
 
-NAMES = """lake_import lake_index lake_search_by_index policy_source_reimport policy_event_reimport hybrid_pages lake_restored ivf_exact
+def reached_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Which turns each conversation's last one leads to, where every turn leads to the one before, and in each fourth
+    conversation the first to the last again."""
+    c = Q.table(spark, d, "conversations").select("conv_id", "turn")
+    last = c.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    name = lambda turn: F.col("conv_id") * 1000 + turn
+    before = F.when(F.col("turn") > 0, F.col("turn") - 1).when(F.col("conv_id") % 4 == 2, F.col("last"))
+    edges = c.join(last, "conv_id").select(name(F.col("turn")).alias("source"), name(before).alias("target"))
+    return closure.reached(edges, last.select(name(F.col("last")).alias("start")))
+
+
+def archive_read(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of exports that were written as four JSON arrays, read again one conversation at a time."""
+    m = Q.messages(spark, d).withColumn("at", F.unix_seconds("created_at"))
+    author = F.struct(F.when(F.col("speaker") == "owner", "user").otherwise(F.col("speaker")).alias("role"))
+    node = lambda p: p.cast("long").cast("string")
+    message = F.struct(F.col("event_id").alias("id"), author.alias("author"), F.col("at").alias("create_time"), F.struct(F.array("text").alias("parts")).alias("content"))
+    entry = F.struct(node(F.col("position")).alias("key"), F.struct(node(F.col("position")).alias("id"), F.when(F.col("position") > 0, node(F.col("position") - 1)).alias("parent"), message.alias("message")).alias("value"))
+    mapping = F.map_from_entries(F.array_sort(F.collect_list(entry)))
+    one = m.groupBy("conversation").agg(F.to_json(F.struct(F.first("conversation").cast("string").alias("conversation_id"), mapping.alias("mapping"), node(F.max("position")).alias("current_node"))).alias("value"))
+    out = folder(spark)
+    one.repartition(4, "conversation").select("value").mapInPandas(_as_array, "value string").write.text(out)
+    _renamed(spark, out)
+    rows = exports.chat_export(spark, out, "driver", archives.archive_elements(spark, out).select("file", "value"))
+    return rows.select("conversation", "message_id", "speaker", F.md5("text").alias("text"), "parent")
+
+
+def _as_array(parts):
+    """Lines that together are a JSON array."""
+    mark = "["
+    for part in parts:
+        part["value"] = [("," if i or mark == "," else "[") + v for i, v in enumerate(part["value"])]
+        mark = "," if len(part) else mark
+        yield part
+    yield pd.DataFrame({"value": ["[]" if mark == "[" else "]"]})
+
+
+def _renamed(spark: SparkSession, path: str) -> None:
+    """Text files named as JSON."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for s in fs.listStatus(where):
+        if s.getPath().getName().endswith(".txt"):
+            fs.rename(s.getPath(), spark._jvm.org.apache.hadoop.fs.Path(f"{s.getPath()}.json"))
+
+
+def vectors_updated(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of each message in a stored index that was made in batches, brought up to date after edits, and purged."""
+    index, m = vectors.VectorIndex(spark, folder(spark)), Q.messages(spark, d)
+    rows = m.select(F.col("event_id").alias("revision_id"), "text", "conversation")
+    vectors.update(index, rows, V.HashEmbedding(64), NOW, batch=200)
+    now = rows.filter("conversation % 4 <> 0").withColumn("text", F.when(F.col("conversation") % 4 == 1, F.repeat("text", 3)).otherwise(F.col("text")))
+    vectors.update(index, now, V.HashEmbedding(64), NOW, batch=200)
+    vectors.purge(index, now.filter("conversation % 4 = 2"), NOW)
+    return index.snapshot().alive("vectors").groupBy("revision_id").agg(F.count(F.lit(1)).alias("chunks"), F.max("end").alias("end"))
+
+
+NAMES = """reached_turns archive_read vectors_updated lake_import lake_index lake_search_by_index policy_source_reimport policy_event_reimport hybrid_pages lake_restored ivf_exact
 ivf_recall""".split()
 QUERIES = {name: globals()[name] for name in NAMES}
 _M = f"WITH {Q.MESSAGES}"
@@ -194,6 +254,14 @@ _EVENT = "'chatgpt:{0}:driver:' || conversation || '-' || position"
 _WORDS = "list_distinct(regexp_extract_all(s, '[\\p{L}\\p{N}]+'))"
 _FAR = "list_sum([(v.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE) ** 2 FOR i IN range(1, 65)])"
 SQL = {
+    "reached_turns": """WITH RECURSIVE l AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id),
+ e AS (SELECT conv_id * 1000 + turn AS source, conv_id * 1000 + CASE WHEN turn > 0 THEN turn - 1 WHEN conv_id % 4 = 2 THEN last END AS target FROM conversations JOIN l USING (conv_id)),
+ r AS (SELECT conv_id * 1000 + last AS start, conv_id * 1000 + last AS node FROM l UNION SELECT r.start, e.target FROM r JOIN e ON e.source = r.node WHERE e.target IS NOT NULL)
+ SELECT start, node FROM r WHERE start <> node UNION SELECT r.start, r.start FROM r JOIN e ON e.source = r.node AND e.target = r.start""",
+    "archive_read": f"""{_M} SELECT CAST(conversation AS VARCHAR) AS conversation, event_id AS message_id, speaker, md5(text) AS text,
+ CASE WHEN position > 0 THEN CAST(position - 1 AS VARCHAR) END AS parent FROM m""",
+    "vectors_updated": f"""{_M}, n AS (SELECT event_id, len(text) * CASE WHEN conversation % 4 = 1 THEN 3 ELSE 1 END AS n FROM m WHERE conversation % 4 IN (1, 3) AND len(text) > 0)
+ SELECT event_id AS revision_id, CAST(greatest(ceil((n - 600) / 500.0), 0) AS BIGINT) + 1 AS chunks, CAST(n AS BIGINT) AS "end" FROM n""",
     "lake_import": f"""{_M} SELECT event_id, md5(CASE WHEN conversation % 2 = 0 THEN text || ' (edited)' ELSE text END) AS text, 'resolved' AS state,
  CASE WHEN conversation % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS revisions, 2::BIGINT AS occurrences, CASE WHEN conversation % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS available,
  'unclassified' AS classification, position, true AS at_node FROM m""",

@@ -13,7 +13,7 @@ from chatlake.operators import evaluation as E
 from chatlake.operators import facts, policy, postings, retrieval, selection
 from chatlake.operators import semantic as V
 from chatlake.plans import queries as Q
-from chatlake.plans.stored import folder
+from chatlake.operators.scratch import folder
 from chatlake.streaming import limiter
 
 NOW = datetime(2024, 6, 1)

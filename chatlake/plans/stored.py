@@ -3,27 +3,18 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatlake.operators.scratch import delete, folder
+
 PART = 64 << 20
 #: By application, source and name: what the source was like, and the table made of it.
 _made: dict[tuple[str, str, str], tuple[object, DataFrame]] = {}
 
 
-def folder(spark: SparkSession) -> str:
-    """A folder all executors share: below spark.checkpoint.dir, or a temporary one where Spark runs on one machine."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    master = spark.sparkContext.master
-    if not path and (not master.startswith("local") or master.startswith("local-cluster")):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(path or f'file://{tempfile.gettempdir()}/archive').rstrip('/')}/archive-{uuid.uuid4().hex}"
-
-
 def state_of(spark: SparkSession, path: str) -> tuple:
     """Name, length and time of each file of a table."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -52,13 +43,6 @@ def stored(spark: SparkSession, source: str, table: str, name: str, build: Calla
             df = df.repartitionByRange(parts, *by).sortWithinPartitions(*by)
         df = df.withColumn(number, F.monotonically_increasing_id()) if number else df
         df.write.parquet(path)
-        atexit.register(_delete, spark, path)
+        atexit.register(delete, spark, path)
         _made[key] = (state, spark.read.schema(df.schema).parquet(path))
     return _made[key][1]
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm, context = spark._jvm, spark.sparkContext._jsc
-    if jvm is not None and context is not None:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(context.hadoopConfiguration()).delete(where, True)

@@ -95,8 +95,9 @@ def archive_sha(members: DataFrame) -> DataFrame:
 
 
 def conversations_of(document: Column) -> Column:
-    """The conversations of an export, whether it is an array or an object that holds one."""
-    return F.coalesce(F.try_variant_get(document, "$", "array<variant>"), F.try_variant_get(document, "$.conversations", "array<variant>"))
+    """The conversations of an export: an array, one under "conversations", or a single one that stands for itself."""
+    one = F.when(F.try_variant_get(document, "$.mapping", "map<string,variant>").isNotNull(), F.array(document))
+    return F.coalesce(F.try_variant_get(document, "$", "array<variant>"), F.try_variant_get(document, "$.conversations", "array<variant>"), one)
 
 
 def kind_of(value: Column) -> Column:
@@ -145,6 +146,7 @@ def chat_export(spark: SparkSession, path: str, namespace: str, members: DataFra
     return rows.filter(kind_of(n) == "object").select(
         F.coalesce(get(c, "$.conversation_id"), get(c, "$.id"), derived).alias("conversation"), get(c, "$.title").alias("title"), get(c, "$.current_node").alias("current_node"), "node", get(n, "$.parent").alias("parent"),
         (F.array_position(siblings, F.col("node")) - 1).alias("child_order"), F.when(has, F.concat_ws(":", F.lit("chatgpt"), F.lit(namespace), F.coalesce(message, F.col("node")))).alias("event_id"),
+        message.alias("message_id"),
         speaker(get(n, "$.message.author.role")).alias("speaker"), time("$.message.create_time").alias("created_at"), time("$.message.update_time").alias("updated_at"), text.alias("text"),
         F.coalesce(get(n, "$.message.content.content_type"), F.lit("text")).alias("content_type"), F.when(F.size(pointers) > 0, F.array_join(pointers, ",")).alias("attachments"),
         F.greatest(F.lit(0), F.coalesce(F.size(other) - F.size(pointers), F.lit(0))).cast("long").alias("n_unsupported"),
