@@ -45,9 +45,8 @@ def fused(lists: Sequence[DataFrame], key: str, constant: int = 60) -> DataFrame
     return found.withColumn("fused_rank", F.row_number().over(Window.orderBy(F.round("score", 9).desc(), key)))
 
 
-# Groups of words that mean the same, the first standing for all.
-SYNONYMS = [["求职", "找工作", "应聘"], ["远程", "在家办公", "居家办公"], ["简历", "CV", "resume"]]
-# End of the fixed values.
+#: Groups of words that mean the same, the first standing for all; a provider can be given others.
+GROUPS = (("求职", "找工作"), ("ship", "boat", "vessel"), ("灯塔", "航标"))
 DIMENSION, PROBES, NOISE_FLOOR, CONSTANT = 256, 3, 0.3, 60
 _WORDS, _RUNS = re.compile(r"[a-zA-Z0-9]+"), re.compile(r"[一-鿿]+")
 
@@ -58,10 +57,10 @@ def word_tokens(text: str) -> list[str]:
     return [f"w:{w.lower()}" for w in _WORDS.findall(text)] + [f"c:{p}" for p in runs]
 
 
-def standing_tokens(text: str) -> list[str]:
+def standing_tokens(text: str, groups: Sequence[Sequence[str]] = GROUPS) -> list[str]:
     """Tokens of the word that stands for each group with a member in the text; Latin members match in any case."""
     low, out = text.lower(), []
-    for group in SYNONYMS:
+    for group in groups:
         if any(v in text or (v.isascii() and v.lower() in low) for v in group):
             out += [f"s:{group[0]}", *word_tokens(group[0])]
     return out
@@ -73,10 +72,10 @@ def _places(token: str, dimension: int, probes: int) -> list[tuple[int, float]]:
     return [(int.from_bytes(d[:4], "big") % dimension, -1.0 if d[4] % 2 else 1.0) for d in digests]
 
 
-def hash_vector(text: str, dimension: int = DIMENSION, probes: int = PROBES) -> list[float]:
+def hash_vector(text: str, dimension: int = DIMENSION, probes: int = PROBES, groups: Sequence[Sequence[str]] = GROUPS) -> list[float]:
     """A unit vector of signed hashed tokens (none: zeros): a stand-in for a model that needs no download."""
     weights = collections.Counter(word_tokens(text))
-    for t in standing_tokens(text):
+    for t in standing_tokens(text, groups):
         weights[t] += 2
     out = np.zeros(dimension)
     for token, weight in weights.items():
@@ -91,13 +90,13 @@ class HashEmbedding:
 
     model_id = "hash-embedding-test"
 
-    def __init__(self, dimension: int = DIMENSION, probes: int = PROBES):
+    def __init__(self, dimension: int = DIMENSION, probes: int = PROBES, groups: Sequence[Sequence[str]] = GROUPS):
         if dimension < 16:
             raise ValueError("a dimension of 16 at least")
-        self.dimension, self.probes = dimension, probes
+        self.dimension, self.probes, self.groups = dimension, probes, groups
 
     def embed(self, texts: Sequence[str]) -> list[list[float]]:
-        return [hash_vector(t, self.dimension, self.probes) for t in texts]
+        return [hash_vector(t, self.dimension, self.probes, self.groups) for t in texts]
 
 
 def embedded(rows: DataFrame, provider=None, text: str = "text", out: str = "embedding") -> DataFrame:

@@ -42,8 +42,12 @@ def credential_mask_length(spark, d):
 
 
 def hash_embedding(spark, d):
-    m = Q.messages(spark, d).select("event_id", "text")
-    return V.embedded(m).select("event_id", F.size("embedding").alias("dimension"), F.round(V.distance(F.col("embedding"), F.transform("embedding", lambda x: x * 0)), 6).alias("length"))
+    """Of each message's vector: its dimension, how many components aren't 0, the place of the largest, and its value."""
+    v = V.embedded(Q.messages(spark, d).select("event_id", "text"))
+    top = F.array_max("embedding")
+    used = F.size(F.filter("embedding", lambda x: x != 0)).cast("long")
+    place = (F.array_position("embedding", top) - 1).cast("long")
+    return v.select("event_id", F.size("embedding").cast("long").alias("dimension"), used.alias("used"), place.alias("place"), F.round(top, 6).alias("top"))
 
 
 def segment_budget(spark, d):
@@ -175,6 +179,22 @@ SQL = {
  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY (len(t) - len(replace(t, ' ', '')))::DOUBLE / len(t), start) AS nth FROM c) SELECT doc_id, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end" FROM r WHERE nth = 1""",
     "html_title_vault": "SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), ''), regexp_extract(url, '([^/]*)$', 1)) AS title FROM pages",
     "credential_mask_length": f"SELECT doc_id, CAST(list_sum([len(x) FOR x IN regexp_extract_all(text, '{X.CREDENTIAL.replace(chr(39), chr(39) * 2)}')]) AS BIGINT) AS hidden FROM documents WHERE regexp_matches(text, '{X.CREDENTIAL.replace(chr(39), chr(39) * 2)}')",
+    "hash_embedding": f"""{_S}, t AS (
+  SELECT event_id, unnest(list_concat(['w:' || lower(w) FOR w IN regexp_extract_all(text, '[a-zA-Z0-9]+')], CASE WHEN regexp_matches(lower(text), 'ship|boat|vessel') THEN ['s:ship', 's:ship', 'w:ship', 'w:ship'] ELSE []::VARCHAR[] END)) AS token FROM m),
+ h AS (SELECT event_id, sha1(i || ':' || token) AS h FROM t, (SELECT unnest([0, 1, 2]) AS i)),
+ c AS (SELECT event_id, CAST('0x' || substr(h, 7, 2) AS BIGINT) AS place, sum(CASE WHEN CAST('0x' || substr(h, 9, 2) AS BIGINT) % 2 = 1 THEN -1 ELSE 1 END) AS v FROM h GROUP BY ALL),
+ n AS (SELECT event_id, sqrt(sum(v * v)) AS size, count(*) FILTER (WHERE v <> 0) AS used, max(v) AS top FROM c GROUP BY event_id)
+ SELECT n.event_id, 256::BIGINT AS dimension, used, (SELECT min(place) FROM c WHERE c.event_id = n.event_id AND v = top) AS place, round(top / size, 6) AS top FROM n""",
+    "segment_budget": f"""WITH RECURSIVE {Q.MESSAGES},
+ o AS (SELECT conversation, row_number() OVER (PARTITION BY conversation ORDER BY created_at, event_id) AS i, CAST(len(text) AS BIGINT) AS n, speaker = 'owner' AS own FROM m),
+ e AS (SELECT conversation, max(i) AS c FROM o GROUP BY conversation),
+ s AS (SELECT conversation, 0::BIGINT AS i, []::STRUCT(n BIGINT, own BOOLEAN, old BOOLEAN)[] AS held, 0::BIGINT AS segment, NULL::STRUCT(n BIGINT, own BOOLEAN, old BOOLEAN)[] AS done FROM e UNION ALL
+  SELECT conversation, i, CASE WHEN over AND i <= c THEN [{{'n': x.n, 'own': x.own, 'old': true}} FOR x IN held[-2:]] ELSE held END || CASE WHEN i <= c THEN [{{'n': n, 'own': own, 'old': false}}] ELSE [] END,
+   segment + CASE WHEN done IS NOT NULL THEN 1 ELSE 0 END, CASE WHEN over AND len([1 FOR x IN held IF x.own AND NOT x.old]) > 0 THEN held END
+  FROM (SELECT s.conversation, s.i + 1 AS i, s.held, s.segment, s.done, o.n, o.own, e.c, len(s.held) > 0 AND (s.i = e.c OR list_sum([x.n FOR x IN s.held]) + o.n > 900) AS over
+   FROM s JOIN e USING (conversation) LEFT JOIN o ON o.conversation = s.conversation AND o.i = s.i + 1 WHERE s.i <= e.c))
+ SELECT CAST(conversation AS VARCHAR) AS conversation, segment, CAST(len(done) AS BIGINT) AS n, CAST(list_sum([x.n FOR x IN done]) AS BIGINT) AS chars, CAST(len([1 FOR x IN done IF x.old]) AS BIGINT) AS carried
+ FROM s WHERE done IS NOT NULL""",
     "latency_percentiles": "WITH p AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events), s AS (SELECT unnest([50, 95, 99]) AS percent) SELECT event_type, CAST(percent AS BIGINT) AS percent, value FROM p, s WHERE i = round_even(percent / 100.0::DOUBLE * (n - 1), 0)",
     "policy_withdrawn_event": "SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE doc_id % 100 <> 7 AND source <> 'src1'",
     "policy_relabelled": "SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE doc_id % 100 <> 7 AND source = 'src0'",
