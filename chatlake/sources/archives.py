@@ -154,7 +154,7 @@ class ChatArchive(DataSource):
         return "file string, place long, value string"
 
     def reader(self, schema) -> _Reader:
-        return _Reader(self.options["path"].removeprefix("file://"), {k: int(self.options[k]) for k in LIMITS if k in self.options})
+        return _Reader(re.sub(r"^file:(//)?(?=/)", "", self.options["path"]), {k: int(self.options[k]) for k in LIMITS if k in self.options})
 
 
 def archive_elements(spark: SparkSession, path: str, limits: dict[str, int] | None = None) -> DataFrame:
