@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chatlake.operators import closure, ivf, postings, retrieval, store, vectors
+from chatlake.operators import claims, closure, facts, ivf, postings, retrieval, store, vectors
 from chatlake.operators import semantic as V
 from chatlake.plans import queries as Q
 from chatlake.sources import archives, exports
@@ -246,7 +246,67 @@ def vectors_updated(spark: SparkSession, d: str) -> DataFrame:
     return index.snapshot().alive("vectors").groupBy("revision_id").agg(F.count(F.lit(1)).alias("chunks"), F.max("end").alias("end"))
 
 
-NAMES = """reached_turns archive_read vectors_updated lake_import lake_index lake_search_by_index policy_source_reimport policy_event_reimport hybrid_pages lake_restored ivf_exact
+def lake_timeline(spark: SparkSession, d: str) -> DataFrame:
+    """Two conversations a local day, by their last message, with the owner's first line and how many more there are."""
+    lake = _lake(spark)
+    store.publish(lake, nodes(spark, d), "chatgpt", "driver", "first", NOW)
+    t = retrieval.timeline(lake, Q.ZONE, per_day=2)
+    day = F.date_format("day", "yyyy-MM-dd").alias("day")
+    return t.select(day, "conversation", "n", "n_owner", F.col("rank").cast("long").alias("rank"), F.col("more").cast("long").alias("more"), "line")
+
+
+def lake_context(spark: SparkSession, d: str) -> DataFrame:
+    """The neighbours, on their paths, of the second message of each fifth conversation, one of which is withdrawn."""
+    lake, rows = _lake(spark), nodes(spark, d)
+    store.publish(lake, rows, "chatgpt", "driver", "first", NOW)
+    store.withdraw_events(lake, rows.filter("node = '2' and conversation % 2 = 0").select("event_id", F.lit("asked for").alias("reason")), NOW)
+    asked = rows.filter("node = '1' and conversation % 5 = 0").select("event_id")
+    return retrieval.context(lake.snapshot(), asked, 1).select("event_id", "position")
+
+
+def lake_status(spark: SparkSession, d: str) -> DataFrame:
+    """Rows by table, and changes by kind and status."""
+    lake = imported_twice(spark, d).snapshot()
+    jobs = spark.createDataFrame([(f"{j['kind']} {j['status']}",) for j in lake.jobs()], "table string").groupBy("table").agg(F.count(F.lit(1)).alias("rows"))
+    return store.counts(lake).filter("table <> 'postings'").unionByName(jobs)
+
+
+def claims_checked(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with claims that quote the owner's messages, by conversation: five kinds of them."""
+    m = Q.messages(spark, d).withColumn("kind", F.col("conversation") % 5)
+    role = F.when(F.col("position") == 0, "context").otherwise("support").alias("role")
+    name = F.col("conversation").cast("string").alias("conversation")
+    segmented = m.select(name, F.lit(0).cast("long").alias("segment"), F.col("position").alias("place"), F.col("event_id").alias("revision_id"), "speaker", "created_at", "text", role)
+    quote = F.when(F.col("kind") == 2, "not a word of it").otherwise(F.substring("text", 1, 30))
+    source = F.when(F.col("kind") == 3, "nobody").otherwise(F.col("event_id"))
+    claim = F.struct(
+        F.concat(F.lit("says "), F.substring("text", 1, 20)).alias("content"),
+        F.when(F.col("kind") == 1, "mood").otherwise("goal").alias("memory_type"),
+        F.lit("self_report").alias("assertion_kind"),
+        F.array(F.struct(source.alias("revision_id"), quote.alias("quote"))).alias("evidence"),
+    )
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("position", claim.alias("claim")))), lambda x: x["claim"])
+    answers = m.groupBy(name).agg(F.to_json(F.struct(listed.alias("claims"))).alias("answer"))
+    answers = answers.select("conversation", F.lit(0).cast("long").alias("segment"), "answer")
+    found = facts.validated(facts.proposals(spark, answers), segmented)
+    return found.select("conversation", F.col("nth").cast("long").alias("nth"), F.coalesce("reason", F.lit("stands")).alias("reason"))
+
+
+def claims_stored(spark: SparkSession, d: str) -> DataFrame:
+    """Claims of three runs over the benchmark's texts, the second of which is the first again, by how they stand."""
+    held = claims.ClaimStore(spark, folder(spark))
+    b = Q.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("revision_id"), F.substring("text", 1, 200).alias("text"))
+    proof = F.array(F.struct("revision_id", F.lit(0).alias("start"), F.lit(9).alias("end"), F.lit("").alias("quote")))
+    rows = b.select(F.lit("c").alias("conversation"), F.lit(0).cast("long").alias("segment"), F.lit(0).alias("nth"), F.col("text").alias("content"), F.lit("goal").alias("memory_type"), F.lit("self_report").alias("assertion_kind"), F.lit(NOW).alias("asserted_at"), proof.alias("evidence"), F.lit(None).cast("string").alias("reason"))
+    even = F.col("evidence")[0]["revision_id"].cast("long") % 2 == 0
+    claims.record(held, "one", rows.filter(even), b, NOW)
+    claims.record(held, "one", rows, b, NOW)
+    claims.record(held, "two", rows.withColumn("content", F.upper("content")), b, NOW + timedelta(days=1))
+    proofs = held.table("evidence").groupBy("claim_id").agg(F.count(F.lit(1)).alias("evidence"))
+    return held.state().join(proofs, "claim_id").select(F.md5(F.lower("content")).alias("content"), "run", "status", "evidence")
+
+
+NAMES = """lake_timeline lake_context lake_status claims_checked claims_stored reached_turns archive_read vectors_updated lake_import lake_index lake_search_by_index policy_source_reimport policy_event_reimport hybrid_pages lake_restored ivf_exact
 ivf_recall""".split()
 QUERIES = {name: globals()[name] for name in NAMES}
 _M = f"WITH {Q.MESSAGES}"
@@ -254,6 +314,19 @@ _EVENT = "'chatgpt:{0}:driver:' || conversation || '-' || position"
 _WORDS = "list_distinct(regexp_extract_all(s, '[\\p{L}\\p{N}]+'))"
 _FAR = "list_sum([(v.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE) ** 2 FOR i IN range(1, 65)])"
 SQL = {
+    "lake_timeline": f"""{_M}, t AS (SELECT CAST(created_at + INTERVAL 8 HOUR AS DATE) AS day, CAST(conversation AS VARCHAR) AS conversation, count(*) AS n,
+  count(*) FILTER (WHERE speaker = 'owner') AS n_owner, max(created_at) AS last_at, arg_min(text, (created_at, event_id)) FILTER (WHERE speaker = 'owner') AS line FROM m GROUP BY ALL),
+ r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY last_at DESC, conversation) AS rank, count(*) OVER (PARTITION BY day) AS k FROM t)
+ SELECT strftime(day, '%Y-%m-%d') AS day, conversation, n, n_owner, rank, greatest(k - 2, 0) AS more, substr(split_part(substr(line, 1, 400), chr(10), 1), 1, 80) AS line FROM r WHERE rank <= 2""",
+    "lake_context": f"""{_M}, a AS (SELECT conversation FROM m WHERE position = 1 AND conversation % 5 = 0)
+ SELECT event_id, position FROM m JOIN a USING (conversation) WHERE position <= 2 AND NOT (position = 2 AND conversation % 2 = 0)""",
+    "lake_status": """WITH n AS (SELECT count(*) AS n, count(DISTINCT conv_id) AS c, count(*) FILTER (WHERE conv_id % 2 = 0) AS e FROM conversations)
+ SELECT * FROM (SELECT 'conversations' AS "table", 2 * c AS rows FROM n UNION ALL SELECT 'nodes', 2 * n FROM n UNION ALL SELECT 'revisions', n + e FROM n UNION ALL SELECT 'occurrences', 2 * n FROM n
+ UNION ALL SELECT 'policy', n + e FROM n UNION ALL SELECT 'sources', 0 FROM n UNION ALL SELECT 'import complete', 2 FROM n UNION ALL SELECT 'duplicate complete', 1 FROM n)""",
+    "claims_checked": f"""{_M} SELECT CAST(conversation AS VARCHAR) AS conversation, row_number() OVER (PARTITION BY conversation ORDER BY position) - 1 AS nth,
+ CASE WHEN trim(text) = '' THEN 'no_evidence' WHEN conversation % 5 = 1 THEN 'invalid_memory_type' WHEN conversation % 5 = 3 THEN 'no_evidence' WHEN speaker <> 'owner' THEN 'assistant_only_evidence'
+  WHEN position = 0 THEN 'no_evidence' WHEN conversation % 5 = 2 THEN 'span_mismatch' ELSE 'stands' END AS reason FROM m""",
+    "claims_stored": """SELECT md5(lower(substr(text, 1, 200))) AS content, CASE WHEN item_id % 2 = 0 THEN 'one' ELSE 'two' END AS run, 'pending' AS status, 1::BIGINT AS evidence FROM benchmark""",
     "reached_turns": """WITH RECURSIVE l AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id),
  e AS (SELECT conv_id * 1000 + turn AS source, conv_id * 1000 + CASE WHEN turn > 0 THEN turn - 1 WHEN conv_id % 4 = 2 THEN last END AS target FROM conversations JOIN l USING (conv_id)),
  r AS (SELECT conv_id * 1000 + last AS start, conv_id * 1000 + last AS node FROM l UNION SELECT r.start, e.target FROM r JOIN e ON e.source = r.node WHERE e.target IS NOT NULL)
