@@ -6,7 +6,8 @@ candidates. These are split by hash into shards of about SHARD, and each shard g
 the places that one key alone takes, level by level, and the rank of a key's bit is its slot; the keys stand in the order of
 their slots. The texts' map tasks then send candidates with counts to the shards, where bounded numbers of them are looked up,
 compared with the stored key (all else is dropped), and added up with bincount into an array over the slots; these arrays are
-summed in a tree of fan-in FAN. Cuts ask the shards of their parts and read l and r by slot.
+summed in a tree of fan-in FAN. A candidate's words come from the first task that has met it. Cuts ask the shards of their
+parts and read l and r by slot.
 
 Neither candidates nor counts are ever broadcast: only Bits (8 MB) are, for a first test in map tasks. Phrases are told apart
 by 64-bit hashes over language and words: two of n share one with a chance of about n * n / 2 ** 65. Scores are exact for
@@ -125,17 +126,21 @@ def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
 
 
 def mined(texts: DataFrame, k: int, lower: DataFrame | None) -> DataFrame:
-    """key, salt and n of all phrases of k words whose parts of k - 1 words may be in lower (column key)."""
+    """key and n of all phrases of k words whose parts of k - 1 words may be in lower (column key).
+
+    With the salt of words, and of longer phrases the first task that has met them.
+    """
     test = Bits(lower, "key").test() if lower is not None else None
-    schema = pa.schema([("key", pa.int64()), ("salt", pa.int64()), ("n", pa.int64())])
+    names = ["key", "n", "salt" if k == 1 else "task"]
+    schema = pa.schema([(c, pa.int64()) for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = Sums()
+        sums, task = Sums(), TaskContext.get().partitionId()
 
         def sent() -> Iterator[pa.RecordBatch]:
-            key, n, salt = sums.take() or [np.zeros(0, np.uint64)] * 3
-            if len(key):
-                yield batch_of(schema, key.view(np.int64), salt.view(np.int64), n.astype(np.int64))
+            if (all_ := sums.take()) is not None:
+                rest = [] if k == 1 else [np.full(len(all_[0]), task)]
+                yield batch_of(schema, *[x.view(np.int64) for x in (*all_, *rest)])
 
         for w in words_of(batches):
             begin, key = w.phrases(k)
@@ -145,12 +150,19 @@ def mined(texts: DataFrame, k: int, lower: DataFrame | None) -> DataFrame:
                 may[where] = test(part)
                 good = may[begin] & may[begin + 1]
                 begin, key = begin[good], key[good]
-            sums.add(key, w.salt[begin])
+            sums.add(key, *([w.salt[begin]] if k == 1 else []))
             if sums.full():
                 yield from sent()
         yield from sent()
 
-    return texts.mapInArrow(run, "key long, salt long, n long").groupBy("key", "salt").agg(F.sum("n").alias("n"))
+    rows = texts.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    if k == 1:
+        return rows.groupBy("key", "salt").agg(F.sum("n").alias("n"))
+    return rows.groupBy("key").agg(F.sum("n").alias("n"), F.min("task").alias("task"))
+
+
+#: Bits by which a task's number is moved before it is mixed into a key.
+_TASK = 44
 
 
 class Slots:
@@ -234,38 +246,68 @@ def loaded(model: pa.Table) -> Slots:
     return Slots(bits, sizes, _array(model["keys"][0]))
 
 
-def sent_counts(texts: DataFrame, candidates: DataFrame, bits: int) -> DataFrame:
-    """shard, rank of the row among its task's, and arrays of the keys met that may be candidates, their counts and words."""
+def sent_counts(texts: DataFrame, candidates: DataFrame, bits: int, all_send: bool = False) -> DataFrame:
+    """shard, row (a number of its own), and arrays of keys met that may be candidates, with their counts or with their words.
+
+    A map task sends counts once they fill its memory and at its end, and the words of a key when it first meets it, if it is
+    the task that the candidates name for the key (all_send: every task does).
+    """
     test = Bits(candidates, "key").test()
-    schema = pa.schema([("shard", pa.int64()), ("row", pa.int64()), ("size", pa.int64()), *[(c, pa.binary()) for c in ("key", "n", "words")]])
+    named = candidates.select(F.col("key").bitwiseXOR(F.shiftleft("task", _TASK)).alias("key"))
+    mine = None if all_send else Bits(named, "key").test()
+    schema = pa.schema([("shard", pa.int64()), ("row", pa.int64()), *[(c, pa.binary()) for c in ("key", "n", "words")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, row = Sums(), TaskContext.get().partitionId() << 32
+        sums, row, seen = Sums(), TaskContext.get().partitionId() << 32, np.zeros(0, np.uint64)
 
-        def sent() -> Iterator[pa.RecordBatch]:
+        def dealt(key: np.ndarray, n: np.ndarray | None, words: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+            """One row a shard; keys are sorted."""
             nonlocal row
-            if (all_ := sums.take()) is None:
+            if not len(key):
                 return
-            key, n, *words = all_
             shard = key >> np.uint64(64 - bits) if bits else np.zeros(len(key), np.uint64)
-            cuts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(key) else []
+            cuts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
             for a, b in zip(cuts, [*cuts[1:], len(key)], strict=True):
-                own = np.stack([w[a:b] for w in words])
-                yield batch_of(schema, [int(shard[a])], [row], [b - a], [_bytes(key[a:b])], [_bytes(n[a:b])], [_bytes(own)])
+                yield batch_of(schema, [int(shard[a])], [row], [_bytes(key[a:b])], [_bytes(n[a:b]) if n is not None else b""], [_bytes(words[:, a:b]) if words is not None else b""])
                 row += 1
 
+        def sent() -> Iterator[pa.RecordBatch]:
+            if (all_ := sums.take()) is not None:
+                yield from dealt(all_[0], all_[1].astype(np.int64), None)
+
+        def met(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            nonlocal seen
+            key, first = np.unique(np.concatenate([k for k, _ in held]), return_index=True)
+            words = np.concatenate([x for _, x in held], axis=1)[:, first]
+            yield from dealt(key, None, words)
+            seen = np.union1d(seen if len(seen) < 4 * HELD else seen[:0], key)
+
+        new, size = [], 0
         for w in words_of(batches):
             for k in (1, 2, 3):
                 begin, key = w.phrases(k)
                 may = test(key)
                 begin, key = begin[may], key[may]
-                none = np.zeros(len(key), np.uint64)
-                sums.add(key, w.salt[begin], *[w.key[begin + i] if i < k else none for i in range(3)])
+                sums.add(key)
+                if k > 1:
+                    key, first = np.unique(key, return_index=True)
+                    at = np.minimum(np.searchsorted(seen, key), max(len(seen) - 1, 0))
+                    fresh = seen[at] != key if len(seen) else np.ones(len(key), bool)
+                    if mine is not None:
+                        fresh &= mine(key ^ np.uint64(TaskContext.get().partitionId() << _TASK))
+                    key, begin = key[fresh], begin[first[fresh]]
+                    new.append((key, np.stack([w.salt[begin], *[w.key[begin + i] if i < k else np.zeros(len(key), np.uint64) for i in range(3)]])))
+                    size += len(key)
+            if size > HELD // 4:
+                yield from met(new)
+                new, size = [], 0
             if sums.full():
                 yield from sent()
+        if size:
+            yield from met(new)
         yield from sent()
 
-    return texts.mapInArrow(run, "shard long, row long, size long, key binary, n binary, words binary")
+    return texts.mapInArrow(run, "shard long, row long, key binary, n binary, words binary")
 
 
 def with_copies(model: DataFrame, groups: DataFrame) -> DataFrame:
@@ -274,11 +316,12 @@ def with_copies(model: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).drop("groups")
 
 
-def added_up(sent: DataFrame, model: DataFrame, work: Scratch) -> DataFrame:
-    """shard, and arrays over its slots: n (counts) and words (salt and the keys of up to three words)."""
-    groups = sent.groupBy("shard").agg(F.ceil(F.sum("size") / ASKED).alias("groups"))
-    groups = work.write(groups, "groups")
-    most = groups.agg(F.max("groups")).first()[0] or 0
+def added_up(sent: DataFrame, model: DataFrame, most: int) -> DataFrame:
+    """shard, and arrays over its slots: n (counts) and words (salt and the keys of up to three words).
+
+    most: groups that a shard's rows are dealt to.
+    """
+    groups = model.select("shard", F.lit(most).cast("long").alias("groups"))
     out = "shard long, group long, n binary, words binary"
     schema = pa.schema([("shard", pa.int64()), ("group", pa.int64()), ("n", pa.binary()), ("words", pa.binary())])
 
@@ -288,9 +331,10 @@ def added_up(sent: DataFrame, model: DataFrame, work: Scratch) -> DataFrame:
         for i in range(rows.num_rows):
             at = slots(_array(rows["key"][i]))
             true = at >= 0
-            at = at[true]
-            total += np.bincount(at, _array(rows["n"][i], np.int64)[true], len(total)).astype(np.int64)
-            words[:, at] = _array(rows["words"][i]).reshape(4, -1)[:, true]
+            if len(n := _array(rows["n"][i], np.int64)):
+                total += np.bincount(at[true], n[true], len(total)).astype(np.int64)
+            else:
+                words[:, at[true]] = _array(rows["words"][i]).reshape(4, -1)[:, true]
         return pa.table([[key[0].as_py()], [key[1].as_py()], [_bytes(total)], [_bytes(words)]], schema=schema)
 
     def summed(key: tuple, rows: pa.Table) -> pa.Table:
@@ -298,7 +342,7 @@ def added_up(sent: DataFrame, model: DataFrame, work: Scratch) -> DataFrame:
         words = np.maximum.reduce([_array(x) for x in rows["words"]])
         return pa.table([[key[0].as_py()], [key[1].as_py()], [_bytes(total)], [_bytes(words)]], schema=schema)
 
-    dealt = sent.join(groups, "shard").withColumn("group", F.pmod(F.xxhash64("row"), F.col("groups"))).drop("groups")
+    dealt = sent.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(most)))
     rows = dealt.groupBy("shard", "group").cogroup(with_copies(model, groups).groupBy("shard", "group")).applyInArrow(count, out)
     while most > 1:
         rows = rows.withColumn("group", F.floor(F.col("group") / FAN)).groupBy("shard", "group").applyInArrow(summed, out)
@@ -318,7 +362,7 @@ def counted_rows(model: DataFrame, counts: DataFrame) -> DataFrame:
                 salt, *w = _array(batch.column(2)[i]).reshape(4, -1)
                 many = a >= MIN_COUNT
                 key, a, salt, w1, w2, w3 = (x[many] for x in (key, a, salt, *w))
-                words = 1 + (w2 != 0).astype(np.int64) + (w3 != 0)
+                words = 1 + (w2 != 0).astype(np.int64) + (w3 != 0)  # a single word has no entry at all
                 yield batch_of(schema, key.view(np.int64), a, salt.view(np.int64), words, *[x.view(np.int64) for x in (w1, w2, w3, pair(w1, w2), pair(w2, w3))])
 
     rows = model.join(counts, "shard").select("keys", "n", "words")
@@ -392,17 +436,30 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", top: i
     names = work.write(docs.select(lang.alias("lang"), F.xxhash64(lang).alias("salt")).distinct(), "languages")
     words = work.write(mined(texts, 1, None), "words")
     size = work.write(words.groupBy("salt").agg(F.sum("n").alias("n")), "size")
-    frequent = lambda df, name: work.write(df.filter(F.col("n") >= MIN_COUNT).select("key"), name)
-    one = frequent(words, "frequent-1")
-    two = frequent(mined(texts, 2, one), "frequent-2")
-    three = frequent(mined(texts, 3, two), "frequent-3")
-    candidates = work.write(one.unionByName(two).unionByName(three).distinct(), "candidates")
-    bits = max(0, (candidates.count() // SHARD).bit_length())
-    model = work.write(functions(candidates, bits), "functions")
-    sent = work.write(sent_counts(texts, candidates, bits), "sent")
-    counts = work.write(added_up(sent, model, work), "counts")
-    work.drop("words", "frequent-1", "frequent-2", "frequent-3", "sent")
-    rows = work.write(counted_rows(model, counts), "rows").filter("words > 1")
+
+    def frequent(df: DataFrame, k: int) -> DataFrame:
+        task = F.lit(-1).cast("long").alias("task") if k == 1 else "task"
+        out = work.write(df.filter(F.col("n") >= MIN_COUNT).select("key", task), f"frequent-{k}")
+        work.release()
+        return out
+
+    one = frequent(words, 1)
+    two = frequent(mined(texts, 2, one), 2)
+    three = frequent(mined(texts, 3, two), 3)
+    candidates = work.write(one.unionByName(two).unionByName(three), "candidates")
+    found, phrases = candidates.count(), two.count() + three.count()
+    bits = max(0, (found // SHARD).bit_length())
+    # A map task sends a shard about as many keys as it has, twice, at most.
+    most = max(1, -(-2 * texts.rdd.getNumPartitions() * (found >> bits) // ASKED))
+    model = work.write(functions(candidates.select("key").distinct(), bits), "functions")
+    for all_send in (False, True):
+        counts = work.write(added_up(sent_counts(texts, candidates, bits, all_send), model, most), "counts")
+        rows = work.write(counted_rows(model, counts), "rows").filter("words > 1")
+        if rows.count() >= phrases:
+            break  # else the input wasn't dealt to the tasks as before, and words are missing
+        work.drop("counts", "rows")
+    work.drop("words", "frequent-1", "frequent-2", "frequent-3", "candidates")
+    work.release()
     cuts = [("w1", 0), (F.when(F.col("words") == 2, F.col("w2")).otherwise(F.col("right")), 1), ("left", 2), ("w3", 3)]
     struct = lambda c, i: F.struct((F.col(c) if isinstance(c, str) else c).alias("key"), F.lit(i).alias("place"))
     ask = F.when(F.col("words") == 2, F.array(*[struct(c, i) for c, i in cuts[:2]])).otherwise(F.array(*[struct(c, i) for c, i in cuts]))
