@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from chatlake.functions import text as X
 from chatlake.operators import archive as A
 from chatlake.operators import evaluation as E
-from chatlake.operators import facts, policy, postings, retrieval, selection
+from chatlake.operators import facts, policy, retrieval, selection
 from chatlake.operators import semantic as V
 from chatlake.plans import queries as Q
+from chatlake.plans.stored import rows_of
 from chatlake.operators.scratch import folder
 from chatlake.streaming import limiter
 
@@ -98,10 +99,7 @@ def search_page2_cursor(spark, d):
 
 def search_by_candidates(spark, d):
     """all_terms search over only those messages that the index finds to hold both words."""
-    m, words = Q.messages(spark, d), ["the", "and"]
-    rows = Q.token_index(spark, d).filter(F.col("token").isin(*words))
-    rarest = min([r["n"] for r in rows.groupBy("token").agg(F.sum("n").alias("n")).collect()], default=0)
-    found = Q.by_numbers(m, postings.holding_all(rows, words, several=False), rarest)
+    found = Q.by_numbers(Q.messages(spark, d), Q.token_index(spark, d), ["the", "and"], rows_of(spark, d, "messages"))
     return Q.hits(A.search(found, "the and", "all_terms"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from chatlake.operators import archive as A
 from chatlake.operators import rules as R
 from chatlake.operators import semantic as V
 from chatlake.operators import facts, postings
-from chatlake.plans.stored import stored
+from chatlake.plans.stored import rows_of, stored
 from chatlake.sources.exports import speaker
 
 QUERY_VECTOR = [round(((i * 37) % 19 - 9) / 40, 4) for i in range(64)]
@@ -40,9 +42,20 @@ def token_index(spark: SparkSession, d: str) -> DataFrame:
     return stored(spark, d, "conversations", "token_index", build, ["token", "block"])
 
 
-def by_numbers(rows: DataFrame, docs: DataFrame, most: int | None = None) -> DataFrame:
-    """The rows of the numbered messages. most: how many there are at most, as the rarest token tells; few are broadcast."""
-    return rows.join(F.broadcast(docs) if most is not None and most * 8 <= 32 << 20 else docs, "doc", "left_semi")
+#: Bytes of message numbers that a query broadcasts.
+NUMBERS = 32 << 20
+
+
+def by_numbers(rows: DataFrame, index: DataFrame, words: Sequence[str], most: int) -> DataFrame:
+    """The messages that hold all words, by their numbers from the index.
+
+    most: rows there are at all. If so many numbers may not be broadcast, the rarest word's frequency tells whether these may.
+    """
+    held = index.filter(F.col("token").isin(*words))
+    docs = postings.holding_all(held, words, several=False)
+    if most * 8 > NUMBERS:
+        most = min([r["n"] for r in held.groupBy("token").agg(F.sum("n").alias("n")).collect()], default=0)
+    return rows.join(F.broadcast(docs) if most * 8 <= NUMBERS else docs, "doc", "left_semi")
 
 
 MESSAGES = """m AS (SELECT 'chatgpt:driver:' || conv_id || '-' || turn AS event_id, conv_id AS conversation, turn AS position,
@@ -184,9 +197,8 @@ def bigram_jaccard_pairs(spark, d):
 
 def token_index_prefilter(spark, d):
     """Events by the index alone: the texts aren't read."""
-    m = messages(spark, d)
-    found = postings.holding_all(token_index(spark, d).filter(F.col("token").isin("the", "and")), ["the", "and"], several=False)
-    return by_numbers(m.select("event_id", "doc"), found).select("event_id")
+    m = messages(spark, d).select("event_id", "doc")
+    return by_numbers(m, token_index(spark, d), ["the", "and"], rows_of(spark, d, "messages")).select("event_id")
 
 
 def chunk_spans(spark, d):

@@ -5,14 +5,14 @@ from __future__ import annotations
 import atexit
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from chatlake.operators.scratch import delete, folder
 
 PART = 64 << 20
-#: By application, source and name: what the source was like, and the table made of it.
-_made: dict[tuple[str, str, str], tuple[object, DataFrame]] = {}
+#: By application, source and name: what the source was like, the table made of it, and its rows.
+_made: dict[tuple[str, str, str], tuple[object, DataFrame, int]] = {}
 
 
 def state_of(spark: SparkSession, path: str) -> tuple:
@@ -42,7 +42,13 @@ def stored(spark: SparkSession, source: str, table: str, name: str, build: Calla
             parts = max(spark.sparkContext.defaultParallelism, sum(size for _, size, _ in state) // PART)
             df = df.repartitionByRange(parts, *by).sortWithinPartitions(*by)
         df = df.withColumn(number, F.monotonically_increasing_id()) if number else df
-        df.write.parquet(path)
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
         atexit.register(delete, spark, path)
-        _made[key] = (state, spark.read.schema(df.schema).parquet(path))
+        _made[key] = (state, spark.read.schema(df.schema).parquet(path), seen.get["n"])
     return _made[key][1]
+
+
+def rows_of(spark: SparkSession, source: str, name: str) -> int:
+    """Rows of a table that stored() has made, as counted when it was written."""
+    return _made[spark.sparkContext.applicationId, source, name][2]
