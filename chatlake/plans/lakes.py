@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chatlake.operators import claims, closure, facts, ivf, postings, retrieval, store, vectors
+from chatlake.operators import claims, cleaning, closure, facts, ivf, postings, retrieval, store, vectors
 from chatlake.operators import semantic as V
 from chatlake.plans import queries as Q
 from chatlake.sources import archives, exports
@@ -306,7 +306,20 @@ def claims_stored(spark: SparkSession, d: str) -> DataFrame:
     return held.state().join(proofs, "claim_id").select(F.md5(F.lower("content")).alias("content"), "run", "status", "evidence")
 
 
-NAMES = """lake_timeline lake_context lake_status claims_checked claims_stored reached_turns archive_read vectors_updated lake_import lake_index lake_search_by_index policy_source_reimport policy_event_reimport hybrid_pages lake_restored ivf_exact
+def lake_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """What of three tools' conversations, a third of which begin with a mark of theirs, is left once the rules were applied."""
+    lake, names = _lake(spark), ("codex", "claude", "dsh")
+    marked = Q._marked(spark, d).select("event_id", F.col("text").alias("marked"))
+    rows = nodes(spark, d).join(marked, "event_id").withColumn("text", F.col("marked")).drop("marked")
+    for i, name in enumerate(names):
+        store.publish(lake, rows.filter(F.col("conversation").cast("long") % 3 == i), "chatgpt", name, "first", NOW)
+    cleaning.apply(lake, folder(spark), NOW)
+    if cleaning.apply(lake, folder(spark), NOW)["events"]:
+        raise ValueError("something was left")
+    return lake.messages().select("event_id")
+
+
+NAMES = """lake_cleaned lake_timeline lake_context lake_status claims_checked claims_stored reached_turns archive_read vectors_updated lake_import lake_index lake_search_by_index policy_source_reimport policy_event_reimport hybrid_pages lake_restored ivf_exact
 ivf_recall""".split()
 QUERIES = {name: globals()[name] for name in NAMES}
 _M = f"WITH {Q.MESSAGES}"
@@ -314,6 +327,10 @@ _EVENT = "'chatgpt:{0}:driver:' || conversation || '-' || position"
 _WORDS = "list_distinct(regexp_extract_all(s, '[\\p{L}\\p{N}]+'))"
 _FAR = "list_sum([(v.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE) ** 2 FOR i IN range(1, 65)])"
 SQL = {
+    "lake_cleaned": """WITH m AS (SELECT conv_id, turn, role, CASE WHEN turn = 0 THEN CASE WHEN conv_id % 18 = 1 THEN 'command_name_block' WHEN conv_id % 9 = 0 THEN 'codex_agents_md' WHEN conv_id % 9 = 2 THEN 'dsh_runtime_context' END END AS own,
+  bool_or(turn = 0 AND conv_id % 9 = 3 AND role = 'user') OVER (PARTITION BY conv_id) AS session FROM conversations)
+ SELECT 'chatgpt:' || CASE conv_id % 3 WHEN 0 THEN 'codex' WHEN 1 THEN 'claude' ELSE 'dsh' END || ':' || conv_id || '-' || turn AS event_id
+ FROM m WHERE NOT (role = 'user' AND (session OR own IS NOT NULL))""",
     "lake_timeline": f"""{_M}, t AS (SELECT CAST(created_at + INTERVAL 8 HOUR AS DATE) AS day, CAST(conversation AS VARCHAR) AS conversation, count(*) AS n,
   count(*) FILTER (WHERE speaker = 'owner') AS n_owner, max(created_at) AS last_at, arg_min(text, (created_at, event_id)) FILTER (WHERE speaker = 'owner') AS line FROM m GROUP BY ALL),
  r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY last_at DESC, conversation) AS rank, count(*) OVER (PARTITION BY day) AS k FROM t)

@@ -342,3 +342,21 @@ def test_jobs_hold_what_they_name(spark, lake):
     content = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
     assert content == job and content["tables"]["revisions"]["rows"] == 1
     assert policy.epoch_of(lake.table("policy")) == lake.epoch() == 1
+
+
+def test_cleaning_is_applied_after_a_backup(spark, lake, tmp_path, monkeypatch):
+    from chatlake.operators import cleaning
+
+    put(spark, lake, talk("codex-1", ["# AGENTS.md instructions\nx", "mine"], "codex") + talk("b", ["# AGENTS.md instructions"], "codex"), "s0", "codex")
+    put(spark, lake, talk("c", ["# AGENTS.md instructions"], "me"), "s0")  # of no tool
+    assert sorted(r.rule for r in cleaning.planned(lake).collect()) == ["codex_agents_md"] * 2
+    monkeypatch.setattr(store, "backup_check", lambda *_: False)
+    with pytest.raises(RuntimeError, match="sound"):
+        cleaning.apply(lake, str(tmp_path / "first"), T0)
+    assert len(seen(lake)) == 4
+    monkeypatch.undo()
+    done = cleaning.apply(lake, str(tmp_path / "second"), T0)
+    assert done["events"] == 2 and len(seen(store.Lake(spark, done["backup"]))) == 4
+    assert [e for e, _ in seen(lake)] == ["c-0", "codex-1-1"]
+    assert {r.reason for r in lake.policy().filter("not available").collect()} == {"cleaned: codex_agents_md"}
+    assert cleaning.apply(lake, str(tmp_path / "third"), T0) == {"events": 0, "backup": None}
