@@ -18,6 +18,18 @@ from pyspark.sql.types import ArrayType, StructField, StructType
 from chatlake.functions.text import first_at, normal, occurrences
 
 
+def lets_through(scopes: Sequence[str] | None = None, deny: Sequence[str] = (), classified: bool = False) -> Column:
+    """Whether the columns scopes and sensitivity pass the limits of visible()."""
+    none, out = F.array().cast("array<string>"), F.lit(True)
+    if classified:
+        out = out & (F.size(F.coalesce("scopes", none)) + F.size(F.coalesce("sensitivity", none)) > 0)
+    if scopes is not None:
+        out = out & F.coalesce(F.arrays_overlap("scopes", F.array(*map(F.lit, scopes)).cast("array<string>")), F.lit(False))
+    if deny:
+        out = out & ~F.coalesce(F.arrays_overlap("sensitivity", F.array(*map(F.lit, deny))), F.lit(False))
+    return out
+
+
 def visible(messages: DataFrame, policy: DataFrame | None = None, withdrawn: DataFrame | None = None, scopes: Sequence[str] | None = None, deny: Sequence[str] = (), classified: bool = False, key: str = "revision_id") -> DataFrame:
     """Messages that current policy lets through. policy: key, available, scopes, sensitivity, one row for each key.
 
@@ -30,14 +42,7 @@ def visible(messages: DataFrame, policy: DataFrame | None = None, withdrawn: Dat
         out = out.join(withdrawn.select("source").distinct(), "source", "left_anti")
     if policy is None:
         return out.filter(F.lit(False)) if classified or scopes is not None else out
-    rows = policy.filter("available")
-    none = F.array().cast("array<string>")
-    if classified:
-        rows = rows.filter(F.size(F.coalesce("scopes", none)) + F.size(F.coalesce("sensitivity", none)) > 0)
-    if scopes is not None:
-        rows = rows.filter(F.coalesce(F.arrays_overlap("scopes", F.array(*map(F.lit, scopes)).cast("array<string>")), F.lit(False)))
-    if deny:
-        rows = rows.filter(~F.coalesce(F.arrays_overlap("sensitivity", F.array(*map(F.lit, deny))), F.lit(False)))
+    rows = policy.filter("available").filter(lets_through(scopes, deny, classified))
     return out.join(rows.select(key), key, "left_semi")
 
 

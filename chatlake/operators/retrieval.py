@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from chatlake.functions.text import bigrams_of, cjk_runs, mask_credentials, masked_text, normal, normal_map
-from chatlake.operators import archive, ids, policy, postings, semantic
+from chatlake.operators import archive, ids, partials, policy, postings, semantic
 from chatlake.operators.store import Lake
 
 ORDERS, MODES = ("chronological", "reverse", "relevance"), ("literal", "all_terms")
@@ -95,12 +95,6 @@ def behind(keys: Sequence[tuple[Column, bool]], values: Sequence[object]) -> Col
     return out
 
 
-def coverage(messages: DataFrame) -> dict:
-    """First and last known time of what is visible, whatever else is asked for."""
-    r = messages.agg(F.min("created_at").alias("first"), F.max("created_at").alias("last")).first()
-    return {"first": r["first"], "last": r["last"]}
-
-
 def envelope(results: list[dict], truncated: bool, cursor: str | None, covered: dict, warnings: Sequence[str] = ()) -> dict:
     return {"results": results, "truncated": truncated, "next_cursor": cursor, "coverage": covered, "warnings": list(dict.fromkeys(warnings))}
 
@@ -127,15 +121,30 @@ def hits(lake: Lake, messages: DataFrame, query: str, mode: str = "literal", max
     return archive.search(messages, query, mode, **filters)
 
 
-def covered(lake: Lake, profile: dict | None, seen: DataFrame) -> dict:
-    """coverage() of what a profile sees, kept until the archive changes: every import and change of policy has a number."""
-    key = f"coverage {json.dumps(profile, sort_keys=True)}"
-    held = lake.opened.get(key)
-    if held is None or held[0] != lake.head():
-        held = lake.opened[key] = (lake.head(), coverage(seen))
+def by_source(lake: Lake, profile: dict | None) -> dict[str, tuple[int, datetime | None, datetime | None]]:
+    """Messages, first and last time by source that a profile sees, kept until messages or policy change.
+
+    Merged from partials; an archive with changes that have none is scanned.
+    """
+    key = f"by source {json.dumps(profile, sort_keys=True)}"
+    epoch, held = lake.epoch(), lake.opened.get(key)
+    if held is None or held[0] != epoch:
+        own = policy.profile_filters(profile) if profile else {}
+        if partials.complete(lake):
+            rows = partials.sources(lake, **own)
+        else:
+            times = [F.min("created_at").alias("first"), F.max("created_at").alias("last")]
+            rows = lake.messages(**own).groupBy("source_id").agg(F.count(F.lit(1)).alias("messages"), *times)
+        held = lake.opened[key] = (epoch, {r["source_id"]: (r["messages"], r["first"], r["last"]) for r in rows.collect()})
     return held[1]
 
 
+def covered(lake: Lake, profile: dict | None) -> dict:
+    """First and last known time of what a profile sees, whatever else is asked for."""
+    rows = by_source(lake, profile).values()
+    return {"first": min((a for _, a, _ in rows if a), default=None), "last": max((b for _, _, b in rows if b), default=None)}
+
+
 def search_history(
     lake: Lake,
     query: str,
@@ -198,7 +207,7 @@ def search_history(
     if any(x["redacted"] for x in results):
         warnings.append("credentials are masked")
     last = encode(list(page[-1]["_key"])) if more else None
-    return envelope(results, more, last, covered(lake, profile, seen), warnings) | {"total": counted["n"], "undated": counted["undated"]}
+    return envelope(results, more, last, covered(lake, profile), warnings) | {"total": counted["n"], "undated": counted["undated"]}
 
 
 #: Exact hits that take part in a fused ranking by their rank: five pages, and so many at most; others have exact only.
@@ -241,7 +250,7 @@ def recent_events(lake: Lake, now: datetime, days: int = 7, limit: int = 20, cur
     page = archive.recent(seen, now, days, limit + 1, after=after).collect()
     more, page = len(page) > limit, page[:limit]
     results = [{k: r[k] for k in ("event_id", "revision_id", "conversation", "speaker", "created_at", "text")} for r in page]
-    return envelope(results, more, encode([page[-1]["created_at"], page[-1]["event_id"]]) if more else None, covered(lake, profile, seen))
+    return envelope(results, more, encode([page[-1]["created_at"], page[-1]["event_id"]]) if more else None, covered(lake, profile))
 
 
 def get_event(lake: Lake, event: str, radius: int = 2, text_offset: int = 0, text_limit: int = 4000, profile: dict | None = None, redact: bool = False) -> dict:
@@ -343,7 +352,7 @@ def recall(lake: Lake, query: str, mode: str = "literal", max_snippets: int = 5,
         times = [m["time"] for m in shown if m["time"]]
         snippets.append({"conversation": f["conversation"], "title": titles.get(f["conversation"], ""), "kind": f["kind"], "time_range": [min(times), max(times)] if times else [None, None], "messages": shown})
         used += size
-    out = envelope(snippets, dropped > 0, None, covered(lake, profile, seen), ["credentials are masked"] if masked else [])
+    out = envelope(snippets, dropped > 0, None, covered(lake, profile), ["credentials are masked"] if masked else [])
     return out | {"budget": {"used": used, "of": budget, "dropped": dropped}}
 
 
@@ -400,8 +409,7 @@ def show_event(lake: Lake, event: str) -> DataFrame:
 def brain_status(lake: Lake, profile: dict | None = None) -> dict:
     """Visible coverage, messages by source, the last import and whether any import was partial or failed."""
     lake = lake.snapshot()
-    seen = lake.messages(**(policy.profile_filters(profile) if profile else {}))
-    by = {r["source_id"]: r["count"] for r in seen.groupBy("source_id").count().collect()}
+    by = {source: n for source, (n, _, _) in by_source(lake, profile).items()}
     jobs = [j for j in lake.jobs() if j["kind"] == "import"]
     warnings = [f"an import is {s}" for s in ("partial", "failed") if any(j["status"] == s for j in jobs)]
-    return {"coverage": covered(lake, profile, seen), "sources": by, "last_import": max((j["at"] for j in jobs), default=None), "warnings": warnings}
+    return {"coverage": covered(lake, profile), "sources": by, "last_import": max((j["at"] for j in jobs), default=None), "warnings": warnings}

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatlake.functions.text import has_credentials, normalize
-from chatlake.operators import ids, policy, postings
+from chatlake.operators import ids, partials, policy, postings
 from chatlake.operators.archive import current_policy, current_revision, selected_path, visible
 from chatlake.operators.commits import Log
 
@@ -31,6 +31,8 @@ SCHEMAS = {
     "sources": policy.SOURCES,
     "postings": postings.SCHEMA,
 }
+#: Tables that are made of others: summaries of the policy log, and partial aggregates.
+DERIVED = {"policy_state": policy.SCHEMA, "partials": partials.SCHEMA}
 #: Changes of policy after which the log is summed up by the next import.
 COMPACT = 16
 
@@ -39,12 +41,12 @@ class Lake(Log):
     def table(self, name: str, after: int = 0) -> DataFrame:
         """All rows of a table, or those of changes after a number."""
         paths = self.folders(name, after)
-        schema = policy.SCHEMA if name == "policy_state" else SCHEMAS[name]
+        schema = (SCHEMAS | DERIVED)[name]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def rows(self, name: str, columns: Sequence[str] | None = None) -> dict[str, Column]:
         """The casts that give a table's columns from columns of the same names."""
-        fields = self.spark.createDataFrame([], SCHEMAS.get(name, policy.SCHEMA)).schema
+        fields = self.spark.createDataFrame([], (SCHEMAS | DERIVED)[name]).schema
         return [F.col(f.name).cast(f.dataType) for f in fields if columns is None or f.name in columns]
 
     def docs(self) -> int:
@@ -58,7 +60,9 @@ class Lake(Log):
         covered = max((j["covers"] for j in self.jobs() if "covers" in j), default=0)
         later = self.parts("policy", covered)
         tail = self.table("policy", covered)
-        tail = current_policy(tail) if len(later) > 1 else tail.drop("version")
+        # an import has one row a revision; a backup holds the whole log in one change
+        single = len(later) == 1 and later[0][0]["kind"] == "import"
+        tail = tail.drop("version") if single else current_policy(tail)
         if not covered:
             return tail
         state = self.table("policy_state").drop("version")
@@ -217,6 +221,7 @@ def _published(lake: Lake, nodes: DataFrame, kind: str, namespace: str, now: dat
         gone = gone.unionByName(withdrawn.select("event_id", "source_id"))
     first = policy.initial(new, job["seq"], at, gone)
     tables = {"conversations": conversations, "nodes": placed, "revisions": new, "occurrences": occurrences, "policy": first}
+    tables["partials"] = partials.added(new, first, job["seq"])
     tables = {t: df.select(*lake.rows(t)) for t, df in tables.items()}
     buckets = postings.buckets_for(n)
     return {"docs": n, "indexed": n, "index_buckets": buckets}, tables | {"postings": postings.postings(new, buckets)}
@@ -225,9 +230,15 @@ def _published(lake: Lake, nodes: DataFrame, kind: str, namespace: str, now: dat
 # Changes of policy.
 
 
+def _policy_tables(base: Lake, rows: DataFrame, seq: int) -> dict[str, DataFrame]:
+    """The policy rows of a change, and the partials of the cells that it touches."""
+    rows = rows.select(*base.rows("policy"))
+    return {"policy": rows, "partials": partials.touched(base, rows, seq).select(*base.rows("partials"))}
+
+
 def change_policy(lake: Lake, rows: DataFrame, now: datetime, what: str) -> dict:
     """Appends policy rows that the caller has made as a job of their own."""
-    return lake.change(lambda base, _: ({}, {"policy": rows.select(*base.rows("policy"))}), what, now)
+    return lake.change(lambda base, job: ({}, _policy_tables(base, rows, job["seq"])), what, now)
 
 
 def withdraw_source(lake: Lake, source: str, now: datetime) -> dict | None:
@@ -241,14 +252,18 @@ def withdraw_source(lake: Lake, source: str, now: datetime) -> dict | None:
             return None
         rows = policy.withdraw(base.policy(), own, job["seq"], now, "source", source=source)
         mark = base.spark.createDataFrame([(source, job["seq"], True, now, "withdrawn")], policy.SOURCES)
-        return {}, {"policy": rows.select(*base.rows("policy")), "sources": mark}
+        return {}, _policy_tables(base, rows, job["seq"]) | {"sources": mark}
 
     return lake.change(build, "withdraw", now)
 
 
 def withdraw_events(lake: Lake, events: DataFrame, now: datetime) -> dict:
     """Withdraws the available revisions of a table of event_id and reason."""
-    build = lambda base, job: ({}, {"policy": policy.withdraw(base.policy(), base.table("revisions"), job["seq"], now, events=events).select(*base.rows("policy"))})
+
+    def build(base: Lake, job: dict) -> tuple[dict, dict[str, DataFrame]]:
+        rows = policy.withdraw(base.policy(), base.table("revisions"), job["seq"], now, events=events)
+        return {}, _policy_tables(base, rows, job["seq"])
+
     return lake.change(build, "withdraw", now)
 
 
@@ -257,18 +272,24 @@ def label(lake: Lake, now: datetime, scopes: Sequence[str], sensitivity: Sequenc
 
     def build(base: Lake, job: dict) -> tuple[dict, dict[str, DataFrame]]:
         rows = policy.relabel(base.policy(), base.table("revisions"), job["seq"], now, scopes, sensitivity, event, source)
-        return {}, {"policy": rows.select(*base.rows("policy"))}
+        return {}, _policy_tables(base, rows, job["seq"])
 
     return lake.change(build, "label", now)
 
 
 def compact(lake: Lake, now: datetime) -> dict | None:
-    """Sums the policy log up to here: one row a revision, which readers take in place of the log."""
+    """Sums the policy log up to here: one row a revision, which readers take in place of the log; the partials likewise.
+
+    Partials that are there are merged by cell; if an older change has none, all are made from the revisions.
+    """
 
     def build(base: Lake, job: dict) -> tuple[dict, dict[str, DataFrame]]:
         old = [j["attempt"] for j, _ in base.parts("policy_state")]
         rows = base.policy().withColumn("version", F.lit(base.head()).cast("long")).select(*base.rows("policy"))
-        return {"covers": base.head(), "drops": {"policy_state": old}}, {"policy_state": rows.sort("revision_id")}
+        parts = [j["attempt"] for j, _ in base.parts("partials")]
+        whole = partials.summed(base, job["seq"]).select(*base.rows("partials"))
+        more = {"covers": base.head(), "partials": base.head(), "drops": {"policy_state": old, "partials": parts}}
+        return more, {"policy_state": rows.sort("revision_id"), "partials": whole}
 
     return lake.change(build, "compact", now)
 
@@ -321,7 +342,7 @@ _SUMS = "name string, file string, rows long, hash decimal(38,0)"
 def file_sums(lake: Lake) -> DataFrame:
     """name, file, rows and an order-free sum of the rows' hashes of each file of each table."""
     out = None
-    for name in (*SCHEMAS, "policy_state"):
+    for name in (*SCHEMAS, *DERIVED):
         if lake.parts(name):
             df = lake.table(name)
             file = F.regexp_replace(F.input_file_name(), r"^.*/data/", "")
@@ -342,7 +363,7 @@ def backup(lake: Lake, folder: str, now: datetime) -> dict:
     if target.listed(""):
         raise FileExistsError(target.root)
     for job in state.jobs():
-        target.commit({k: v for k, v in job.items() if k not in ("tables", "drops", "covers", "docs", "indexed")})
+        target.commit({k: v for k, v in job.items() if k not in ("tables", "drops", "covers", "partials", "docs", "indexed")})
 
     def build(base: Lake, job: dict) -> tuple[dict, dict[str, DataFrame]]:
         tables = {name: state.table(name) for name in SCHEMAS if state.parts(name) and name != "postings"}
@@ -350,7 +371,7 @@ def backup(lake: Lake, folder: str, now: datetime) -> dict:
         more = {"docs": n, "indexed": n, "index_buckets": postings.buckets_for(n)}
         if state.parts("postings"):
             tables["postings"] = postings.merged(state.table("postings"), postings.buckets_for(n))
-        return more, tables
+        return more, tables | {"partials": partials.summed(state, job["seq"]).select(*state.rows("partials"))}
 
     target.change(build, "backup", now)
     file_sums(target).select("name", "file", "rows", "hash").write.parquet(f"{target.root}/manifest")

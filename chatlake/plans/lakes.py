@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chatlake.operators import claims, cleaning, closure, facts, ivf, postings, retrieval, store, vectors
+from chatlake.operators import claims, cleaning, closure, facts, ivf, partials, postings, retrieval, store, vectors
 from chatlake.operators import semantic as V
 from chatlake.plans import queries as Q
 from chatlake.sources import archives, exports
@@ -271,6 +271,28 @@ def lake_status(spark: SparkSession, d: str) -> DataFrame:
     return store.counts(lake).filter("table <> 'postings'").unionByName(jobs)
 
 
+def lake_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Messages and times by source from partial aggregates, for two profiles, after changes of policy between four imports."""
+    lake, rows = _lake(spark), nodes(spark, d)
+    jobs = {"driver": store.publish(lake, of_remainder(rows, 0, 1), "chatgpt", "driver", "first", NOW)}
+    jobs["other"] = store.publish(lake, of_remainder(rows, 2), "chatgpt", "other", "first", NOW)
+    store.withdraw_events(lake, of_remainder(rows, 0, 1).filter("node = '1'").select("event_id", F.lit("asked for").alias("reason")), NOW)
+    store.label(lake, NOW, ["public"], [], source=jobs["driver"]["source_id"])
+    store.compact(lake, NOW)
+    store.publish(lake, of_remainder(edited(rows), 1, 3), "chatgpt", "driver", "second", NOW)
+    gone = store.publish(lake, of_remainder(rows, 0), "chatgpt", "gone", "first", NOW)
+    store.withdraw_source(lake, gone["source_id"], NOW)
+    state = lake.snapshot()
+    if not partials.complete(state):
+        raise ValueError("a change has written no partials")
+    names = spark.createDataFrame([(j["source_id"], n) for n, j in jobs.items()], "source_id string, source string")
+    every = partials.sources(state).withColumn("seen", F.lit("all"))
+    public = partials.sources(state, ["public"], classified=True).withColumn("seen", F.lit("public"))
+    time = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    found = every.unionByName(public).join(F.broadcast(names), "source_id", "left")
+    return found.select("seen", "source", "messages", time("first"), time("last"))
+
+
 def claims_checked(spark: SparkSession, d: str) -> DataFrame:
     """What is wrong with claims that quote the owner's messages, by conversation: five kinds of them."""
     m = Q.messages(spark, d).withColumn("kind", F.col("conversation") % 5)
@@ -319,7 +341,7 @@ def lake_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return lake.messages().select("event_id")
 
 
-NAMES = """lake_cleaned lake_timeline lake_context lake_status claims_checked claims_stored reached_turns archive_read vectors_updated lake_import lake_index lake_search_by_index policy_source_reimport policy_event_reimport hybrid_pages lake_restored ivf_exact
+NAMES = """lake_coverage lake_cleaned lake_timeline lake_context lake_status claims_checked claims_stored reached_turns archive_read vectors_updated lake_import lake_index lake_search_by_index policy_source_reimport policy_event_reimport hybrid_pages lake_restored ivf_exact
 ivf_recall""".split()
 QUERIES = {name: globals()[name] for name in NAMES}
 _M = f"WITH {Q.MESSAGES}"
@@ -327,6 +349,11 @@ _EVENT = "'chatgpt:{0}:driver:' || conversation || '-' || position"
 _WORDS = "list_distinct(regexp_extract_all(s, '[\\p{L}\\p{N}]+'))"
 _FAR = "list_sum([(v.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE) ** 2 FOR i IN range(1, 65)])"
 SQL = {
+    "lake_coverage": f"""{_M}, v AS (SELECT 'driver' AS source, true AS public, created_at FROM m WHERE conversation % 4 IN (0, 1) AND position <> 1
+ UNION ALL SELECT 'driver', false, created_at FROM m WHERE conversation % 4 = 3 OR (conversation % 4 = 1 AND position <> 1)
+ UNION ALL SELECT 'other', false, created_at FROM m WHERE conversation % 4 = 2)
+ SELECT seen, source, count(*) AS messages, strftime(min(created_at), '%Y-%m-%d %H:%M:%S') AS "first", strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS "last"
+ FROM v, (VALUES ('all'), ('public')) AS p(seen) WHERE seen = 'all' OR public GROUP BY seen, source""",
     "lake_cleaned": """WITH m AS (SELECT conv_id, turn, role, CASE WHEN turn = 0 THEN CASE WHEN conv_id % 18 = 1 THEN 'command_name_block' WHEN conv_id % 9 = 0 THEN 'codex_agents_md' WHEN conv_id % 9 = 2 THEN 'dsh_runtime_context' END END AS own,
   bool_or(turn = 0 AND conv_id % 9 = 3 AND role = 'user') OVER (PARTITION BY conv_id) AS session FROM conversations)
  SELECT 'chatgpt:' || CASE conv_id % 3 WHEN 0 THEN 'codex' WHEN 1 THEN 'claude' ELSE 'dsh' END || ':' || conv_id || '-' || turn AS event_id
