@@ -121,13 +121,20 @@ def hits(lake: Lake, messages: DataFrame, query: str, mode: str = "literal", max
     return archive.search(messages, query, mode, **filters)
 
 
-def by_source(lake: Lake, profile: dict | None) -> dict[str, tuple[int, datetime | None, datetime | None]]:
-    """Messages, first and last time by source that a profile sees, kept until messages or policy change.
+def coverage(sources: DataFrame) -> dict:
+    """First and last known time, and messages by source, of rows of source_id, messages, first and last."""
+    rows = sources.select("source_id", "messages", "first", "last").collect()
+    first, last = min((r["first"] for r in rows if r["first"]), default=None), max((r["last"] for r in rows if r["last"]), default=None)
+    return {"first": first, "last": last, "sources": {r["source_id"]: r["messages"] for r in rows}}
+
+
+def _coverage_of(lake: Lake, profile: dict | None) -> dict:
+    """coverage() of what a profile sees, kept until messages or policy change.
 
     Merged from partials; an archive with changes that have none is scanned.
     """
-    key = f"by source {json.dumps(profile, sort_keys=True)}"
-    epoch, held = lake.epoch(), lake.opened.get(key)
+    key, epoch = f"coverage {json.dumps(profile, sort_keys=True)}", lake.epoch()
+    held = lake.opened.get(key)
     if held is None or held[0] != epoch:
         own = policy.profile_filters(profile) if profile else {}
         if partials.complete(lake):
@@ -135,14 +142,19 @@ def by_source(lake: Lake, profile: dict | None) -> dict[str, tuple[int, datetime
         else:
             times = [F.min("created_at").alias("first"), F.max("created_at").alias("last")]
             rows = lake.messages(**own).groupBy("source_id").agg(F.count(F.lit(1)).alias("messages"), *times)
-        held = lake.opened[key] = (epoch, {r["source_id"]: (r["messages"], r["first"], r["last"]) for r in rows.collect()})
+        held = lake.opened[key] = (epoch, coverage(rows))
     return held[1]
 
 
 def covered(lake: Lake, profile: dict | None) -> dict:
     """First and last known time of what a profile sees, whatever else is asked for."""
-    rows = by_source(lake, profile).values()
-    return {"first": min((a for _, a, _ in rows if a), default=None), "last": max((b for _, _, b in rows if b), default=None)}
+    found = _coverage_of(lake, profile)
+    return {"first": found["first"], "last": found["last"]}
+
+
+def by_source(lake: Lake, profile: dict | None) -> dict[str, int]:
+    """Messages that a profile sees, by source."""
+    return dict(_coverage_of(lake, profile)["sources"])
 
 
 def search_history(
@@ -409,7 +421,6 @@ def show_event(lake: Lake, event: str) -> DataFrame:
 def brain_status(lake: Lake, profile: dict | None = None) -> dict:
     """Visible coverage, messages by source, the last import and whether any import was partial or failed."""
     lake = lake.snapshot()
-    by = {source: n for source, (n, _, _) in by_source(lake, profile).items()}
     jobs = [j for j in lake.jobs() if j["kind"] == "import"]
     warnings = [f"an import is {s}" for s in ("partial", "failed") if any(j["status"] == s for j in jobs)]
-    return {"coverage": covered(lake, profile), "sources": by, "last_import": max((j["at"] for j in jobs), default=None), "warnings": warnings}
+    return {"coverage": covered(lake, profile), "sources": by_source(lake, profile), "last_import": max((j["at"] for j in jobs), default=None), "warnings": warnings}

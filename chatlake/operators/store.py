@@ -60,8 +60,8 @@ class Lake(Log):
         covered = max((j["covers"] for j in self.jobs() if "covers" in j), default=0)
         later = self.parts("policy", covered)
         tail = self.table("policy", covered)
-        # an import has one row a revision; a backup holds the whole log in one change
-        single = len(later) == 1 and later[0][0]["kind"] == "import"
+        # a change has one row a revision, but for a backup, which holds the whole log
+        single = len(later) == 1 and later[0][0]["kind"] != "backup"
         tail = tail.drop("version") if single else current_policy(tail)
         if not covered:
             return tail
@@ -237,7 +237,9 @@ def _policy_tables(base: Lake, rows: DataFrame, seq: int) -> dict[str, DataFrame
 
 
 def change_policy(lake: Lake, rows: DataFrame, now: datetime, what: str) -> dict:
-    """Appends policy rows that the caller has made as a job of their own."""
+    """Appends policy rows that the caller has made as a job of their own; of several of a revision the last counts."""
+    rows = rows.select(*lake.rows("policy"))
+    rows = rows.groupBy("revision_id").agg(F.max_by(F.struct(*rows.columns), "version").alias("row")).select("row.*")
     return lake.change(lambda base, job: ({}, _policy_tables(base, rows, job["seq"])), what, now)
 
 
