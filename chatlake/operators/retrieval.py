@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from chatlake.functions.text import bigrams_of, cjk_runs, mask_credentials, masked_text, normal, normal_map
 from chatlake.operators import archive, ids, partials, policy, postings, semantic
+from chatlake.operators.scratch import written
 from chatlake.operators.store import Lake
 
 ORDERS, MODES = ("chronological", "reverse", "relevance"), ("literal", "all_terms")
@@ -157,6 +158,26 @@ def by_source(lake: Lake, profile: dict | None) -> dict[str, int]:
     return dict(_coverage_of(lake, profile)["sources"])
 
 
+def _found(lake: Lake, query: str, mode: str, limit: int, branch: str, profile: dict | None, vectors: DataFrame | None, provider, max_scan: int | None, date_from: Column | None, date_to: Column | None, speaker: str | None, within: dict[str, str]) -> tuple[DataFrame, Column, list[str]]:
+    """All that a search finds in a state of the archive, whether a hit's time is within the dates, and warnings."""
+    own = policy.profile_filters(profile) if profile else {}
+    pool = lake.messages(**own, **within)
+    pool = pool.join(lake.paths().select("event_id").distinct(), "event_id", "left_semi") if branch == "selected" else pool
+    every = hits(lake, pool, query, mode, max_scan, speaker=speaker).withColumn("kind", F.lit("exact"))
+    warnings = []
+    if branch == "selected" and (unknown := lake.path_unknown()):
+        warnings.append(f"the path of {unknown} conversations is unknown")
+    dated = F.lit(True)
+    if date_from is not None:
+        dated = dated & (F.col("created_at") >= date_from)
+    if date_to is not None:
+        dated = dated & (F.col("created_at") < date_to)
+    dated = F.coalesce(dated, F.lit(False))
+    if vectors is not None and provider is not None:
+        every = fused(every.filter(dated), pool.filter(dated), vectors, provider.embed([query])[0], limit)
+    return every, dated, warnings
+
+
 def search_history(
     lake: Lake,
     query: str,
@@ -185,23 +206,8 @@ def search_history(
     """
     lake = lake.snapshot()
     order, mode = order if order in ORDERS else "chronological", mode if mode in MODES else "literal"
-    own = policy.profile_filters(profile) if profile else {}
-    seen = lake.messages(**own)
-    pool = lake.messages(**own, **within) if within else seen
-    pool = pool.join(lake.paths().select("event_id").distinct(), "event_id", "left_semi") if branch == "selected" else pool
-    every = hits(lake, pool, query, mode, max_scan, speaker=speaker).withColumn("kind", F.lit("exact"))
     hybrid = vectors is not None and provider is not None
-    warnings = []
-    if branch == "selected" and (unknown := lake.path_unknown()):
-        warnings.append(f"the path of {unknown} conversations is unknown")
-    dated = F.lit(True)
-    if date_from is not None:
-        dated = dated & (F.col("created_at") >= date_from)
-    if date_to is not None:
-        dated = dated & (F.col("created_at") < date_to)
-    dated = F.coalesce(dated, F.lit(False))
-    if hybrid:
-        every = fused(every.filter(dated), pool.filter(dated), vectors, provider.embed([query])[0], limit)
+    every, dated, warnings = _found(lake, query, mode, limit, branch, profile, vectors, provider, max_scan, date_from, date_to, speaker, within)
     keys = keys_of(order, hybrid)
     values = decode(cursor, len(keys)) if cursor is not None else None
     rest = every.filter(dated)
@@ -222,6 +228,40 @@ def search_history(
     return envelope(results, more, last, covered(lake, profile), warnings) | {"total": counted["n"], "undated": counted["undated"]}
 
 
+def all_pages(
+    lake: Lake,
+    query: str,
+    mode: str = "literal",
+    order: str = "chronological",
+    limit: int = 20,
+    branch: str = "all",
+    profile: dict | None = None,
+    vectors: DataFrame | None = None,
+    provider=None,
+    max_scan: int | None = None,
+    date_from: Column | None = None,
+    date_to: Column | None = None,
+    speaker: str | None = None,
+    **within: str,
+) -> DataFrame:
+    """event_id, revision_id, created_at, kind, score, place (from 0) and page (from 0) of all hits of a search.
+
+    The pages are those that search_history() gives one after the other by its cursors, each of which costs a search; here
+    the search runs once, and places are counted up by ranges of the order.
+    """
+    lake = lake.snapshot()
+    order, mode = order if order in ORDERS else "chronological", mode if mode in MODES else "literal"
+    every, dated, _ = _found(lake, query, mode, limit, branch, profile, vectors, provider, max_scan, date_from, date_to, speaker, within)
+    keys = sorted_by(keys_of(order, vectors is not None and provider is not None))
+    rows = every.filter(dated).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = written(rows.select("event_id", "revision_id", "created_at", "kind", "score", F.spark_partition_id().alias("_part"), place.alias("_place")))
+    sizes = sorted((r["_part"], r["count"]) for r in rows.groupBy("_part").count().collect())
+    starts = lake.spark.createDataFrame([(p, sum(n for _, n in sizes[:i])) for i, (p, _) in enumerate(sizes)], "_part int, _start long")
+    rows = rows.join(F.broadcast(starts), "_part").withColumn("place", F.col("_start") + F.col("_place"))
+    return rows.withColumn("page", F.floor(F.col("place") / limit)).drop("_part", "_place", "_start")
+
+
 #: Exact hits that take part in a fused ranking by their rank: five pages, and so many at most; others have exact only.
 RANKED_PAGES, RANKED = 5, 200
 

@@ -223,6 +223,32 @@ def test_hybrid_pages_lose_nothing(spark, lake):
         assert sorted(paged) == sorted(r["event_id"] for r in whole["results"]) and len(set(paged)) == 6
 
 
+def test_all_pages_at_once(spark, lake, monkeypatch):
+    """The same hits in the same order as page by page, whatever the number of pages, by one search."""
+    put(spark, lake, talk("a", ["tea"] * 3 + ["tea tea", "tea sun", "other"]), "s0")
+    put(spark, lake, talk("b", ["tea boat", "tea", "sun"]), "s1")
+
+    class Provider:
+        def embed(self, texts):
+            return [[1.0, 0.0]]
+
+    vectors = lake.messages().select("revision_id", F.lit(0).alias("chunk"), F.lit(0).alias("start"), F.lit(1).alias("end"), F.array(F.lit(0.8), F.lit(0.6)).alias("embedding"))
+    searches, plain = [], retrieval.hits
+    monkeypatch.setattr(retrieval, "hits", lambda *a, **b: (searches.append(1), plain(*a, **b))[1])
+    for order in retrieval.ORDERS:
+        for more in ({}, {"vectors": vectors, "provider": Provider()}):
+            paged, cursor = [], None
+            while True:
+                page = retrieval.search_history(lake, "tea", order=order, limit=4, cursor=cursor, **more)
+                paged.append([(r["event_id"], r["revision_id"], r["kind"]) for r in page["results"]])
+                if not (cursor := page["next_cursor"]):
+                    break
+            searches.clear()
+            rows = retrieval.all_pages(lake, "tea", order=order, limit=4, **more).orderBy("place").collect()
+            assert [(r.place, r.page) for r in rows] == [(i, i // 4) for i in range(len(rows))] and len(searches) == 1
+            assert [(r.event_id, r.revision_id, r.kind) for r in rows] == sum(paged, [])
+
+
 def test_several_versions_of_an_event_on_pages(spark, lake):
     put(spark, lake, talk("a", ["tea one"]), "s0")
     put(spark, lake, talk("a", ["tea two"], updated=T0), "s1")
