@@ -23,8 +23,9 @@ SCHEMAS = {
     "centroids": "list int, center array<double>",
     "packed": "revision_id string, digest string, chunk int, int8 array<tinyint>, scale double, made long",
 }
-#: Revisions that one commit embeds, about.
-BATCH = 100_000
+#: Revisions that one commit embeds, about; commits of a run at most, as each looks through what is indexed. With more
+#: revisions the commits are larger, so that a run's work grows with the revisions, not with their square.
+BATCH, COMMITS = 100_000, 16
 CHUNK = ["revision_id", "chunk"]
 
 
@@ -72,7 +73,8 @@ def _mark(rows: DataFrame, seq: int) -> DataFrame:
 def update(index: VectorIndex, revisions: DataFrame, provider, now: datetime, size: int = 600, overlap: int = 100, batch: int = BATCH) -> dict[str, int]:
     """Brings the index up to date with revisions (revision_id, text): what is stale goes, what is lacking is embedded.
 
-    Batches are slices by the hash of the revision; each is committed by itself, so what a broken run has done stays done.
+    Batches are slices by the hash of the revision, of batch revisions or so, or more where that would make over COMMITS of
+    them; each is committed by itself, so what a broken run has done stays done.
     """
     meta = wanted(provider, size, overlap)
     held = index.snapshot().meta()
@@ -88,11 +90,12 @@ def update(index: VectorIndex, revisions: DataFrame, provider, now: datetime, si
     index.change(drop_stale, "stale", now)
     lacking = lambda base: eligible.join(base.state(), keys, "left_anti")
     n = lacking(index.snapshot()).count()
-    slices = max(1, -(-n // batch))
+    slices = min(COMMITS, max(1, -(-n // batch)))
     for i in range(slices if n else 0):
 
         def embed(base: VectorIndex, job: dict, i: int = i) -> tuple[dict, dict[str, DataFrame]] | None:
-            rows = lacking(base).filter(F.pmod(F.xxhash64("revision_id"), F.lit(slices)) == i)
+            own = F.pmod(F.xxhash64("revision_id"), F.lit(slices)) == i
+            rows = eligible.filter(own).join(base.state().filter(own), keys, "left_anti")
             chunks = semantic.embedded(semantic.chunked(rows, size, overlap), provider).join(rows.select(*keys), "revision_id")
             return {"meta": meta}, {"vectors": listed(chunks, base.centers()).select(*_columns("vectors", job["seq"]))}
 

@@ -100,6 +100,13 @@ def test_stored_vectors(spark, tmp_path):
         vectors.update(index, frame(rows), model, T0, size=10)
 
 
+def test_commits_of_a_run_are_bounded(spark, tmp_path):
+    index = vectors.VectorIndex(spark, str(tmp_path / "index"))
+    rows = spark.createDataFrame([(f"r{i}", "tea") for i in range(60)], "revision_id string, text string")
+    assert vectors.update(index, rows, words(), T0, batch=1) == {"embedded": 60, "batches": vectors.COMMITS}
+    assert index.alive("vectors").select("revision_id").distinct().count() == 60 == index.alive("vectors").count()
+
+
 def test_broken_run_goes_on(spark, tmp_path, monkeypatch):
     index, model, runs = vectors.VectorIndex(spark, str(tmp_path / "index")), words(), []
     rows = spark.createDataFrame([(f"r{i}", "tea") for i in range(60)], "revision_id string, text string")
