@@ -20,8 +20,9 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Vectors that k-means sees; most lists; queries broadcast at once in an exact search; rows of a block.
 SAMPLE, LISTS, LOT, BLOCK = 50_000, 4096, 2048, 65_536
-#: Queries and vectors multiplied at once.
-TILE = 1024
+#: Queries multiplied at once with all vectors of a block or batch, at most, and numbers of such a product, of which a task
+#: holds about five; queries of a group that meets a block in one task, at most about.
+TILE, CELLS, ASKED = 1024, 1 << 20, 65_536
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -38,8 +39,9 @@ def nearest_of(vectors: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tup
     A product of matrices finds what may be among them; the distances of these are summed component by component.
     """
     size = (vectors * vectors).sum(1)
-    for a in range(0, len(queries), TILE):
-        some = queries[a : a + TILE]
+    step = max(1, min(TILE, CELLS // len(vectors)))
+    for a in range(0, len(queries), step):
+        some = queries[a : a + step]
         far = size[None, :] - 2 * some @ vectors.T + (some * some).sum(1)[:, None]
         last = np.partition(far, min(k, far.shape[1]) - 1, axis=1)[:, min(k, far.shape[1]) - 1]
         slack = 1e-9 * (size.max() + (some * some).sum(1))
@@ -166,9 +168,12 @@ def search(index: Index, queries: DataFrame, k: int, probes: int) -> DataFrame:
         return _found(schema, theirs["query_id"].combine_chunks(), own[key].combine_chunks(), matrix(own[vector]), matrix(theirs[vector]), k)
 
     there = index.rows.select(F.col("list").alias("list"), F.col("block").alias("block")).distinct()
-    met = rows.mapInArrow(probe, asked).join(F.broadcast(there), "list")  # a row a list and block
-    held = index.rows.select("list", "block", key, vector)
-    found = held.groupBy("list", "block").cogroup(met.groupBy("list", "block")).applyInArrow(meet, out)
+    lots = max(1, -(-rows.count() // ASKED))
+    lot = F.pmod(F.xxhash64("query_id"), F.lit(lots)).cast("int")
+    met = rows.mapInArrow(probe, asked).join(F.broadcast(there), "list").withColumn("lot", lot)  # a row a list and block
+    held = index.rows.select("list", "block", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))).alias("lot"), key, vector)
+    group = ["list", "block", "lot"]
+    found = held.groupBy(*group).cogroup(met.groupBy(*group)).applyInArrow(meet, out)
     return first(found, k, key)
 
 
