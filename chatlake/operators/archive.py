@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, StructField, StructType
 
-from chatlake.functions.text import first_at, normal, occurrences
+from chatlake.functions.text import LOT, first_at, normal, occurrences
 
 
 def lets_through(scopes: Sequence[str] | None = None, deny: Sequence[str] = (), classified: bool = False) -> Column:
@@ -176,14 +176,15 @@ def selected_path(edges: DataFrame, leaves: DataFrame) -> DataFrame:
     schema = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for lot in (batch.slice(i, LOT) for batch in batches for i in range(0, batch.num_rows, LOT)):
             paths = []
-            for at, tree in zip(batch.column(1), batch.column(2), strict=True):
-                up, node, path = {e["node"]: e["parent"] for e in tree.as_py()}, at.as_py(), []
+            for at, tree in zip(lot.column(1), lot.column(2), strict=True):
+                nodes, parents = (tree.values.field(i).to_pylist() for i in range(2))
+                up, node, path = dict(zip(nodes, parents, strict=True)), at.as_py(), []
                 while node is not None and node in up:
                     path.append(node)
                     node = up.pop(node)
                 paths.append(path[::-1] if path and node is None else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(schema.types[0]), pa.array(paths, schema.types[1])], schema=schema)
+            yield pa.RecordBatch.from_arrays([lot.column(0).cast(schema.types[0]), pa.array(paths, schema.types[1])], schema=schema)
 
     return walked.mapInArrow(run, out).select("conversation", F.posexplode("path").alias("depth", "node")).select("conversation", "node", F.col("depth").cast("long").alias("depth"))

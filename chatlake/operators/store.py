@@ -21,6 +21,7 @@ from chatlake.functions.text import has_credentials, normalize
 from chatlake.operators import ids, partials, policy, postings
 from chatlake.operators.archive import current_policy, current_revision, selected_path, visible
 from chatlake.operators.commits import Log
+from chatlake.operators.scratch import listed
 
 SCHEMAS = {
     "conversations": "snapshot_id string, conv_snapshot_id string, conversation string, title string, current_node string, path_known boolean, publish_seq long",
@@ -42,7 +43,7 @@ class Lake(Log):
         """All rows of a table, or those of changes after a number."""
         paths = self.folders(name, after)
         schema = (SCHEMAS | DERIVED)[name]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*paths) if paths else listed(self.spark, schema)
 
     def rows(self, name: str, columns: Sequence[str] | None = None) -> dict[str, Column]:
         """The casts that give a table's columns from columns of the same names."""
@@ -186,7 +187,7 @@ def numbered(lake: Lake, rows: DataFrame, first: int, staged: list[str]) -> tupl
     staged.append(name)
     sizes = sorted((r["_part"], r["count"]) for r in held.groupBy("_part").count().collect())
     starts = [(p, first + sum(n for _, n in sizes[:i])) for i, (p, _) in enumerate(sizes)]
-    starts = lake.spark.createDataFrame(starts, "_part int, _start long")
+    starts = listed(lake.spark, "_part int, _start long", starts)
     out = held.join(F.broadcast(starts), "_part").withColumn("doc", F.col("_start") + F.col("_place"))
     return out.drop("_part", "_place", "_start"), sum(n for _, n in sizes)
 
@@ -253,8 +254,8 @@ def withdraw_source(lake: Lake, source: str, now: datetime) -> dict | None:
         if not base.withdrawn_sources().filter(F.col("source_id") == source).isEmpty():
             return None
         rows = policy.withdraw(base.policy(), own, job["seq"], now, "source", source=source)
-        mark = base.spark.createDataFrame([(source, job["seq"], True, now, "withdrawn")], policy.SOURCES)
-        return {}, _policy_tables(base, rows, job["seq"]) | {"sources": mark}
+        mark = listed(base.spark, "source_id string, version long, withdrawn boolean, reason string", [(source, job["seq"], True, "withdrawn")])
+        return {}, _policy_tables(base, rows, job["seq"]) | {"sources": mark.withColumn("recorded_at", F.lit(now)).select(*base.rows("sources"))}
 
     return lake.change(build, "withdraw", now)
 
